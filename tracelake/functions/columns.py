@@ -103,11 +103,14 @@ def mean_of_ints(value: Column) -> Column:
 
 
 def variance_of_ints(value: Column) -> Column:
-    """Sample variance from exact sums, null below two values."""
-    n = F.count(value).cast("decimal(38,0)")
-    total = F.sum(value.cast("decimal(20,0)")).cast("decimal(38,0)")
-    squares = F.sum((value.cast("decimal(18,0)") * value.cast("decimal(18,0)")))
-    spread = (n * squares.cast("decimal(38,0)")).cast("double") - (
-        total.cast("double") * total.cast("double")
-    )
-    return F.try_divide(spread, (n * (n - 1)).cast("double"))
+    """Sample variance from exact sums (so order cannot change it), null below two values.
+
+    Fits while count x sum of squares stays under 38 digits; beyond that it raises.
+    """
+    wide = "decimal(38,0)"
+    n = F.count(value).cast(wide)
+    total = F.sum(value.cast("decimal(20,0)")).cast(wide)
+    small = value.cast("decimal(18,0)")
+    squares = F.sum(small * small).cast(wide)
+    spread = (n * squares).cast(wide) - (total * total).cast(wide)
+    return F.try_divide(spread.cast("double"), (n * (n - 1)).cast("double"))

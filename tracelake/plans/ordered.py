@@ -24,17 +24,20 @@ def with_segment(
     position: str,
     target_rows: int | None = TARGET_ROWS,
     name: str = SEGMENT,
+    measured_on: DataFrame | None = None,
 ) -> DataFrame:
     """Add a segment number that grows with ``position`` (any numeric column).
 
     The width of a segment is measured by the query itself: the value range is cut
     into bins, and the fullest (key, bin) says how wide a segment may be to hold about
     ``target_rows`` rows. Both measurements are scalar subqueries over the key and
-    position columns only. ``target_rows=None`` turns the cutting off.
+    position columns only. ``measured_on`` names a cheaper table with the same columns
+    to measure instead of ``df``. ``target_rows=None`` turns the cutting off.
     """
     if target_rows is None:
         return df.withColumn(name, F.lit(0).cast("long"))
-    slim = df.select(*keys, F.col(position).cast("double").alias("__pos"))
+    measured = df if measured_on is None else measured_on
+    slim = measured.select(*keys, F.col(position).cast("double").alias("__pos"))
     bin_width = F.coalesce(
         slim.agg(((F.max("__pos") - F.min("__pos")) / F.lit(float(_BINS))).alias("w")).scalar(),
         F.lit(1.0),
@@ -59,6 +62,7 @@ def ordered_scan(
     running: Mapping[str, Column] | None = None,
     latest: Mapping[str, Column] | None = None,
     latest_before: Mapping[str, Column] | None = None,
+    first: Mapping[str, Column] | None = None,
     target_rows: int | None = TARGET_ROWS,
     segment: str | None = None,
 ) -> DataFrame:
@@ -68,13 +72,14 @@ def ordered_scan(
     * ``running``: sum of the expression up to and including this row (nulls add nothing)
     * ``latest``: last non-null value up to and including this row
     * ``latest_before``: last non-null value strictly before this row
+    * ``first``: first non-null value of the whole key, on every row
 
     ``order[0]`` must be numeric; the others break ties. Keys must not be null. Pass
     ``segment`` (from :func:`with_segment` with the same keys) to share one shuffle
     between several scans; the column is then kept.
     """
     previous, running = dict(previous or {}), dict(running or {})
-    latest, latest_before = dict(latest or {}), dict(latest_before or {})
+    latest, latest_before, first = dict(latest or {}), dict(latest_before or {}), dict(first or {})
     seg = segment or SEGMENT
     if segment is None:
         df = with_segment(df, keys, order[0], target_rows, seg)
@@ -99,9 +104,13 @@ def ordered_scan(
         local[f"__last_{name}"] = F.last(expr, ignorenulls=True).over(frame)
         totals.append(F.max_by(expr, F.when(expr.isNotNull(), at)).alias(f"__last_out_{name}"))
 
-    scanned = df.withColumns(local)
+    for name, expr in first.items():
+        totals.append(F.min_by(expr, F.when(expr.isNotNull(), at)).alias(f"__first_out_{name}"))
+
+    scanned = df.withColumns(local) if local else df
     steps = Window.partitionBy(*keys).orderBy(seg)
     earlier = steps.rowsBetween(Window.unboundedPreceding, -1)
+    everywhere = steps.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried: list[Column] = []
     if previous:
         carried.append(F.lag("__prev_out").over(steps).alias("__prev_in"))
@@ -111,6 +120,10 @@ def ordered_scan(
         carried.append(
             F.last(f"__last_out_{name}", ignorenulls=True).over(earlier).alias(f"__last_in_{name}")
         )
+    for name in first:
+        carried.append(
+            F.first(f"__first_out_{name}", ignorenulls=True).over(everywhere).alias(f"__first_{name}")
+        )
     carry = df.groupBy(*group).agg(*totals).select(*group, *carried)
 
     joined = scanned.join(carry, group, "left")
@@ -122,5 +135,7 @@ def ordered_scan(
         out[name] = F.when(here.isNull(), then).when(then.isNull(), here).otherwise(here + then)
     for name in [*latest, *latest_before]:
         out[name] = F.coalesce(F.col(f"__last_{name}"), F.col(f"__last_in_{name}"))
+    for name in first:
+        out[name] = F.col(f"__first_{name}")
     kept = [c for c in df.columns if segment is not None or c != seg]
     return joined.select(*[c for c in kept if c not in out], *[c.alias(n) for n, c in out.items()])
