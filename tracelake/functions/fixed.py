@@ -128,5 +128,19 @@ MEMORY_TREND_COLUMNS = [
     "shmem_total_bytes",
 ]
 
-# Hardware counters and what they measure.
-COUNTERS = ["dtlb_misses", "itlb_misses", "tlb_flushes", "dtlb_walk_duration"]
+# Hardware counters, the component each belongs to and the event it counts.
+COUNTERS = {
+    "dtlb_misses": ("dTLB", "Misses"),
+    "itlb_misses": ("iTLB", "Misses"),
+    "tlb_flushes": ("TLB", "Flushes"),
+    "dtlb_walk_duration": ("dTLB", "Walk Duration"),
+}
+
+# Axis titles and the cut of process labels.
+AXIS_QUEUE = "Queue Size"
+AXIS_IO_LATENCY = "IO Latency (us)"
+AXIS_MEMORY = "Memory (GB)"
+AXIS_RUN_LENGTH = "Quanta Run Length (msec)"
+AXIS_QUEUED = "Quanta Queued Time (msec)"
+PROCESS_LABEL_CHARS = 35
+COLLECTOR_LABEL = "Collector Process"

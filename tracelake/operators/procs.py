@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.columns import after_first_blank
+from tracelake.functions.fixed import COLLECTOR_LABEL
 from tracelake.plans.ordered import ordered_scan
 from tracelake.specs import COLLECTION, spec
 
@@ -132,7 +133,7 @@ def process_labels(
     owner = system_info.select(COLLECTION, "collection_pid")
     return pids.join(owner, COLLECTION, "left").select(
         *pids.columns,
-        F.when(F.col("pid") == F.col("collection_pid"), F.lit("Collector Process"))
+        F.when(F.col("pid") == F.col("collection_pid"), F.lit(COLLECTOR_LABEL))
         .otherwise(unknown)
         .alias("label"),
     )

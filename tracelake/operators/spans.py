@@ -64,11 +64,13 @@ def span_pairs_keep_first(
 
     Raw rows: collection_id, tid, ts_ns, kind, name, ret, address, length, advice. The
     first entry since the last return is the call; a return of 0 emits it, any other
-    drops it. For unmap calls give ``advice`` -1 and ``length`` end - start.
+    drops it. For unmap calls give ``advice`` -1 and ``length`` end - start. The owner is
+    ``tgid`` if there is such a column, else the thread.
     """
     rows = raw.withColumn("__close", (F.col("kind") != "entry").cast("long"))
     cut = _episodes(rows, _CALL, ["ts_ns", "__close", "address", "length"], target_rows)
-    entry = F.struct("ts_ns", "address", "length", "advice")
+    owner = F.col("tgid" if "tgid" in raw.columns else "tid").alias("tgid")
+    entry = F.struct("ts_ns", "address", "length", "advice", owner)
     # Each stretch is reduced map-side first, so one of any length stays cheap.
     calls = cut.groupBy(*_CALL, "__episode").agg(
         F.min(F.when(F.col("__close") == 0, entry)).alias("e"),
@@ -76,7 +78,7 @@ def span_pairs_keep_first(
     )
     return calls.where(F.col("e").isNotNull() & (F.col("__ret") == 0)).select(
         COLLECTION,
-        F.col("tid").alias("tgid"),
+        "e.tgid",
         "e.ts_ns",
         "e.address",
         "e.length",
