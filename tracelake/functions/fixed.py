@@ -133,7 +133,7 @@ COUNTERS = {
     "dtlb_misses": ("dTLB", "Misses"),
     "itlb_misses": ("iTLB", "Misses"),
     "tlb_flushes": ("TLB", "Flushes"),
-    "dtlb_walk_duration": ("dTLB", "Walk Duration"),
+    "dtlb_walk_duration": ("dTLB", "Walk Durations"),
 }
 
 # Axis titles and the cut of process labels.
