@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ def read_widened(spark: SparkSession, path: str, **options: str) -> DataFrame:
     reader = spark.read.options(**options)
     try:
         return reader.option("mergeSchema", "true").parquet(path)
-    except PySparkException as error:
-        if "MERGE_SCHEMA" not in str(error):
+    except (PySparkException, Py4JJavaError) as error:
+        if "CANNOT_MERGE_SCHEMAS" not in str(error):
             raise
     files = spark.read.options(**options).parquet(path).inputFiles()
     groups = _files_by_schema(spark, files)

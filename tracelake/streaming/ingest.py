@@ -16,10 +16,16 @@ def stream_chunks(
     schema: T.StructType | str,
     *,
     glob: str | None = None,
-    files_per_batch: int = 1000,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Chunk files below ``path`` as a stream; ``glob`` picks a table's files."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    """Chunk files below ``path`` as a stream; ``glob`` picks a table's files.
+
+    Files are taken in order of modification time, all new ones in one batch unless
+    ``files_per_batch`` is set.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
     return reader.parquet(path)
