@@ -37,7 +37,7 @@ FILL = """
                         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 RSS_WINDOW = (
-    LIFETIMES
+    LIFETIMES.replace("fx_process_trace", "fx_user_trace")
     + """,
     ranked AS (
         SELECT *, row_number() OVER (PARTITION BY collection_id, full_name
@@ -46,10 +46,10 @@ RSS_WINDOW = (
     win AS (
         SELECT t.collection_id, t.pid AS tgid, r.start_ns, r.end_ns
         FROM ranked t JOIN ranked r ON t.collection_id = r.collection_id
-        WHERE t.full_name = 'fork' AND t.run = 1 AND r.full_name = 'fork' AND r.run = 3),
+        WHERE t.full_name = 'view_0' AND t.run = 1 AND r.full_name = 'fork' AND r.run = 10),
     samples AS (
         SELECT m.collection_id, m.tgid, m.ts_ns, m.member, m.count, 0 AS edge
-        FROM {fx_process_rss} m JOIN win USING (collection_id, tgid)
+        FROM {fx_mm_rss_stat} m JOIN win USING (collection_id, tgid)
         UNION ALL
         SELECT collection_id, tgid, start_ns, NULL, NULL, 1 FROM win
         UNION ALL

@@ -377,16 +377,16 @@ def rss_total(samples):
     return rss.rss_total(samples)
 
 
-@_on("fx_process_trace", "fx_process_rss")
+@_on("fx_user_trace", "fx_mm_rss_stat")
 def rss_clip(trace, samples):
-    return rss.rss_clip(samples, rss.rss_windows(trace, "fork", 0, "fork", 2)).select(
+    return rss.rss_clip(samples, rss.rss_windows(trace, "view_0", 0, "fork", 9)).select(
         COLLECTION, "tgid", "ts_ns", "count"
     )
 
 
-@_on("fx_process_trace", "fx_process_rss", "fx_policies")
+@_on("fx_user_trace", "fx_mm_rss_stat", "fx_policies")
 def rss_policy_comparison(trace, samples, policies):
-    return rss.rss_policy_comparison(trace, samples, policies, "fork", 0, "fork", 2)
+    return rss.rss_policy_comparison(trace, samples, policies, "view_0", 0, "fork", 9)
 
 
 # --- scalar functions --------------------------------------------------------------

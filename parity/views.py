@@ -38,19 +38,22 @@ VIEWS = {
                     ELSE 'exec' END AS cap_type,
                collection_id
         FROM {fx_events}""",
+    # Long-lived processes: one per user, with many runs each.
+    "fx_user_trace": """
+        SELECT user_id AS pid, user_id + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS tgid,
+               us * 1000 AS ts_ns,
+               CASE event_type WHEN 'purchase' THEN '' WHEN 'signup' THEN 'fork'
+                    ELSE event_type || '_' || CAST(event_id % 3 AS string) END AS name,
+               CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'end'
+                    ELSE 'exec' END AS cap_type,
+               collection_id
+        FROM {fx_events}""",
     "fx_mm_rss_stat": """
         SELECT user_id AS pid, user_id AS tgid, us * 1000 AS ts_ns,
                CASE event_type WHEN 'click' THEN 'MM_FILEPAGES' WHEN 'view' THEN 'MM_ANONPAGES'
                     WHEN 'purchase' THEN 'MM_SWAPENTS' ELSE 'MM_SHMEMPAGES' END AS member,
                CAST(round(value * 100) AS bigint) AS count, collection_id
         FROM {fx_events}""",
-    # Samples of the day-scoped process ids of fx_process_trace.
-    "fx_process_rss": """
-        SELECT user_id * 31 + d AS pid, user_id * 31 + d AS tgid, us * 1000 AS ts_ns,
-               CASE event_type WHEN 'click' THEN 'MM_FILEPAGES' WHEN 'view' THEN 'MM_ANONPAGES'
-                    WHEN 'purchase' THEN 'MM_SWAPENTS' ELSE 'MM_SHMEMPAGES' END AS member,
-               CAST(round(value * 100) AS bigint) AS count, collection_id
-        FROM {fx_events}""",
     "fx_policies": """
         SELECT DISTINCT collection_id, 'policy_' || collection_id AS policy FROM {fx_events}""",
     "fx_quanta_runtime": """

@@ -191,8 +191,13 @@ def inference_latency_by_size(
 ) -> DataFrame:
     """Mean and five-number summary of inference time per side and model size."""
     values = parse_sections(lines, file_key=file_key, target_rows=target_rows)
-    keys = ["side", "size"]
-    means = values.groupBy(*keys).agg(
-        (F.sum(F.col("value").cast("decimal(28,6)")).cast("double") / F.count("value")).alias("mean")
+    numbers = lines.select(F.col("line").try_cast("double").alias("value"))
+    return exact_quantiles(
+        values,
+        ["side", "size"],
+        "value",
+        _BOX,
+        mean="mean",
+        measured_on=numbers.where(F.col("value").isNotNull()),
+        target_rows=target_rows,
     )
-    return box_summary(values, keys, "value", target_rows=target_rows).join(means, keys, "inner")

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bucket widths, in units of the position column. An interval of up to _SPREAD fine
-# buckets is listed in each bucket it touches; a longer one uses the coarse buckets.
-FINE = 1 << 20
-COARSE = 1 << 36
+# Bucket widths as powers of two, in units of the position column. An interval touching
+# up to _SPREAD fine buckets is listed in each; a longer one uses the coarse buckets.
+FINE_BITS = 20
+COARSE_BITS = 36
 _SPREAD = 64
 
 
@@ -22,46 +22,42 @@ def join_points_to_intervals(
     low: Column,
     high: Column,
     *,
-    fine: int = FINE,
-    coarse: int = COARSE,
+    fine_bits: int = FINE_BITS,
+    coarse_bits: int = COARSE_BITS,
 ) -> DataFrame:
     """All (point, interval) pairs with equal ``on`` columns and low < point < high.
 
-    ``low`` and ``high`` are expressions over ``intervals``. Rows meet only inside a
-    time bucket, so a key repeated millions of times is spread over its timeline. Long
-    intervals meet the points in coarse buckets; points are listed there a second time
-    only when the data holds such an interval (checked by a scalar subquery).
+    ``point`` is a long; ``low`` and ``high`` are long expressions over ``intervals``.
+    Rows meet only inside a time bucket, so a key repeated millions of times is spread
+    over its timeline. Long intervals meet the points in coarse buckets; points are
+    listed there a second time only when the data holds such an interval (checked by a
+    scalar subquery).
     """
     spans = intervals.withColumns({"__low": low, "__high": high}).where(
         F.col("__high") - F.col("__low") > 1
     )
-    is_long = F.col("__high") - F.col("__low") > fine * _SPREAD
+    is_long = F.col("__high") - F.col("__low") > (_SPREAD << fine_bits)
     any_long = spans.agg(F.coalesce(F.max(is_long), F.lit(False)).alias("x")).scalar()
 
-    def bucket(value: Column, width: int) -> Column:
-        return F.floor(value / F.lit(width))
-
-    # Level 0 is fine, level 1 coarse; the level is the lowest bit of the meeting number.
-    def meeting(value: Column, width: int, level: int) -> Column:
-        return bucket(value, width) * 2 + level
-
-    def covered(width: int, level: int) -> Column:
-        return F.transform(
-            F.sequence(bucket(F.col("__low"), width), bucket(F.col("__high"), width)),
-            lambda b: b * 2 + level,
+    def bucket(value: Column, long: Column) -> Column:
+        return F.when(long, F.shiftright(value, coarse_bits)).otherwise(
+            F.shiftright(value, fine_bits)
         )
 
-    spans = spans.withColumn(
-        "__meet", F.explode(F.when(is_long, covered(coarse, 1)).otherwise(covered(fine, 0)))
+    # A meeting is a bucket number with the kind of bucket in its lowest bit.
+    first, last = bucket(F.col("__low"), is_long), bucket(F.col("__high"), is_long)
+    spans = (
+        spans.withColumn("__long", is_long)
+        .withColumn("__bucket", F.explode(F.sequence(first, last)))
+        .withColumn("__meet", F.col("__bucket") * 2 + F.col("__long").cast("int"))
+        .drop("__bucket", "__long")
     )
     p = F.col(point)
-    pts = points.withColumn(
-        "__meet",
-        F.explode(
-            F.when(any_long, F.array(meeting(p, fine, 0), meeting(p, coarse, 1))).otherwise(
-                F.array(meeting(p, fine, 0))
-            )
-        ),
+    kinds = F.when(any_long, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    pts = (
+        points.withColumn("__long", F.explode(kinds))
+        .withColumn("__meet", bucket(p, F.col("__long")) * 2 + F.col("__long").cast("int"))
+        .drop("__long")
     )
     joined = pts.join(spans, [*on, "__meet"], "inner")
     return joined.where((F.col("__low") < p) & (p < F.col("__high"))).drop(

@@ -31,20 +31,22 @@ def with_segment(
     The width of a segment is measured by the query itself: the value range is cut
     into bins, and the fullest (key, bin) says how wide a segment may be to hold about
     ``target_rows`` rows. Both measurements are scalar subqueries over the key and
-    position columns only. ``measured_on`` names a cheaper table with the same columns
-    to measure instead of ``df``. ``target_rows=None`` turns the cutting off.
+    position columns only. ``measured_on`` is a cheaper table to measure
+    instead; it needs the position and may lack keys, which only makes segments
+    narrower. ``target_rows=None`` turns the cutting off.
     """
     if target_rows is None:
         return df.withColumn(name, F.lit(0).cast("long"))
     measured = df if measured_on is None else measured_on
-    slim = measured.select(*keys, F.col(position).cast("double").alias("__pos"))
+    known = [k for k in keys if k in measured.columns]
+    slim = measured.select(*known, F.col(position).cast("double").alias("__pos"))
     bin_width = F.coalesce(
         slim.agg(((F.max("__pos") - F.min("__pos")) / F.lit(float(_BINS))).alias("w")).scalar(),
         F.lit(1.0),
     )
     bin_width = F.when(bin_width > 0, bin_width).otherwise(F.lit(1.0))
     fullest = (
-        slim.groupBy(*keys, F.floor(F.col("__pos") / bin_width).alias("__bin"))
+        slim.groupBy(*known, F.floor(F.col("__pos") / bin_width).alias("__bin"))
         .agg(F.count(F.lit(1)).alias("n"))
         .agg(F.coalesce(F.max("n"), F.lit(1)).alias("n"))
         .scalar()
@@ -63,6 +65,7 @@ def ordered_scan(
     latest: Mapping[str, Column] | None = None,
     latest_before: Mapping[str, Column] | None = None,
     first: Mapping[str, Column] | None = None,
+    total: Mapping[str, Column] | None = None,
     target_rows: int | None = TARGET_ROWS,
     segment: str | None = None,
 ) -> DataFrame:
@@ -73,13 +76,15 @@ def ordered_scan(
     * ``latest``: last non-null value up to and including this row
     * ``latest_before``: last non-null value strictly before this row
     * ``first``: first non-null value of the whole key, on every row
+    * ``total``: sum over the whole key, on every row
 
     ``order[0]`` must be numeric; the others break ties. Keys must not be null. Pass
     ``segment`` (from :func:`with_segment` with the same keys) to share one shuffle
     between several scans; the column is then kept.
     """
     previous, running = dict(previous or {}), dict(running or {})
-    latest, latest_before, first = dict(latest or {}), dict(latest_before or {}), dict(first or {})
+    latest, latest_before = dict(latest or {}), dict(latest_before or {})
+    first, total = dict(first or {}), dict(total or {})
     seg = segment or SEGMENT
     if segment is None:
         df = with_segment(df, keys, order[0], target_rows, seg)
@@ -106,6 +111,8 @@ def ordered_scan(
 
     for name, expr in first.items():
         totals.append(F.min_by(expr, F.when(expr.isNotNull(), at)).alias(f"__first_out_{name}"))
+    for name, expr in total.items():
+        totals.append(F.sum(expr).alias(f"__total_out_{name}"))
 
     scanned = df.withColumns(local) if local else df
     steps = Window.partitionBy(*keys).orderBy(seg)
@@ -124,6 +131,8 @@ def ordered_scan(
         carried.append(
             F.first(f"__first_out_{name}", ignorenulls=True).over(everywhere).alias(f"__first_{name}")
         )
+    for name in total:
+        carried.append(F.sum(f"__total_out_{name}").over(everywhere).alias(f"__total_{name}"))
     carry = df.groupBy(*group).agg(*totals).select(*group, *carried)
 
     joined = scanned.join(carry, group, "left")
@@ -137,5 +146,7 @@ def ordered_scan(
         out[name] = F.coalesce(F.col(f"__last_{name}"), F.col(f"__last_in_{name}"))
     for name in first:
         out[name] = F.col(f"__first_{name}")
+    for name in total:
+        out[name] = F.col(f"__total_{name}")
     kept = [c for c in df.columns if segment is not None or c != seg]
     return joined.select(*[c for c in kept if c not in out], *[c.alias(n) for n, c in out.items()])

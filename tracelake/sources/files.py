@@ -89,7 +89,7 @@ def _files_by_schema(spark: SparkSession, files: Sequence[str]) -> dict[str, lis
 
     table = spark.createDataFrame([(f,) for f in files], "path string")
     rows = (
-        table.repartition(max(1, min(len(files), 1000)))
+        table.repartition(min(1000, 1 + len(files) // 64))
         .mapInPandas(footers, "path string, schema string")
         .orderBy("path")
         .collect()
