@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
@@ -30,16 +30,23 @@ def file_name_part(from_end: int) -> Column:
     return F.try_element_at(F.split(F.col("_metadata.file_name"), r"\."), F.lit(-from_end))
 
 
-def read_widened(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def read_widened(
+    spark: SparkSession,
+    path: str,
+    *,
+    each: Callable[[DataFrame], DataFrame] = lambda df: df,
+    **options: str,
+) -> DataFrame:
     """All Parquet files under ``path`` as one table, whatever their schemas.
 
     Missing columns become null and differing types are widened (numbers to the wider
     number, a number and text to text). Spark's own footer merge serves the usual case
-    of equal types; only on a type conflict are the files grouped by schema.
+    of equal types; only on a type conflict are the files grouped by schema. ``each`` is
+    applied before files are put together, while their ``_metadata`` can still be read.
     """
     reader = spark.read.options(**options)
     try:
-        return reader.option("mergeSchema", "true").parquet(path)
+        return each(reader.option("mergeSchema", "true").parquet(path))
     except (PySparkException, Py4JJavaError) as error:
         if "CANNOT_MERGE_SCHEMAS" not in str(error):
             raise
@@ -50,7 +57,7 @@ def read_widened(spark: SparkSession, path: str, **options: str) -> DataFrame:
     out: DataFrame | None = None
     base = {"basePath": path}
     for schema, members in zip(schemas, groups.values(), strict=True):
-        part = spark.read.options(**base).schema(schema).parquet(*members)
+        part = each(spark.read.options(**base).schema(schema).parquet(*members))
         part = part.withColumns({c: F.col(c).cast("string") for c in part.columns if c in texts})
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     assert out is not None

@@ -24,21 +24,18 @@ def read_parquet_dir(
     spark: SparkSession, data_dir: str, *, benchmark_name: str | None = None
 ) -> dict[str, DataFrame]:
     """Every table folder of ``data_dir``, optionally only the files of one benchmark."""
-    out = {}
-    for table in subfolders(spark, data_dir):
-        df = read_widened(spark, f"{data_dir}/{table}")
-        if benchmark_name is not None:
-            df = df.where(_benchmark_column(df) == benchmark_name)
-        out[table] = df
-    return out
 
+    def wanted(df: DataFrame) -> DataFrame:
+        return df if benchmark_name is None else df.where(_benchmark_column(df) == benchmark_name)
 
-def _benchmark_column(df: DataFrame) -> Column:
-    return F.col(BENCHMARK) if BENCHMARK in df.columns else file_name_part(2)
+    return {
+        table: read_widened(spark, f"{data_dir}/{table}", each=wanted)
+        for table in subfolders(spark, data_dir)
+    }
 
 
-def _partitioned(df: DataFrame) -> bool:
-    return any(f"/{COLLECTION}=" in f for f in df.inputFiles()[:1])
+def _benchmark_column(df: DataFrame) -> Column:
+    return F.col(BENCHMARK) if BENCHMARK in df.columns else file_name_part(2)
 
 
 def read_collection(spark: SparkSession, data_dir: str, prefix: str) -> dict[str, DataFrame]:
@@ -52,31 +49,48 @@ def read_collection(spark: SparkSession, data_dir: str, prefix: str) -> dict[str
     for table in subfolders(spark, data_dir):
         if table not in known:
             continue
-        df = read_widened(spark, f"{data_dir}/{table}")
-        owner = F.col(COLLECTION) if _partitioned(df) else F.col("_metadata.file_name")
-        part = df.where(owner.startswith(prefix))
+        df = read_widened(
+            spark,
+            f"{data_dir}/{table}",
+            each=lambda part: part.withColumn("__owner", _owner(part)).where(
+                F.col("__owner").startswith(prefix)
+            ),
+        )
         # Reads no data columns; at most two rows come back.
-        owners = part.select(owner.alias("o")).distinct().limit(2).collect()
+        owners = [r[0] for r in df.select("__owner").distinct().limit(2).collect()]
         if len(owners) > 1:
             raise ValueError(f"{prefix!r} fits several collections of {table}: {owners}")
         if owners:
-            out[table] = spec(table).conform(part) if _partitioned(df) else part
+            out[table] = spec(table).conform(df.drop("__owner"))
     return out
 
 
+def _owner(df: DataFrame) -> Column:
+    """What a collection prefix is compared with: the collection's folder or the file name."""
+    parted = any(f"/{COLLECTION}=" in f for f in df.inputFiles()[:1])
+    return F.col(COLLECTION) if parted else F.col("_metadata.file_name")
+
+
 def read_chunks(spark: SparkSession, base: str, table: str) -> DataFrame:
     """All chunks of one table in the collectors' layout; benchmark and collection come
     from the folders."""
-    df = read_widened(
-        spark, base, recursiveFileLookup="true", pathGlobFilter=f"{table}.*.parquet"
-    )
-    folders = F.split(F.col("_metadata.file_path"), "/")
-    return df.withColumns(
-        {
-            BENCHMARK: F.element_at(folders, -3),
-            COLLECTION: F.element_at(folders, -2),
-            "file_modification_time": F.col("_metadata.file_modification_time"),
-        }
+
+    def located(df: DataFrame) -> DataFrame:
+        folders = F.split(F.col("_metadata.file_path"), "/")
+        return df.withColumns(
+            {
+                BENCHMARK: F.element_at(folders, -3),
+                COLLECTION: F.element_at(folders, -2),
+                "file_modification_time": F.col("_metadata.file_modification_time"),
+            }
+        )
+
+    return read_widened(
+        spark,
+        base,
+        each=located,
+        recursiveFileLookup="true",
+        pathGlobFilter=f"{table}.*.parquet",
     )
 
 

@@ -11,10 +11,10 @@ def read_log_lines(spark: SparkSession, path: str, *, glob: str | None = None) -
 
     Each file is one run's log and is read whole by one task to number its lines.
     """
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    whole = reader.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     body = F.regexp_replace("value", r"\r?\n$", "")
     return whole.select("path", F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line")).select(
         "path", F.col("line_no").cast("long"), "line"
