@@ -66,12 +66,12 @@ VIEWS = {
                us AS ts_uptime_us, CAST(round(value * 10000) AS bigint) AS quanta_queued_time_us,
                collection_id
         FROM {fx_events}""",
+    # A counter that grows with time, without a window over a whole CPU.
     "fx_perf": """
         SELECT user_id % 8 AS cpu, user_id AS pid, user_id AS tgid, us AS ts_uptime_us, collection_id,
-               CAST(sum(CAST(round(value * 100) AS bigint)) OVER w AS bigint) AS cumulative_dtlb_misses,
+               us + CAST(round(value * 100) AS bigint) AS cumulative_dtlb_misses,
                us AS pmu_enabled_time_us, CAST(floor(us * 3 / 4) AS bigint) AS pmu_running_time_us
-        FROM {fx_events}
-        WINDOW w AS (PARTITION BY collection_id, user_id % 8 ORDER BY us ROWS UNBOUNDED PRECEDING)""",
+        FROM {fx_events}""",
     "fx_block_io_queue": """
         SELECT l_partkey % 8 AS cpu, l_suppkey % 4 AS device, l_orderkey AS sector,
                CAST(l_linenumber AS bigint) AS segments,
@@ -190,16 +190,16 @@ VIEWS = {
                          ELSE '' END || 'SIZE ' || CAST(event_id % 4 + 1 AS string) || ' ================'
                     ELSE CAST(CAST(round(value * 100) AS bigint) AS string) END AS line
         FROM {fx_events}""",
-    # One bar file per supplier, its header taken from every smallest order line.
+    # One bar file per supplier: a header line, then a line per item.
     "fx_bar_lines": """
-        SELECT 'bars/' || CAST(l_suppkey AS string) AS path,
-               l_orderkey * 8 + l_linenumber AS line_no,
-               CASE WHEN l_orderkey * 8 + l_linenumber =
-                         min(l_orderkey * 8 + l_linenumber) OVER (PARTITION BY l_suppkey)
-                    THEN 'ga gb gc'
-                    ELSE CAST(l_linenumber AS string) || ' ' || CAST(l_orderkey % 97 AS string) || '   '
-                         || CAST(l_partkey % 89 AS string) || ' x' || CAST(l_orderkey % 13 AS string)
-                         || CASE WHEN l_partkey % 2 = 0 THEN ' 1 2 3  ' ELSE '' END END AS line
+        SELECT DISTINCT 'bars/' || CAST(l_suppkey AS string) AS path, CAST(-1 AS bigint) AS line_no,
+               'ga gb gc' AS line
+        FROM {lineitem}
+        UNION ALL
+        SELECT 'bars/' || CAST(l_suppkey AS string), l_orderkey * 8 + l_linenumber,
+               CAST(l_linenumber AS string) || ' ' || CAST(l_orderkey % 97 AS string) || '   '
+               || CAST(l_partkey % 89 AS string) || ' x' || CAST(l_orderkey % 13 AS string)
+               || CASE WHEN l_partkey % 2 = 0 THEN ' 1 2 3  ' ELSE '' END
         FROM {lineitem}""",
     "fx_features": """
         SELECT 'map' || CAST(p_size % 4 AS string) AS map_name, p_partkey AS key,

@@ -40,11 +40,8 @@ def with_segment(
     measured = df if measured_on is None else measured_on
     known = [k for k in keys if k in measured.columns]
     slim = measured.select(*known, F.col(position).cast("double").alias("__pos"))
-    bin_width = F.coalesce(
-        slim.agg(((F.max("__pos") - F.min("__pos")) / F.lit(float(_BINS))).alias("w")).scalar(),
-        F.lit(1.0),
-    )
-    bin_width = F.when(bin_width > 0, bin_width).otherwise(F.lit(1.0))
+    spread = slim.agg(((F.max("__pos") - F.min("__pos")) / F.lit(float(_BINS))).alias("w"))
+    bin_width = F.coalesce(F.nullif(spread.scalar(), F.lit(0.0)), F.lit(1.0))
     fullest = (
         slim.groupBy(*known, F.floor(F.col("__pos") / bin_width).alias("__bin"))
         .agg(F.count(F.lit(1)).alias("n"))
