@@ -317,6 +317,12 @@ def test_conform_is_strict(spark):
         table.conform(raw.withColumn("cpu", F.lit("x")), "c").collect()
     with pytest.raises(ValueError):
         table.conform(raw.drop("cpu"), "c")
+    ends = spark.createDataFrame(
+        [("18446744073709551615",), ("7",)], "sector string"
+    ).withColumns({c: F.lit(1) for c in spec("block_io_latency").columns if c not in ("sector", "collection_id", "ts_uptime_us")})
+    ends = ends.withColumn("block_io_end_uptime_us", F.lit(5))
+    got = spec("block_io_latency").conform(ends, "c")
+    assert rows(got, "sector", "ts_uptime_us") == [(-1, 5), (7, 5)]
 
 
 COLLAPSE = "pid long, tgid long, start_ts_ns long, end_ts_ns long, mm string, referenced long, collection_id string"

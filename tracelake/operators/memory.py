@@ -19,31 +19,28 @@ def meminfo_parse(raw: DataFrame, *, hugepage_counts_raw: bool = False) -> DataF
     ``hugepage_counts_raw`` is set.
     """
     lines = F.filter(F.split("procfs_dump", "\r?\n"), lambda x: x.contains(":"))
-    entries = F.transform(
-        lines,
-        lambda x: F.struct(
-            F.trim(F.substring_index(x, ":", 1)).alias("key"),
-            F.trim(F.regexp_replace(F.substr(x, F.instr(x, ":") + 1), "kB$", ""))
-            .try_cast("long")
-            .alias("value"),
-        ),
-    )
-
-    def value_of(column: str, key: str) -> Column:
-        hits = F.filter("__entries", lambda e: e["key"] == key)
-        number = F.when(F.size(hits) == 0, F.lit(0)).otherwise(
-            F.try_element_at(hits, F.lit(-1))["value"]
-        )
-        keep = hugepage_counts_raw and column in (
-            "hugepages_total",
-            "hugepages_free",
-            "hugepages_reserved",
-        )
-        return (number if keep else number * 1024).cast("long").alias(column)
-
-    columns = [value_of(c, k) for c, k in fixed.MEMINFO_COLUMNS.items()]
+    # Last line first, so that the first hit of a key is its last line.
+    keys = F.reverse(F.transform(lines, lambda x: F.trim(F.substring_index(x, ":", 1))))
+    values = F.reverse(F.transform(lines, lambda x: F.substr(x, F.instr(x, ":") + 1)))
+
+    def number(key: Column) -> Column:
+        at = F.array_position("__keys", key).cast("int")
+        text = F.trim(F.regexp_replace(F.element_at("__values", at), "kB$", ""))
+        return F.when(at == 0, F.lit(0).cast("long")).otherwise(text.try_cast("long"))
+
+    # One lambda for all keys keeps the generated code of a row small.
+    names = F.array(*[F.lit(k) for k in fixed.MEMINFO_COLUMNS.values()])
+    counts = ("hugepages_total", "hugepages_free", "hugepages_reserved")
+    columns = [
+        (F.col("__found")[i] * (1 if hugepage_counts_raw and c in counts else 1024)).alias(c)
+        for i, c in enumerate(fixed.MEMINFO_COLUMNS)
+    ]
     ids = [c for c in (COLLECTION,) if c in raw.columns]
-    return raw.withColumn("__entries", entries).select(UPTIME, *columns, *ids)
+    return (
+        raw.withColumns({"__keys": keys, "__values": values})
+        .withColumn("__found", F.transform(names, number))
+        .select(UPTIME, *columns, *ids)
+    )
 
 
 def madvise_labels(raw: DataFrame, code: str = "advice") -> DataFrame:

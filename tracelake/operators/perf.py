@@ -45,7 +45,7 @@ def _deltas(
         raw = F.when(raw < 0, raw + F.lit(1 << wrap_bits)).otherwise(raw)
     span = F.col(_RUNNING) - F.coalesce("__running", zero)
     enabled = F.col(_ENABLED) - F.coalesce("__enabled", zero)
-    if scaling == "reference":
+    if scaling == "as_sampled":
         scale = F.try_divide(span.cast("double"), enabled.cast("double"))
     elif scaling == "extrapolate":
         scale = F.try_divide(enabled.cast("double"), span.cast("double"))
@@ -60,7 +60,7 @@ def perf_pdf(
     table: DataFrame,
     counter: str,
     *,
-    scaling: str = "reference",
+    scaling: str = "as_sampled",
     wrap_bits: int | None = None,
     target_rows: int | None = TARGET_ROWS,
 ) -> DataFrame:
@@ -79,7 +79,7 @@ def perf_cdf(
     table: DataFrame,
     counter: str,
     *,
-    scaling: str = "reference",
+    scaling: str = "as_sampled",
     wrap_bits: int | None = None,
     target_rows: int | None = TARGET_ROWS,
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.functions import fixed
+from tracelake.functions.columns import signed_sector
 
 COLLECTION = "collection_id"
 UPTIME = "ts_uptime_us"
@@ -20,13 +21,15 @@ class TableSpec:
     """One named trace table.
 
     ``columns`` maps names to Spark SQL types; empty means any columns pass through.
-    ``renames`` maps source column names to ours. ``valid`` keeps usable rows.
+    ``renames`` maps source column names to ours, ``fixes`` gives columns that need more
+    than a cast. ``valid`` keeps usable rows.
     """
 
     name: str
     columns: Mapping[str, str] = field(default_factory=dict)
     renames: Mapping[str, str] = field(default_factory=dict)
     valid: Callable[[], Column] | None = None
+    fixes: Mapping[str, Callable[[Column], Column]] = field(default_factory=dict)
 
     @property
     def schema(self) -> T.StructType:
@@ -45,7 +48,10 @@ class TableSpec:
         missing = [c for c in self.columns if c not in out.columns]
         if missing:
             raise ValueError(f"table {self.name} lacks columns {missing}")
-        return out.select(*[F.col(c).cast(t).alias(c) for c, t in self.columns.items()])
+        fixed_up = {c: fix(F.col(c)) for c, fix in self.fixes.items()}
+        return out.select(
+            *[fixed_up.get(c, F.col(c)).cast(t).alias(c) for c, t in self.columns.items()]
+        )
 
     def filtered(self, df: DataFrame) -> DataFrame:
         """Rows that pass the validity rule."""
@@ -120,6 +126,7 @@ def _register_all() -> None:
                 "queue_length_segments": "queue_length_segment_ios",
                 "queue_length_4ks": "queue_length_4k_ios",
             },
+            fixes={"sector": signed_sector},
         )
     )
     register_table(
@@ -127,6 +134,7 @@ def _register_all() -> None:
             "block_io_latency",
             block | _longs("block_latency_us block_io_latency_us block_io_flags") | cid,
             renames={"block_io_end_uptime_us": UPTIME},
+            fixes={"sector": signed_sector},
         )
     )
     register_table(
