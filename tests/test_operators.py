@@ -271,6 +271,14 @@ def test_block_join_bounds(spark):
     assert blockio.block_io_join(*block_tables(spark), ordered=True).count() == 2
 
 
+def test_block_join_of_many_copies(spark):
+    queue, latency = block_tables(spark)
+    copies = spark.range(3000).select(F.lit(1).alias("__x"))
+    many = [t.where("sector = 100").crossJoin(copies).drop("__x") for t in (queue, latency)]
+    assert blockio.block_io_pairs(*many).count() == 4
+    assert blockio.block_io_join(*many).count() == 1
+
+
 @pytest.mark.parametrize("target_rows", [None, 1])
 def test_queue_depth_unmatched(spark, target_rows):
     raw = spark.createDataFrame(

@@ -22,16 +22,20 @@ _FINISH = "finish_ts_uptime_us"
 
 def block_io_pairs(queue: DataFrame, latency: DataFrame) -> DataFrame:
     """Every issue with every completion of the same request that can be its own:
-    later than it, by less than the completion's block latency."""
+    later than it, by less than the completion's block latency.
+
+    Equal rows are reduced to one on both sides first, since copies of a request would
+    otherwise all pair up; no later step tells them apart.
+    """
     ends = latency.select(
         *_REQUEST,
         F.col(UPTIME).alias(_FINISH),
         "block_latency_us",
         "block_io_latency_us",
-    )
+    ).distinct()
     # 0 < finish - start < latency  is  finish - latency < start < finish.
     return join_points_to_intervals(
-        queue,
+        queue.distinct(),
         ends,
         _REQUEST,
         UPTIME,

@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bucket widths as powers of two, in units of the position column. An interval touching
-# up to _SPREAD fine buckets is listed in each; a longer one uses the coarse buckets.
-FINE_BITS = 20
-COARSE_BITS = 36
+# An interval touching up to _SPREAD fine buckets is listed in each; a longer one uses
+# coarse buckets, _COARSER powers of two wider.
 _SPREAD = 64
+_COARSER = 16
 
 
 def join_points_to_intervals(
@@ -21,34 +20,44 @@ def join_points_to_intervals(
     point: str,
     low: Column,
     high: Column,
-    *,
-    fine_bits: int = FINE_BITS,
-    coarse_bits: int = COARSE_BITS,
 ) -> DataFrame:
     """All (point, interval) pairs with equal ``on`` columns and low < point < high.
 
     ``point`` is a long; ``low`` and ``high`` are long expressions over ``intervals``.
     Rows meet only inside a time bucket, so a key repeated millions of times is spread
-    over its timeline. Long intervals meet the points in coarse buckets; points are
-    listed there a second time only when the data holds such an interval (checked by a
-    scalar subquery).
+    over its timeline. The bucket width is the power of two above the mean interval
+    length, so listing the intervals in all buckets they touch makes about three times
+    as many rows, whatever the lengths. Long intervals meet the points in coarse
+    buckets; points are listed there a second time only when the data holds such an
+    interval. Mean and maximum come from one scalar subquery.
     """
     spans = intervals.withColumns({"__low": low, "__high": high}).where(
         F.col("__high") - F.col("__low") > 1
     )
-    is_long = F.col("__high") - F.col("__low") > (_SPREAD << fine_bits)
-    any_long = spans.agg(F.coalesce(F.max(is_long), F.lit(False)).alias("x")).scalar()
+    length = F.col("__high") - F.col("__low")
+    lengths = spans.agg(F.struct(F.avg(length).alias("mean"), F.max(length).alias("most")).alias("x"))
+    seen = lengths.scalar()
+    fine_bits = F.coalesce(F.ceil(F.log2(seen["mean"])).cast("int"), F.lit(0))
+    longest_fine = F.call_function("shiftleft", F.lit(_SPREAD).cast("long"), fine_bits)
+    is_long = length > longest_fine
+    any_long = F.coalesce(seen["most"] > longest_fine, F.lit(False))
 
     def bucket(value: Column, long: Column) -> Column:
-        return F.when(long, F.shiftright(value, coarse_bits)).otherwise(
-            F.shiftright(value, fine_bits)
-        )
+        bits = fine_bits + F.when(long, F.lit(_COARSER)).otherwise(F.lit(0))
+        return F.call_function("shiftright", value, bits)
 
     # A meeting is a bucket number with the kind of bucket in its lowest bit.
-    first, last = bucket(F.col("__low"), is_long), bucket(F.col("__high"), is_long)
     spans = (
         spans.withColumn("__long", is_long)
-        .withColumn("__bucket", F.explode(F.sequence(first, last)))
+        .withColumn(
+            "__bucket",
+            F.explode(
+                F.sequence(
+                    bucket(F.col("__low"), F.col("__long")),
+                    bucket(F.col("__high"), F.col("__long")),
+                )
+            ),
+        )
         .withColumn("__meet", F.col("__bucket") * 2 + F.col("__long").cast("int"))
         .drop("__bucket", "__long")
     )
