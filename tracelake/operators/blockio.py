@@ -32,15 +32,16 @@ def block_io_pairs(queue: DataFrame, latency: DataFrame) -> DataFrame:
         F.col(UPTIME).alias(_FINISH),
         "block_latency_us",
         "block_io_latency_us",
-    ).distinct()
+    )
     # 0 < finish - start < latency  is  finish - latency < start < finish.
     return join_points_to_intervals(
         queue.distinct(),
-        ends,
+        ends.distinct(),
         _REQUEST,
         UPTIME,
         F.col(_FINISH) - F.col("block_latency_us"),
         F.col(_FINISH),
+        measured_on=ends,
     )
 
 

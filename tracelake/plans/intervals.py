@@ -20,6 +20,8 @@ def join_points_to_intervals(
     point: str,
     low: Column,
     high: Column,
+    *,
+    measured_on: DataFrame | None = None,
 ) -> DataFrame:
     """All (point, interval) pairs with equal ``on`` columns and low < point < high.
 
@@ -29,13 +31,19 @@ def join_points_to_intervals(
     length, so listing the intervals in all buckets they touch makes about three times
     as many rows, whatever the lengths. Long intervals meet the points in coarse
     buckets; points are listed there a second time only when the data holds such an
-    interval. Mean and maximum come from one scalar subquery.
+    interval. Mean and maximum come from one scalar subquery, over ``measured_on`` if
+    that is a cheaper table with the same columns.
     """
-    spans = intervals.withColumns({"__low": low, "__high": high}).where(
-        F.col("__high") - F.col("__low") > 1
-    )
     length = F.col("__high") - F.col("__low")
-    lengths = spans.agg(F.struct(F.avg(length).alias("mean"), F.max(length).alias("most")).alias("x"))
+
+    def with_ends(table: DataFrame) -> DataFrame:
+        return table.withColumns({"__low": low, "__high": high}).where(length > 1)
+
+    spans = with_ends(intervals)
+    measured = spans if measured_on is None else with_ends(measured_on)
+    lengths = measured.agg(
+        F.struct(F.avg(length).alias("mean"), F.max(length).alias("most")).alias("x")
+    )
     seen = lengths.scalar()
     fine_bits = F.coalesce(F.ceil(F.log2(seen["mean"])).cast("int"), F.lit(0))
     longest_fine = F.call_function("shiftleft", F.lit(_SPREAD).cast("long"), fine_bits)

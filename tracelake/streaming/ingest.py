@@ -9,6 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from tracelake.sources.layout import BENCHMARK
 from tracelake.specs import COLLECTION
 
+_SHUFFLE = "spark.sql.shuffle.partitions"
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
 
 def stream_chunks(
     spark: SparkSession,
@@ -38,11 +41,14 @@ def start_table_sink(
     *,
     partitions: tuple[str, ...] = (BENCHMARK, COLLECTION),
     interval: str | None = None,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Append a stream to a Parquet table, each row exactly once.
 
     With ``interval`` (such as ``"1 minute"``) it keeps draining at that pace; without,
-    it takes what is there and ends.
+    it takes what is there and ends. State is kept in ``state_partitions`` parts from the
+    first run on; by default as many as the cluster has cores, at most the session's
+    shuffle partitions, since every part is saved with every batch.
     """
     writer = (
         stream.writeStream.format("parquet")
@@ -57,4 +63,19 @@ def start_table_sink(
         writer = writer.trigger(availableNow=True)
     else:
         writer = writer.trigger(processingTime=interval)
-    return writer.start()
+    spark = stream.sparkSession
+    shuffle = int(spark.conf.get(_SHUFFLE))
+    parts = state_partitions or min(shuffle, spark.sparkContext.defaultParallelism)
+    settings = {_SHUFFLE: str(parts)}
+    if interval is None:
+        # A drain that ends needs no extra batch after the last one.
+        settings[_EMPTY_BATCHES] = "false"
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        # A started query keeps its own copy of the settings.
+        return writer.start()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
