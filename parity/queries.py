@@ -360,8 +360,8 @@ def perf_pdf(samples):
     return perf.perf_pdf(samples, COUNTER)
 
 
-# A running sum of doubles depends on the order of addition in its last digits, so it is
-# compared at three decimals.
+# A running sum of doubles may depend on the order of addition in its last digits, so it
+# is compared at three decimals.
 @_on("fx_perf")
 def perf_cdf(samples):
     return perf.perf_cdf(samples, COUNTER).withColumn(COUNTER, F.round(COUNTER, 3))

@@ -66,11 +66,12 @@ VIEWS = {
                us AS ts_uptime_us, CAST(round(value * 10000) AS bigint) AS quanta_queued_time_us,
                collection_id
         FROM {fx_events}""",
-    # A counter that grows with time, without a window over a whole CPU.
+    # A counter that grows with time, without a window over a whole CPU. Time shares are
+    # quarters, so that scaled sums are exact in any order.
     "fx_perf": """
         SELECT user_id % 8 AS cpu, user_id AS pid, user_id AS tgid, us AS ts_uptime_us, collection_id,
                us + CAST(round(value * 100) AS bigint) AS cumulative_dtlb_misses,
-               us AS pmu_enabled_time_us, CAST(floor(us * 3 / 4) AS bigint) AS pmu_running_time_us
+               us * 4 AS pmu_enabled_time_us, us * (1 + user_id % 4) AS pmu_running_time_us
         FROM {fx_events}""",
     "fx_block_io_queue": """
         SELECT l_partkey % 8 AS cpu, l_suppkey % 4 AS device, l_orderkey AS sector,
