@@ -37,9 +37,13 @@ def process_lifetimes(
     main = _main_rows(trace)
     starts = main.where(F.col("cap_type") == "start")
     ends = main.where(F.col("cap_type") == "end")
+    names = last_names(trace)
     if pairing == "all":
-        spans = starts.select(*_PROC, F.col("ts_ns").alias("start_ns")).join(
-            ends.select(*_PROC, F.col("ts_ns").alias("end_ns")), _PROC, "inner"
+        # Names first: a later filter on the name then cuts the starts before they pair.
+        spans = (
+            starts.select(*_PROC, F.col("ts_ns").alias("start_ns"))
+            .join(names, _PROC, "left")
+            .join(ends.select(*_PROC, F.col("ts_ns").alias("end_ns")), _PROC, "inner")
         )
     elif pairing == "next_end":
         # Scanned backwards in time, the end that follows a start is the last one seen.
@@ -58,10 +62,11 @@ def process_lifetimes(
             )
             .where((F.col("__is_start") == 1) & F.col("end_ns").isNotNull())
             .select(*_PROC, F.col("ts_ns").alias("start_ns"), "end_ns")
+            .join(names, _PROC, "left")
         )
     else:
         raise ValueError(f"unknown pairing {pairing!r}")
-    out = spans.join(last_names(trace), _PROC, "left").select(
+    out = spans.select(
         *_PROC,
         "start_ns",
         F.coalesce("full_name", F.lit("")).alias("full_name"),
