@@ -10,7 +10,7 @@ a test on the merges next to their border. Following the stored tokens back give
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -45,21 +45,40 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Piece of text -> its ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, bpe: Bpe) -> None:
-        super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = np.array(self.bpe.piece_ids(raw), "<u4").tobytes()
-        if len(raw) <= CACHED_BYTES:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = ids
-        return ids
+class _Lookup:
+    """Map of whole numbers that answers arrays of keys; -1 for those it doesn't have."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, (8 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.full(1 << bits, -1, np.int32)
+        slots = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slots] < 0)
+            _, one = np.unique(slots[free], return_index=True)
+            here = free[one]
+            self.keys[slots[here]], self.values[slots[here]] = keys[here], values[here]
+            rest = np.ones(len(keys), bool)
+            rest[here] = False
+            keys, values, slots = keys[rest], values[rest], (slots[rest] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        found = np.where(held == keys, self.values[slots], -1)
+        rest = np.flatnonzero((held != keys) & (held >= 0))
+        while len(rest):
+            slots[rest] = (slots[rest] + 1) & self.mask
+            held = self.keys[slots[rest]]
+            hit = held == keys[rest]
+            found[rest[hit]] = self.values[slots[rest[hit]]]
+            rest = rest[~hit & (held >= 0)]
+        return found
 
 
 class Bpe:
@@ -89,17 +108,41 @@ class Bpe:
             if self.rank[token] < 0:
                 self.rank[token], self.left[token], self.right[token] = rank, left, right
         self.never = len(self.merged) + 1
+        self.ranks, self.lefts, self.rights = (
+            np.array(x, np.int32) for x in (self.rank, self.left, self.right)
+        )
+        pairs = np.array([a << 16 | b for a, b in self.merged], np.int64)
+        self.merged_at = _Lookup(pairs, np.fromiter(self.merged.values(), np.int32))
         self.fits: dict[tuple[int, int], bool] = {}
+        #: Pairs tested last, by a hash, and whether they fit.
+        self.tested = np.full(1 << 20, -1, np.int64)
+        self.fitted = np.zeros(1 << 20, bool)
+        usable = {
+            i: b
+            for i, b in self.bytes_of.items()
+            if (len(b) == 1 or self._makes_itself(i)) and i not in self.special.values()
+        }
         self.ends = ahocorasick.Automaton()
-        for i, b in self.bytes_of.items():
-            if (len(b) == 1 or self._makes_itself(i)) and i not in self.special.values():
-                self.ends.add_word(b.decode("latin-1"), (i, len(b)))
+        steps: dict[int, int] = {}
+        ends_at = {}
+        for i, b in usable.items():
+            self.ends.add_word(b.decode("latin-1"), (i, len(b)))
+            state = 0
+            for byte in b:
+                state = steps.setdefault(state << 8 | byte, len(steps) + 1)
+            ends_at[state] = i
         self.ends.make_automaton()
+        self.step = _Lookup(np.fromiter(steps, np.int64), np.fromiter(steps.values(), np.int32))
+        self.token_at = np.full(len(steps) + 1, -1, np.int32)
+        self.token_at[list(ends_at)] = list(ends_at.values())
+        self.sizes = np.zeros(size, np.int64)
+        self.sizes[list(usable)] = [len(b) for b in usable.values()]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.splitter = ByteLevel(add_prefix_space=False, use_regex=True)
         alternatives = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
         self.at_special = regex.compile(f"({alternatives})") if alternatives else None
-        self.pieces = _Pieces(self)
+        #: Piece of text -> its ids as little-endian unsigned 32-bit integers.
+        self.pieces: dict[str, bytes] = {}
 
     def _quiet_until(self, a: int, b: int, limit: int) -> bool:
         """Whether no merge of rank under ``limit`` joins a's right side with b's left.
@@ -151,20 +194,138 @@ class Bpe:
             n -= size[n]
         return ids[::-1]
 
-    def _plain(self, text: str) -> bytes:
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """may_follow() for arrays."""
+        pair = a.astype(np.int64) << 16 | b
+        slot = (pair * 0x9E3779B1 >> 8) & (len(self.tested) - 1)
+        fits = self.fitted[slot]
+        new = np.flatnonzero(self.tested[slot] != pair)
+        if len(new):
+            fits[new] = self._quiet(a[new], b[new])
+            self.tested[slot[new]], self.fitted[slot[new]] = pair[new], fits[new]
+        return fits
+
+    def _quiet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_quiet_until() for arrays, without a limit."""
+        fits, at = np.ones(len(a), bool), np.arange(len(a))
+        until_a = np.full(len(a), self.never)
+        until_b = until_a.copy()
+        while len(at):
+            due = self.merged_at(a.astype(np.int64) << 16 | b)
+            due[due < 0] = self.never
+            joined = (due < until_a) & (due <= until_b)
+            fits[at[joined]] = False
+            rank_a, rank_b = self.ranks[a], self.ranks[b]
+            go = np.flatnonzero(~joined & ((rank_a >= 0) | (rank_b >= 0)))
+            at, a, b, rank_a, rank_b = at[go], a[go], b[go], rank_a[go], rank_b[go]
+            first = rank_a >= rank_b
+            until_a = np.where(first, rank_a, until_a[go])
+            until_b = np.where(first, until_b[go], rank_b)
+            a, b = np.where(first, self.rights[a], a), np.where(first, b, self.lefts[b])
+        return fits
+
+    def batch_ids(self, pieces: list[bytes]) -> list[bytes]:
+        """piece_ids() of many short pieces, a prefix of all of them at a time."""
+        lens = np.array([len(p) for p in pieces], np.int64)
+        offs = np.cumsum(lens) - lens
+        buf = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        pos = np.arange(len(buf)) - np.repeat(offs, lens)
+        room = np.repeat(lens, lens) - pos
+        # All tokens from all places, a byte longer in each step.
+        at, state = np.arange(len(buf)), np.zeros(len(buf), np.int64)
+        starts, tokens, sizes, k = [], [], [], 0
+        while len(at):
+            state = self.step(state << 8 | buf[at + k]).astype(np.int64)
+            k += 1
+            known = np.flatnonzero(state >= 0)
+            at, state = at[known], state[known]
+            token = self.token_at[state]
+            whole = np.flatnonzero(token >= 0)
+            starts.append(at[whole])
+            tokens.append(token[whole])
+            sizes.append(np.full(len(whole), k))
+            longer = np.flatnonzero(room[at] > k)
+            at, state = at[longer], state[longer]
+        start, token, size = map(np.concatenate, (starts, tokens, sizes))
+        prefix = pos[start] + size
+        order = np.argsort(prefix.astype(np.uint8), kind="stable")
+        bounds = np.cumsum(np.bincount(prefix, minlength=CACHED_BYTES + 2))
+        # The last token of every prefix, from the shortest on.
+        last = np.full(len(buf) + 1, -1, np.int64)
+        for n in range(1, len(bounds)):
+            ending = order[bounds[n - 1] : bounds[n]]
+            if not len(ending):
+                continue
+            s, t = start[ending], token[ending]
+            right = pos[s] == 0
+            ask = np.flatnonzero(~right)
+            right[ask] = self._fit(last[s[ask] - 1], t[ask])
+            last[s[right] + size[ending][right] - 1] = t[right]
+        # Back from the ends.
+        at, who = offs + lens, np.arange(len(pieces))
+        found, whose = [], []
+        while len(who):
+            t = last[at - 1]
+            found.append(t)
+            whose.append(who)
+            at = at - self.sizes[t]
+            more = np.flatnonzero(at > offs[who])
+            at, who = at[more], who[more]
+        counts = np.bincount(np.concatenate(whose), minlength=len(pieces))
+        begins = np.cumsum(counts) - counts
+        ids = np.zeros(counts.sum(), "<u4")
+        for step, (who, t) in enumerate(zip(whose, found, strict=True)):
+            ids[begins[who] + counts[who] - 1 - step] = t
+        raw = ids.tobytes()
+        return [raw[4 * b : 4 * (b + n)] for b, n in zip(begins.tolist(), counts.tolist(), strict=True)]
+
+    def _cut(self, text: str) -> list[str]:
         if _SETTLED.fullmatch(text):
-            pieces = self.pattern.findall(text)
-        else:
-            pieces = [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
-        return b"".join(map(self.pieces.__getitem__, pieces))
+            return self.pattern.findall(text)
+        return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def _parts(self, text: str) -> list[str]:
+        """A text cut at special tokens, which stand at the odd places."""
         if self.at_special is None or not any(t in text for t in self.special):
-            return self._plain(text)
-        parts = self.at_special.split(text)
-        known = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
-        return b"".join(known[p] if i % 2 else self._plain(p) for i, p in enumerate(parts))
+            return [text]
+        return self.at_special.split(text)
+
+    def _join(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        parts = [self._parts(text) for text in texts]
+        cuts = [[self._cut(p) if i % 2 == 0 else p for i, p in enumerate(ps)] for ps in parts]
+        new = set().union(*(c[i] for c in cuts for i in range(0, len(c), 2))) - self.pieces.keys()
+        raw = {p: p.encode() for p in new}
+        short = [p for p, b in raw.items() if len(b) <= CACHED_BYTES]
+        if short:
+            ids = self.batch_ids([raw[p] for p in short])
+            self.pieces.update(zip(short, ids, strict=True))
+        long = [p for p, b in raw.items() if len(b) > CACHED_BYTES]
+        for p in long:
+            self.pieces[p] = np.array(self.piece_ids(raw[p]), "<u4").tobytes()
+        special = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+        out = [b"".join(special[p] if i % 2 else self._join(p) for i, p in enumerate(c)) for c in cuts]
+        for p in long:
+            del self.pieces[p]
+        return out
+
+    def encode(self, texts: Iterable[str], most: int = 1 << 21) -> Iterator[bytes]:
+        """encode_all() in parts of about ``most`` characters."""
+        some: list[str] = []
+        n = 0
+        for text in texts:
+            some.append(text)
+            n += len(text)
+            if n >= most:
+                yield from self.encode_all(some)
+                some, n = [], 0
+        if some:
+            yield from self.encode_all(some)
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
@@ -181,7 +342,7 @@ def encoded(text: Column, path: str | None = None) -> Column:
 
     def ids(texts: pa.Array) -> pa.Array:
         codec = bpe(path)
-        found = [codec.encode(t or "") for t in texts.to_pylist()]
+        found = list(codec.encode(t or "" for t in texts.to_pylist()))
         ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
         return pa.ListArray.from_arrays(
             pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4"))

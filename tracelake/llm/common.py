@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.sources.scratch import scratch_dir
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; also what ``bytes.split()`` splits at.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Stands for a null doc_id where documents are ordered: later than any other.
@@ -46,3 +48,10 @@ def cut(df: DataFrame) -> DataFrame:
         own = conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or own)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in a new folder under the shared one; smaller than cut() keeps."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
