@@ -27,6 +27,7 @@ MAX_LANGUAGES = 500
 #: Bytes of a text that are compressed together: long texts would else be their own model.
 _CHUNK = 2048
 _LETTER = regex.compile(r"\p{L}")
+_NO_LETTERS = regex.compile(r"\P{L}+")
 _FOUND = StructType(
     [
         StructField("lang_pred", StringType()),
@@ -58,12 +59,17 @@ def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     sample = rows.where(drawn & short).orderBy(F.xxhash64("doc_id", F.lit(8)), "text").collect()
     texts: dict[str, dict[bytes, None]] = {lang: {} for lang in counts}
     for row in sample:
-        texts[row["lang"]][row["text"].encode()] = None
+        texts[row["lang"]][_plain(row["text"])] = None
     return {
         lang: b"\n".join(own)[:DICTIONARY_BYTES] or lang.encode() for lang, own in texts.items()
     }
 
 
+def _plain(text: str) -> bytes:
+    """Lower-case letters only, a space for all between them."""
+    return _NO_LETTERS.sub(" ", text).lower().encode()
+
+
 def _compressors(contents: dict[str, bytes]) -> list[zstandard.ZstdCompressor]:
     # Short matches count: what tells languages apart are pieces of words.
     params = zstandard.ZstdCompressionParameters(
@@ -89,10 +95,10 @@ def _compressors(contents: dict[str, bytes]) -> list[zstandard.ZstdCompressor]:
 def identified(text: Column, contents: dict[str, bytes], min_margin: float = 0.02) -> Column:
     """Struct of lang_pred, score, margin and rejected for a text.
 
-    The whole text is compressed, chunk by chunk, with each language's dictionary; the
-    smallest total wins, the more frequent language at a tie. margin is by how much the
-    second is larger, in parts of the smallest; below ``min_margin`` the guess is marked
-    rejected. A null text, one without a letter, or no learned language give ``und`` with
+    The whole text, its letters in lower case, is compressed, chunk by chunk, with each
+    language's dictionary; the smallest total wins, the more frequent language at a tie.
+    margin is by how much the second is larger, in parts of the smallest; below
+    ``min_margin`` the guess is marked rejected. A null text, one without a letter, or no learned language give ``und`` with
     score 0, rejected.
     """
 
@@ -103,7 +109,7 @@ def identified(text: Column, contents: dict[str, bytes], min_margin: float = 0.0
             if not names or text is None or not _LETTER.search(text):
                 out.append((UNKNOWN, 0.0, 0.0, True))
                 continue
-            raw = text.encode()
+            raw = _plain(text)
             chunks = [raw[i : i + _CHUNK] for i in range(0, len(raw), _CHUNK)]
             sizes = np.array([sum(len(c.compress(x)) for x in chunks) for c in compressors])
             best = int(sizes.argmin())

@@ -55,7 +55,7 @@ def _tile(k: int, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         for i in range(len(near)):
             rest = np.flatnonzero(may[i])
             # Added up in the order of the components, so that equal vectors score equally.
-            scores = (c_columns[:, rest] * q[at + i][:, None]).sum(axis=0)
+            scores = np.cumsum(c_columns[:, rest] * q[at + i][:, None], axis=0)[-1]
             best = heapq.nsmallest(k, zip(-scores, c_ids[rest], strict=True))
             found += ((q_ids[at + i], vec_id, -score) for score, vec_id in best)
     return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])

@@ -92,7 +92,7 @@ def _confirmed(kind: str, hit: Column) -> Column:
         return hit.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")
     if kind == "card":
         n = F.length(_digits(hit))
-        return (n >= 12) & (n <= 19) & F.luhn_check(_digits(hit))
+        return (n >= 12) & (n <= 19) & F.call_function("luhn_check", _digits(hit))
     if kind == "phone":
         return F.length(_digits(hit)).between(9, 15)
     if kind == "iban":
@@ -109,6 +109,32 @@ def _maybe(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+def _kind_spans(kind: str) -> Column:
+    """Confirmed spans of a kind, from its columns of hits, gaps and places."""
+    rank = KINDS.index(kind)
+
+    def span(hit: Column, i: Column) -> Column:
+        start = F.get(F.col(f"{kind}_at"), i) + F.length(F.get(F.col(f"{kind}_gaps"), i))
+        return F.struct(start.alias("start"), F.length(hit).alias("size"), hit.alias("hit"))
+
+    def weighed(s: Column) -> Column:
+        first = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
+        near = F.lower(F.substring(F.col("text"), first + 1, s["start"] - first))
+        bonus = SSN_BONUS if kind == "ssn" else CONTEXT_BONUS
+        score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), bonus).otherwise(0.0)
+        return F.struct(
+            s["start"].alias("start"),
+            F.lit(rank).alias("rank"),
+            F.lit(kind).alias("kind"),
+            (s["start"] + s["size"]).alias("end"),
+            F.round(score, 2).alias("score"),
+        )
+
+    placed = F.transform(f"{kind}_hits", span)
+    scored = F.transform(F.filter(placed, lambda s: _confirmed(kind, s["hit"])), weighed)
+    return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= THRESHOLD)
+
+
 def with_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id and spans of every row of ``docs``, in one pass without a shuffle.
 
@@ -122,49 +148,22 @@ def with_personal_data(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", whole_text().alias("text"))
     for kind in KINDS:
         hits = F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))
-        found = found.withColumn(f"{kind}_hits", F.when(_maybe(kind, F.col("text")), hits).otherwise(empty))
+        maybe = F.when(_maybe(kind, F.col("text")), hits).otherwise(empty)
+        found = found.withColumn(f"{kind}_hits", maybe)
     for kind in KINDS:
         gaps = F.split("text", PATTERNS[kind], -1)
         any_hit = F.size(f"{kind}_hits") > 0
         found = found.withColumn(f"{kind}_gaps", F.when(any_hit, gaps).otherwise(empty))
     for kind in KINDS:
         hit_list, gap_list = F.col(f"{kind}_hits"), F.col(f"{kind}_gaps")
-        ends = F.zip_with(
-            F.slice(gap_list, F.lit(1), F.size(hit_list)), hit_list, lambda g, h: F.length(g) + F.length(h)
-        )
-        before = F.when(F.size(hit_list) > 0, _sums_before(ends)).otherwise(F.array().cast("array<int>"))
+        gap_list = F.slice(gap_list, F.lit(1), F.size(hit_list))
+        lengths = F.zip_with(gap_list, hit_list, lambda g, h: F.length(g) + F.length(h))
+        before = F.when(F.size(hit_list) > 0, _sums_before(lengths))
         found = found.withColumn(f"{kind}_at", before)
-    columns = []
-    for rank, kind in enumerate(KINDS):
-        gap_list = F.col(f"{kind}_gaps")
-
-        def span(hit: Column, i: Column, kind: str = kind, rank: int = rank, gaps: Column = gap_list) -> Column:
-            start = F.get(F.col(f"{kind}_at"), i) + F.length(F.get(gaps, i))
-            return F.struct(
-                start.alias("start"), F.lit(rank).alias("rank"), F.length(hit).alias("size"), hit.alias("hit")
-            )
-
-        placed = F.transform(f"{kind}_hits", span)
-        good = F.filter(placed, lambda s, kind=kind: _confirmed(kind, s["hit"]))
-
-        def weighed(s: Column, kind: str = kind, rank: int = rank) -> Column:
-            from_ = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-            near = F.lower(F.substring(F.col("text"), from_ + 1, s["start"] - from_))
-            bonus = SSN_BONUS if kind == "ssn" else CONTEXT_BONUS
-            score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), bonus).otherwise(0.0)
-            return F.struct(
-                s["start"].alias("start"),
-                F.lit(rank).alias("rank"),
-                F.lit(kind).alias("kind"),
-                (s["start"] + s["size"]).alias("end"),
-                F.round(score, 2).alias("score"),
-            )
-
-        scored = F.transform(good, weighed)
-        columns.append(scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= THRESHOLD))
+    columns = [_kind_spans(kind) for kind in KINDS]
     spans = F.transform(
         F.array_sort(F.concat(*columns)),
-        lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["score"].alias("score")),
+        lambda s: F.struct(*(s[c].alias(c) for c in ("start", "kind", "end", "score"))),
     )
     return found.select("doc_id", spans.alias("spans"))
 
@@ -178,9 +177,9 @@ def listed(spans: Column) -> Column:
 def _kind_sql(kind: str, pattern: str, check: str, score: str = "1.0") -> str:
     return f"""
     SELECT doc_id, '{kind}' AS kind, {KINDS.index(kind)} AS rank, start, start + length(hit) AS stop FROM (
-        SELECT doc_id, t, unnest(hits) AS hit, unnest(list_transform(range(1, len(hits) + 1), lambda i:
+        SELECT doc_id, t, unnest(hits) AS hit, unnest(list_transform(range(1, len(hits) + 1), lambda i: CAST(
             list_sum(list_transform(gaps[1:i], lambda g: length(g)))
-            + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))) AS start
+            + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT))) AS start
         FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS hits, regexp_split_to_array(t, '{pattern}') AS gaps
               FROM texts)
     ) WHERE {check} AND {score} >= {THRESHOLD}"""

@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, simhash
-from tracelake.llm.common import table
+from tracelake.llm import (
+    bpe,
+    decontaminate,
+    language,
+    nearest,
+    pii,
+    simhash,
+    substrings,
+    toxicity,
+)
+from tracelake.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +33,73 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_simhash_near_dedup)}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *(count(kind) for kind in pii.BASE),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels.where(id_remainder(3) != 1))
+    found = toxicity.with_toxicity(docs, model)
+    return found.select(
+        "doc_id",
+        F.coalesce(id_remainder(3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    contents = language.dictionaries(docs.where(id_remainder(4) != 2))
+    found = language.identify(docs, contents)
+    held_out = F.coalesce(id_remainder(4) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "margin", "rejected")
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.leaks(docs, benchmark)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_bpe,
+        op2_simhash_near_dedup,
+        op3_pii,
+        op4_toxicity,
+        op5_substring_dedup,
+        op7_language_id,
+        op9_nearest_neighbours,
+        op10_decontamination,
+    )
+}
 #: Answers in SQL, where it can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_pii": pii.PII_SQL,
+    "op5_substring_dedup": substrings.SUBSTRING_SQL,
+    "op9_nearest_neighbours": nearest.NEAREST_SQL,
+    "op10_decontamination": decontaminate.LEAKS_SQL,
+}

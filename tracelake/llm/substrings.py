@@ -265,11 +265,11 @@ WITH words AS (
         SELECT doc_id, unnest(range(p, p + 50)) AS i FROM hashed JOIN firsts USING (h) WHERE doc_id > d
     )
 ), dropped AS (
-    SELECT doc_id, list(i) AS at FROM gone GROUP BY doc_id
+    SELECT doc_id, list(i) AS gone_at FROM gone GROUP BY doc_id
 ), left_over AS (
-    SELECT doc_id, len(w) AS n_words, coalesce(len(at), 0) AS n_removed,
-        CASE WHEN at IS NULL THEN w ELSE list_transform(
-            list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(at, i)), lambda i: w[i]) END AS kept
+    SELECT doc_id, len(w) AS n_words, coalesce(len(gone_at), 0) AS n_removed,
+        CASE WHEN gone_at IS NULL THEN w ELSE list_transform(
+            list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone_at, i)), lambda i: w[i]) END AS kept
     FROM words LEFT JOIN dropped USING (doc_id)
 )
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM left_over

@@ -20,9 +20,13 @@ from pyspark.sql.types import (
 from tracelake.llm.common import cut, whole_text
 
 #: Labelled documents that a model is learned from, about: drawn by a hash of doc_id.
-LABELLED = 16_000
-#: Tokens of a model at most, the strongest first; its size goes to every task.
+LABELLED = 12_000
+#: Tokens and stems of a model at most, the strongest first; its size goes to every task.
 TOKENS = 50_000
+#: Letters of the stems that stand for longer tokens besides the whole token.
+STEMS = (4, 5)
+#: Entries of a task's table of token weights; a full table is emptied.
+_CACHE = 200_000
 #: Tokens seen in fewer different contexts than this teach nothing.
 SUPPORT = 5
 #: Weight of the prior, in parts of the toxic tokens seen.
@@ -51,13 +55,30 @@ _SCORED = StructType(
 @dataclass
 class Model:
     weights: dict[str, float]
-    #: Extreme-value distribution of the best segment in clean text: rate and size factor.
-    rate: float
+    #: Segments of clean text above ``floor``: how many a token, and how fast they thin out.
+    floor: float
     log_k: float
+    rate: float
     #: Logistic line over what ``_features`` gives.
     line: tuple[float, ...]
 
 
+class _Weights(dict):
+    """Token -> the weight of the token or of one of its stems: the most toxic, if any is."""
+
+    def __init__(self, learned: dict[str, float]) -> None:
+        super().__init__()
+        self.learned = learned
+
+    def __missing__(self, token: str) -> float:
+        if len(self) >= _CACHE:
+            self.clear()
+        stems = (token[:n] + "*" for n in STEMS if len(token) > n)
+        found = [self.learned.get(x, 0.0) for x in (token, *stems)]
+        weight = self[token] = max(found) if max(found) > 0 else min(found)
+        return weight
+
+
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (begin, end, sum), disjoint and in order, in linear time."""
     kept: list[tuple[int, int, float, float, int]] = []  # begin, end, sum before, sum after, link
@@ -79,9 +100,9 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(b, e, after - before) for b, e, before, after, _ in kept]
 
 
-def _segments(tokens: list[str], weights: dict[str, float]) -> list[tuple[int, int, float]]:
+def _segments(tokens: list[str], weights: _Weights) -> list[tuple[int, int, float]]:
     """Maximal segments of a text's tokens; a run without weights is one negative score."""
-    found = [(i, w) for i, w in enumerate(map(weights.get, tokens)) if w]
+    found = [(i, w) for i, w in enumerate(map(weights.__getitem__, tokens)) if w]
     if not found:
         return []
     scores: list[float] = []
@@ -97,14 +118,28 @@ def _segments(tokens: list[str], weights: dict[str, float]) -> list[tuple[int, i
     return [(at[b][0], at[e - 1][1], s) for b, e, s in maximal_segments(scores)]
 
 
-def _features(n: int, scores: list[float], rate: float, log_k: float) -> tuple[float, float]:
-    """Of a text's segments: the best one's distance from what chance gives in n tokens, and
-    the sum of all that stand out from a single token's background, both in nats."""
-    if not scores:
-        return 0.0, 0.0
-    clear = [rate * s - max(log_k, 0.0) for s in scores]
-    best = max(0.0, rate * max(scores) - log_k - np.log(max(n, 1)))
-    return best, float(np.log1p(sum(c for c in clear if c > 0)))
+def _surprise(n: int, score: float, floor: float, log_k: float, rate: float) -> float:
+    """Minus the logarithm of how many segments of n clean tokens score as much."""
+    return rate * (score - floor) - log_k - float(np.log(max(n, 1)))
+
+
+def _features(n: int, scores: list[float], tail: tuple[float, float, float]) -> tuple[float, float]:
+    """Surprise of a text's best segment, and of all that surprise together, damped."""
+    clear = [x for x in (_surprise(n, s, *tail) for s in scores if s > tail[0]) if x > 0]
+    return float(np.log1p(max(clear, default=0.0))), float(np.log1p(sum(clear)))
+
+
+def _tail(clean: list[list[float]]) -> tuple[float, float, float]:
+    """floor, log_k and rate of clean texts' segments: scores above a high one are
+    exponential, so that the best one's is an extreme-value distribution of the first kind."""
+    tokens = max(sum(s[0] for s in clean), 1.0)
+    scores = np.array([x for s in clean for x in s[1:]])
+    if len(scores) < 10:
+        return 0.5, float(np.log(1 / tokens)), 2.0
+    floor = float(np.quantile(scores, 0.9))
+    over = scores[scores > floor] - floor
+    rate = float(np.clip(1 / over.mean(), 0.2, 10.0)) if len(over) else 2.0
+    return floor, float(np.log(max(len(over), 1) / tokens)), rate
 
 
 def _log_odds(one: Column, zero: Column, prior: Column, totals: tuple[float, float, float]) -> Column:
@@ -130,7 +165,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _weights(sample: DataFrame) -> list[dict[str, float]]:
-    """Token weights learned from both folds, and from either one.
+    """Weights of tokens and stems learned from both folds, and from either one.
 
     A token counts once in each context of its two neighbours, so that copies of a text, of
     which there may be thousands, teach no more than one.
@@ -145,8 +180,11 @@ def _weights(sample: DataFrame) -> list[dict[str, float]]:
         "toxic",
         "fold",
         F.expr("w[i]").alias("token"),
-        F.expr("xxhash64(w[i - 1], w[i + 1])").alias("around"),
+        F.expr("xxhash64(w[i - 1], w[i], w[i + 1])").alias("around"),
     ).distinct()
+    stems = (f"if(length(token) > {n}, concat(left(token, {n}), '*'), null)" for n in STEMS)
+    units = F.expr(f"explode(filter(array(token, {', '.join(stems)}), x -> x is not null))")
+    seen = seen.select("toxic", "fold", units.alias("token"))
     split = [(y, f) for y in (1, 0) for f in (0, 1)]
     of = {(y, f): F.count_if((F.col("toxic") == y) & (F.col("fold") == f)) for y, f in split}
     counts = seen.groupBy("token").agg(*(c.alias(f"y{y}f{f}") for (y, f), c in of.items()))
@@ -169,13 +207,13 @@ def _weights(sample: DataFrame) -> list[dict[str, float]]:
 
 
 def _seen(text: Column, fold: Column, weights: list[dict[str, float]]) -> Column:
-    """Tokens, best and other segment scores of a text, by the fold it was not learned from."""
+    """Number of tokens and segment scores of a text, by the fold it was not learned from."""
 
     def scan(texts: pa.Array, folds: pa.Array) -> pa.Array:
-        out = []
+        out, known = [], [_Weights(w) for w in weights]
         for text, fold in zip(texts.to_pylist(), folds.to_pylist(), strict=True):
             tokens = _TOKEN.findall(text.lower())
-            out.append([float(len(tokens)), *(s for *_, s in _segments(tokens, weights[2 - fold]))])
+            out.append([float(len(tokens)), *(s for *_, s in _segments(tokens, known[2 - fold]))])
         return pa.array(out, pa.list_(pa.float64()))
 
     return F.arrow_udf(scan, ArrayType(DoubleType()))(text, fold)
@@ -206,37 +244,31 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     scanned = sample.select("toxic", _seen(F.col("text"), F.col("fold"), weights).alias("s"))
     rows = scanned.collect()  # LABELLED rows of a few numbers
     clean = [r["s"] for r in rows if not r["toxic"]]
-    tops = np.array([max(s[1:], default=0.0) for s in clean])
-    sizes = np.log(np.maximum([s[0] for s in clean], 1.0))
-    if not len(tops) or all(not r["toxic"] for r in rows):
-        return Model({}, 1.0, 0.0, (-6.0, 0.0, 0.0))
-    # Moments of the extreme-value distribution: its scale by the spread, its place by the mean.
-    rate = float(min(np.pi / np.sqrt(6) / max(tops.std(), 1e-6), 1.0))
-    log_k = float((rate * tops - sizes).mean() - _EULER)
-    x = np.array([_features(int(r["s"][0]), r["s"][1:], rate, log_k) for r in rows])
+    if not clean or len(clean) == len(rows):
+        return Model({}, 0.0, 0.0, 1.0, (-6.0, 0.0, 0.0))
+    tail = _tail(clean)
+    x = np.array([_features(int(r["s"][0]), r["s"][1:], tail) for r in rows])
     line = _fitted(x, np.array([float(r["toxic"]) for r in rows]))
-    return Model(weights[0], rate, log_k, tuple(map(float, line)))
+    return Model(weights[0], *tail, tuple(map(float, line)))
 
 
 def scored(text: Column, model: Model) -> Column:
     """Struct of score (0 to 1) and passages of a text.
 
-    The whole text is scanned. Passages are the maximal segments that chance gives in clean
-    text of that length with probability under one half, as code points from start to end,
-    each with its sum. A null or empty text has no passage and the score of such a text.
+    The whole text is scanned. Passages are the maximal segments of which clean text of that
+    length has less than one on average, as code points from start to end, each with its sum. A null or empty text has no passage and the score of such a text.
     """
-    a, *b = model.line
+    (a, *b), tail = model.line, (model.floor, model.log_k, model.rate)
 
     def scan(texts: pa.Array) -> pa.Array:
-        out = []
+        out, weights = [], _Weights(model.weights)
         for text in texts.to_pylist():
             lower = (text or "").lower()
             tokens = _TOKEN.findall(lower)
-            segments = _segments(tokens, model.weights)
-            x = _features(len(tokens), [s for *_, s in segments], model.rate, model.log_k)
+            segments = _segments(tokens, weights)
+            x = _features(len(tokens), [s for *_, s in segments], tail)
             score = 1 / (1 + np.exp(-np.clip(a + np.dot(b, x), -30, 30)))
-            bound = (model.log_k + np.log(max(len(tokens), 1)) - np.log(np.log(2))) / model.rate
-            passages = [s for s in segments if s[2] >= bound]
+            passages = [s for s in segments if _surprise(len(tokens), s[2], *tail) > 0]
             if passages:
                 # Lower-casing may change lengths; places are those of the text itself.
                 spans = [m.span() for m in _TOKEN.finditer(text)]
