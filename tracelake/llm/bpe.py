@@ -293,11 +293,12 @@ class Bpe:
     def _join(self, pieces: list[str]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, pieces))
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def encode_all(self, texts: list[str], special: bool = True) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; ``special``: whether
+        special tokens that are written out in a text become their ids."""
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        parts = [self._parts(text) for text in texts]
+        parts = [self._parts(text) if special else [text] for text in texts]
         cuts = [[self._cut(p) if i % 2 == 0 else p for i, p in enumerate(ps)] for ps in parts]
         new = set().union(*(c[i] for c in cuts for i in range(0, len(c), 2))) - self.pieces.keys()
         raw = {p: p.encode() for p in new}
@@ -314,7 +315,9 @@ class Bpe:
             del self.pieces[p]
         return out
 
-    def encode(self, texts: Iterable[str], most: int = 1 << 21) -> Iterator[bytes]:
+    def encode(
+        self, texts: Iterable[str], special: bool = True, most: int = 1 << 21
+    ) -> Iterator[bytes]:
         """encode_all() in parts of about ``most`` characters."""
         some: list[str] = []
         n = 0
@@ -322,10 +325,10 @@ class Bpe:
             some.append(text)
             n += len(text)
             if n >= most:
-                yield from self.encode_all(some)
+                yield from self.encode_all(some, special)
                 some, n = [], 0
         if some:
-            yield from self.encode_all(some)
+            yield from self.encode_all(some, special)
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""

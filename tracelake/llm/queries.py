@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import (
     bpe,
+    counts,
     decontaminate,
     language,
+    lines,
     nearest,
     pii,
     simhash,
@@ -66,6 +68,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     contents = language.dictionaries(docs.where(id_remainder(4) != 2))
@@ -74,6 +81,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "margin", "rejected")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -91,7 +102,9 @@ QUERIES: dict[str, Query] = {
         op3_pii,
         op4_toxicity,
         op5_substring_dedup,
+        op6_line_dedup,
         op7_language_id,
+        op8_token_counts,
         op9_nearest_neighbours,
         op10_decontamination,
     )

@@ -96,15 +96,13 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     )
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
+def drop_near_copies(docs: DataFrame, width: int = 3) -> DataFrame:
     """The documents with the smallest id of their component; columns stay.
 
     Of repeated rows with that id one stays. Rows with a null id stay only in a component
-    without any other id, and then one of them. With five-word shingles the texts that meet
-    within 2 bits are nearly the same.
+    without any other id, and then one of them.
     """
-    found = simhash_components(docs, width)
-    heads = found.select(doc_key("component_id").alias("_head")).distinct()
-    keyed = docs.withColumn("_key", doc_key())
-    kept = keyed.join(heads, keyed["_key"] == heads["_head"], "left_semi")
-    return kept.dropDuplicates(["_key"]).drop("_key")
+    heads = simhash_components(docs, width).select(doc_key("component_id").alias("head"))
+    keyed = docs.select(doc_key().alias("key"), F.struct("*").alias("row"))
+    kept = keyed.join(heads.distinct(), F.col("key") == F.col("head"), "left_semi")
+    return kept.dropDuplicates(["key"]).select("row.*")

@@ -25,11 +25,10 @@ from tracelake.llm.common import doc_key, own_id, stored, whole_text
 #: Words of an anchor.
 _ANCHOR = 8
 #: Windows looked at together; bounds the memory for a long text.
-_SLICE = 1 << 17
+SLICE = 1 << 17
 #: Entries of a worker's table of word hashes; a full table is emptied.
 _CACHE = 200_000
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-_MASK = 2**64 - 1
 
 
 class _WordHashes(dict):
@@ -94,9 +93,9 @@ class _Paths:
         return at + self.offset, a.view(np.int64), b.view(np.int64)
 
 
-def _paths(words: list[bytes], width: int) -> Iterator[_Paths]:
-    for offset in range(0, len(words) - width + 1, _SLICE):
-        part = words[offset : offset + _SLICE + width - 1]
+def _paths(words: list[bytes], width: int, at_once: int) -> Iterator[_Paths]:
+    for offset in range(0, len(words) - width + 1, at_once):
+        part = words[offset : offset + at_once + width - 1]
         h = np.fromiter(map(_word_hashes.__getitem__, part), np.uint64, len(part))
         sums = _Sums(h, _BASES[0]), _Sums(_mixed(h), _BASES[1])
         at, n = np.arange(len(h) - _ANCHOR + 1), len(h) - width + 1
@@ -158,7 +157,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_key().alias("key"), F.xxhash64(text).alias("print"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 50, at_once: int = SLICE) -> DataFrame:
     """key, print, spans: windows of each document that an earlier one holds too.
 
     A span is (first, windows): windows that start at words first to first + windows - 1,
@@ -171,7 +170,7 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
         rows = (
             row | {c: getattr(p, c) for c in schema.names[2:]}
             for row, words in _texts(batches)
-            for p in _paths(words, width)
+            for p in _paths(words, width, at_once)
         )
         return _batches(rows, schema)
 
@@ -195,7 +194,7 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
         def rows() -> Iterator[dict]:
             for row, words in _texts(batches):
                 chosen = np.array(row.pop("wanted"), np.int64)
-                for p in _paths(words, width):
+                for p in _paths(words, width, at_once):
                     mine = np.isin(p.path_a, chosen)
                     if mine.any():
                         yield row | dict(zip(edge_schema.names[2:], p.edges(mine), strict=True))
@@ -213,7 +212,7 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     return spans.agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
 
 
-def drop_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
+def drop_repeats(docs: DataFrame, width: int = 50, at_once: int = SLICE) -> DataFrame:
     """doc_id, n_words, n_removed, kept: texts without words that stand in repeated windows.
 
     Words are cut at ASCII white space and stay unchanged; a window is ``width`` consecutive
@@ -223,7 +222,7 @@ def drop_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     (a null id is later than any other), a null or empty text has no words, a text of fewer
     than ``width`` words stays whole.
     """
-    spans = repeated_spans(docs, width)
+    spans = repeated_spans(docs, width, at_once)
     keyed = _keyed(docs)
     schema = pa.schema(
         [("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]

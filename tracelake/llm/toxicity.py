@@ -295,6 +295,4 @@ def with_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The documents that score under ``threshold``; columns stay."""
-    kept = docs.withColumn("_found", scored(F.col("text"), model))
-    return kept.where(F.col("_found.score") < threshold).drop("_found")
-
+    return docs.where(scored(F.col("text"), model)["score"] < threshold)
