@@ -60,6 +60,50 @@ def test_hot_key_is_cut(spark):
     assert row.m <= 520 and row.n >= 38
 
 
+def _timelines(spark):
+    n = 20_000
+    hot = spark.range(n).select(F.lit("hot").alias("k"), F.col("id").cast("double").alias("ts"))
+    year = 3.2e13
+    other = hot.select(F.lit("late").alias("k"), (F.col("ts") + year).alias("ts"))
+    return {
+        "one far row": hot.union(spark.createDataFrame([("far", year)], hot.schema)),
+        "far row of the key": hot.union(spark.createDataFrame([("hot", year)], hot.schema)),
+        "two hosts a year apart": hot.union(other),
+        "one key, two places": hot.union(other.select(F.lit("hot"), "ts")),
+        "burst": hot.union(hot.select("k", 7 + F.col("ts") / 1e7)),
+        "heavy tail": hot.select("k", F.pow((F.col("ts") + 1) / n, F.lit(-3.0)).alias("ts")),
+        "null key": hot.select(F.lit(None).cast("string").alias("k"), "ts"),
+    }
+
+
+@pytest.mark.parametrize(
+    "case",
+    ["one far row", "far row of the key", "two hosts a year apart", "one key, two places",
+     "burst", "heavy tail", "null key"],
+)
+def test_any_timeline_is_cut(spark, case):
+    df = _timelines(spark)[case]
+    cut = with_segment(df, ["k"], "ts", 500)
+    assert cut.groupBy("k", "__segment").count().agg(F.max("count")).first()[0] <= 1000
+    got = ordered_scan(df, ["k"], ["ts"], running={"n": F.lit(1)}, previous={"p": F.col("ts")}, target_rows=500)
+    want = ordered_scan(df, ["k"], ["ts"], running={"n": F.lit(1)}, previous={"p": F.col("ts")}, target_rows=None)
+    columns = ["k", "ts", "n", "p"]
+    assert got.select(columns).exceptAll(want.select(columns)).count() == 0
+
+
+def test_rows_of_one_position_stay_together(spark):
+    df = spark.range(3000).select(F.lit("k").alias("k"), F.lit(5.0).alias("ts"))
+    assert with_segment(df, ["k"], "ts", 500).select("__segment").distinct().count() == 1
+
+
+def test_null_keys_and_positions_are_scanned(spark):
+    rows = [(None, 1, 1), (None, 2, 2), ("a", None, 3), ("a", 1, 4), ("a", 2, 5)]
+    df = spark.createDataFrame(rows, "k string, ts long, v long")
+    for target in (None, 1):
+        got = ordered_scan(df, ["k"], ["ts"], running={"s": F.col("v")}, target_rows=target)
+        assert {(r.v, r.s) for r in got.collect()} == {(1, 1), (2, 3), (3, 3), (4, 7), (5, 12)}
+
+
 def test_shared_segment_saves_a_shuffle(spark):
     df = spark.createDataFrame(ROWS, "k string, ts long, i long, v long")
     cut = with_segment(df, ["k"], "ts", 50, "seg")
@@ -121,3 +165,18 @@ def test_quantiles_equal_numpy(spark, target_rows):
     assert np.allclose([rows["a"].q1, rows["a"].med, rows["a"].p9], np.quantile(a, [0.25, 0.5, 0.9]))
     assert np.isclose(rows["a"].avg, np.mean(a))
     assert (rows["b"].q1, rows["b"].med, rows["b"].avg) == (2.5, 2.5, 2.5)
+
+
+def test_mean_of_tiny_and_huge_values(spark):
+    data = [("tiny", 4e-7), ("tiny", 2e-7), ("tiny", 1.2e-6), ("huge", 1e25), ("huge", 3e25)]
+    df = spark.createDataFrame(data, "k string, x double")
+    got = {r.k: r.avg for r in exact_quantiles(df, ["k"], "x", {"m": 0.5}, mean="avg").collect()}
+    assert np.isclose(got["tiny"], 6e-7, rtol=1e-12) and np.isclose(got["huge"], 2e25)
+
+
+def test_variance_of_large_groups(spark):
+    from tracelake.functions.columns import variance_of_ints
+
+    df = spark.createDataFrame([("a", 2**62), ("a", 2**62 - 8), ("b", 1), ("b", 4)], "k string, x long")
+    got = {r.k: r.v for r in df.groupBy("k").agg(variance_of_ints(F.col("x")).alias("v")).collect()}
+    assert got["b"] == 4.5 and got["a"] >= 0

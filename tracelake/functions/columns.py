@@ -103,14 +103,17 @@ def mean_of_ints(value: Column) -> Column:
 
 
 def variance_of_ints(value: Column) -> Column:
-    """Sample variance from exact sums (so order cannot change it), null below two values.
+    """Sample variance, null below two values.
 
-    Fits while count x sum of squares stays under 38 digits; beyond that it raises.
+    From exact sums, so that order cannot change it, while count x sum of squares stays
+    under 38 digits; of larger groups the variance that merges means, in doubles.
     """
     wide = "decimal(38,0)"
     n = F.count(value).cast(wide)
-    total = F.sum(value.cast("decimal(20,0)")).cast(wide)
-    small = value.cast("decimal(18,0)")
-    squares = F.sum(small * small).cast(wide)
-    spread = (n * squares).cast(wide) - (total * total).cast(wide)
-    return F.try_divide(spread.cast("double"), (n * (n - 1)).cast("double"))
+    total = F.try_sum(value.cast("decimal(20,0)")).cast(wide)
+    square = F.try_multiply(value.cast("decimal(19,0)"), value.cast("decimal(19,0)"))
+    squares = F.when(F.count(square) == F.count(value), F.try_sum(square)).cast(wide)
+    left, right = F.try_multiply(n, squares), F.try_multiply(total, total)
+    spread = F.try_subtract(left, right).cast("double")
+    exact = F.try_divide(spread, n.cast("double") * (n.cast("double") - 1))
+    return F.coalesce(exact, F.var_samp(value.cast("double")))

@@ -27,8 +27,8 @@ def exact_quantiles(
     Equal values are counted first (map-side), the counts are summed along the value
     axis with a segmented scan, and each quantile picks the one or two values whose
     rank range holds its position. ``measured_on`` is a cheaper table with the value
-    column that holds at least the rows of ``df``, to size the segments by. The mean is
-    taken from decimal sums at six decimals, so that row order cannot change it.
+    column that holds at least the rows of ``df``, to size the segments by. The mean is in
+    doubles, of any size; its last digits may depend on the order of addition.
     """
     counts = (
         df.where(F.col(value).isNotNull())
@@ -54,8 +54,7 @@ def exact_quantiles(
             inside = (F.col("__from") <= rank) & (rank < F.col("__upto"))
             picks.append(F.max(F.when(inside, F.col("__v"))).alias(f"__{name}_{side}"))
     if mean is not None:
-        exact = F.col("__v").cast("decimal(25,6)") * F.col("__c").cast("decimal(13,0)")
-        picks.append(F.sum(exact).cast("double").alias("__sum"))
+        picks.append(F.sum(F.col("__v") * F.col("__c")).alias("__sum"))
     gathered = ranked.groupBy(*keys, "n").agg(*picks)
     out = []
     for name, q in quantiles.items():

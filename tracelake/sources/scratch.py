@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a local temporary folder is
-    used only where that is unset, as on a single machine.
+    Where that is unset, as in tests, a folder in the warehouse, which they share as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-")
-    return f"{root.rstrip('/')}/tracelake-{label}-{uuid.uuid4().hex}"
+    own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return (spark.conf.get("spark.checkpoint.dir", None) or own).rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared folder."""
+    return f"{shared_root(spark)}/tracelake-{label}-{uuid.uuid4().hex}"
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that lost executors lose none of it."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint()
