@@ -20,10 +20,14 @@ _BOX = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 def experiment_instructions(lines: DataFrame) -> DataFrame:
     """Kernel instructions of every result file: the last matching line, 0 without one.
 
-    The experiment is the second element of the path. Settings b and k are left out and
-    plain a is the default setting.
+    The experiment is the folder below the results root: the first element of
+    ``relative_path`` (see ``read_result_lines``), else the second of ``path``, which then
+    starts at the root. Settings b and k are left out and plain a is the default setting.
     """
-    exp = F.try_element_at(F.split("path", "/"), F.lit(2))
+    if "relative_path" in lines.columns:
+        exp = F.try_element_at(F.split("relative_path", "/"), F.lit(1))
+    else:
+        exp = F.try_element_at(F.split("path", "/"), F.lit(2))
     counted = F.when(
         F.col("line").contains(_INSTRUCTIONS),
         F.struct(
@@ -69,16 +73,27 @@ def experiment_averages(lines: DataFrame, *, ordered: bool = True) -> DataFrame:
 
 
 def parse_get_bench(lines: DataFrame) -> DataFrame:
-    """Fields of ``get_iterations N map_size N value_size N Time(ns) N`` lines."""
+    """Fields of ``get_iterations N map_size N value_size N Time(ns) N`` lines.
+
+    Lines without a ``system`` column get it from the name of their file, as
+    ``<system>-<data size>-<map size>.stats``, which also gives sizes that a line lacks.
+    """
+    named = r"([^/]+)-(\d+)-(\d+)\.stats$"
+    from_file = "system" not in lines.columns
 
-    def number(label: str) -> Column:
-        return F.regexp_extract("line", rf"{label}\s+(-?\d+)", 1).try_cast("long")
+    def number(label: str, group: int = 0) -> Column:
+        found = F.regexp_extract("line", rf"{label}\s+(-?\d+)", 1).try_cast("long")
+        if not (from_file and group):
+            return found
+        return F.coalesce(found, F.regexp_extract("path", named, group).try_cast("long"))
 
+    system = [F.regexp_extract("path", named, 1).alias("system")] if from_file else []
     return lines.select(
         *[c for c in lines.columns if c != "line"],
+        *system,
         number("get_iterations").alias("iterations"),
-        number("map_size").alias("map_size"),
-        number("value_size").alias("data_size"),
+        number("map_size", 3).alias("map_size"),
+        number("value_size", 2).alias("data_size"),
         number(r"Time\(ns\)").alias("time_ns"),
     )
 
@@ -121,6 +136,33 @@ def box_summary(
     return exact_quantiles(samples, keys, value, _BOX, target_rows=target_rows)
 
 
+def box_samples(
+    index: DataFrame, samples: DataFrame, groups: int, *, file_key: str = "relative_path"
+) -> DataFrame:
+    """Sample values named by an index file: x, group_no, group_label, value.
+
+    A line of ``index`` holds for each of ``groups`` the name of a sample file and then the
+    x label; with several groups the first line names them. ``samples`` are the lines of all
+    sample files, one number each, with their file's name in ``file_key``.
+    """
+    fields = F.split(F.regexp_replace("line", r"\s+$", ""), r"\s+")
+    cells = index.select("path", "line_no", fields.alias("f"))
+    first = cells.groupBy("path").agg(F.min_by("f", "line_no").alias("labels"), F.min("line_no").alias("head"))
+    if groups > 1:
+        cells = cells.join(first, "path").where(F.col("line_no") > F.col("head"))
+    else:
+        cells = cells.withColumn("labels", F.array(F.lit("")))
+    one = F.posexplode(F.slice("f", 1, groups)).alias("group_no", "file")
+    named = cells.select(F.element_at("f", groups + 1).alias("x"), "labels", one).select(
+        "x",
+        F.col("group_no").cast("long").alias("group_no"),
+        F.try_element_at("labels", F.col("group_no") + 1).alias("group_label"),
+        "file",
+    )
+    values = samples.select(F.col(file_key).alias("file"), F.col("line").try_cast("double").alias("value"))
+    return named.join(values.where("value is not null"), "file").drop("file")
+
+
 def grouped_bar_long(lines: DataFrame, groups: int, *, file_key: str = "path") -> DataFrame:
     """Grouped bar rows as one row per (x, group).
 

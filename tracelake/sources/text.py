@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def read_log_lines(spark: SparkSession, path: str, *, glob: str | None = None) -> DataFrame:
-    """Lines of all log files below ``path``: path, line_no (from 0), line.
+    """Lines of all log files below ``path``: path, line_no (from 0), line, relative_path.
 
+    relative_path is the file's place below ``path`` (its name, if ``path`` is the file).
     Each file is one run's log and is read whole by one task to number its lines.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
@@ -16,6 +17,23 @@ def read_log_lines(spark: SparkSession, path: str, *, glob: str | None = None) -
         reader = reader.option("pathGlobFilter", glob)
     whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     body = F.regexp_replace("value", r"\r?\n$", "")
-    return whole.select("path", F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line")).select(
-        "path", F.col("line_no").cast("long"), "line"
-    )
+    lines = whole.select("path", F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line"))
+    below = F.regexp_replace("path", "^[^:/]+:/+", "/")
+    root = _root(spark, path)
+    inside = F.substring(below, F.lit(len(root) + 2), F.length(below))
+    relative = F.when(below.startswith(root + "/"), inside).otherwise(F.element_at(F.split(below, "/"), -1))
+    return lines.select("path", F.col("line_no").cast("long"), "line", relative.alias("relative_path"))
+
+
+def read_result_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the result files (``*results.txt``) below a results folder."""
+    return read_log_lines(spark, path, glob="*results.txt")
+
+
+def _root(spark: SparkSession, path: str) -> str:
+    """The folder as it begins a file's path, without its scheme, as Spark writes it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop)
+    text = full.toUri().toString()
+    _, scheme, rest = text.partition(":")
+    return ("/" + rest.lstrip("/") if scheme else text).rstrip("/")
