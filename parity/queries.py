@@ -484,6 +484,46 @@ def sched_queue_time(raw):
     return sched.sched_queue_time(raw)
 
 
+# Raw events to declared tables to answers.
+
+
+@_on("fx_sched_full")
+def raw_per_cpu_runtime(raw):
+    return sched.per_cpu_runtime(spec("quanta_runtime").conform(sched.sched_run_time(raw)))
+
+
+@_on("fx_sched_full")
+def raw_top_k_runtime(raw):
+    return sched.top_k_runtime(spec("quanta_runtime").conform(sched.sched_run_time(raw)), 3)
+
+
+@_on("fx_sched_full")
+def raw_per_cpu_queued(raw):
+    return sched.per_cpu_queued(spec("quanta_queued_time").conform(sched.sched_queue_time(raw)))
+
+
+@_on("fx_blk_full")
+def raw_block_io_summary(raw):
+    queue = spec("block_io_queue_length").conform(blockio.queue_depth(raw))
+    latency = spec("block_io_latency").conform(blockio.completion_latency(raw))
+    return blockio.block_io_summary(blockio.block_io_join(queue, latency))
+
+
+@_on("fx_span_raw")
+def raw_zswap_runtime(raw):
+    raw = raw.withColumn("tgid", F.floor(F.col("tid") / 2))
+    return spec("zswap_runtime").conform(
+        spans.span_pairs_overwrite(raw, is_error=F.col("ret") < 0)
+    )
+
+
+@_on("fx_quanta_queued", "fx_system_info", "fx_process_snapshots")
+def series_top_queued(quanta, info, snapshots):
+    return series.series_top_processes(
+        quanta, info, procs.process_metadata(snapshots), queued=True
+    )
+
+
 @_on("fx_span_raw")
 def span_pairs_overwrite(raw):
     return spans.span_pairs_overwrite(raw)

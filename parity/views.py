@@ -131,6 +131,21 @@ VIEWS = {
                user_id % 20 AS prev_pid, (user_id % 20 + 1 + event_id % 19) % 20 AS next_pid,
                collection_id
         FROM {fx_events}""",
+    "fx_sched_full": """
+        SELECT *, ts_us % 4 AS cpu FROM (
+            SELECT CAST(floor(ts_us / 100000) AS bigint) AS ts_us, kind, prev_pid, next_pid, collection_id,
+                   CAST(floor(prev_pid / 2) AS bigint) AS prev_tgid, CAST(floor(next_pid / 2) AS bigint) AS next_tgid
+            FROM {fx_sched_raw})""",
+    "fx_blk_full": """
+        SELECT us AS ts_us, 'issue' AS kind, user_id % 3 AS device, user_id AS sector, event_id % 16 + 1 AS segments,
+               CAST(round(value * 100) AS bigint) AS bytes, event_id % 4 AS cpu, event_id % 3 AS block_io_flags,
+               CAST(NULL AS bigint) AS start_time_ns, CAST(NULL AS bigint) AS io_start_time_ns, collection_id
+        FROM {fx_events}
+        UNION ALL
+        SELECT us + event_id % 5000 + 1, 'complete', user_id % 3, user_id, event_id % 16 + 1,
+               CAST(round(value * 100) AS bigint), event_id % 4, event_id % 3,
+               us * 1000 - 1500, us * 1000 - 500, collection_id
+        FROM {fx_events} WHERE event_id % 7 <> 0""",
     "fx_span_raw": """
         SELECT user_id AS tid, us * 1000 AS ts_ns,
                CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'entry' ELSE 'return' END AS kind,

@@ -110,7 +110,8 @@ def queue_depth(raw: DataFrame, *, target_rows: int | None = TARGET_ROWS) -> Dat
     """Outstanding segments and 4 KiB blocks of a device right after each issue.
 
     Raw rows: collection_id, ts_us, kind (``issue``, ``complete``), device, sector,
-    segments, bytes. An issue adds; a completion subtracts only while its sector has an
+    segments, bytes, and where known cpu and block_io_flags, with which this is the
+    ``block_io_queue_length`` table. An issue adds; a completion subtracts only while its sector has an
     open issue, that is when the sector's previous event is one. At equal times an issue
     goes before a completion.
     """
@@ -137,8 +138,10 @@ def queue_depth(raw: DataFrame, *, target_rows: int | None = TARGET_ROWS) -> Dat
         },
         segment="__device_segment",
     )
+    known = [c for c in ("cpu", "block_io_flags") if c in raw.columns]
     return depth.where(F.col("__done") == 0).select(
         COLLECTION,
+        *known,
         "device",
         "sector",
         "segments",
@@ -147,3 +150,24 @@ def queue_depth(raw: DataFrame, *, target_rows: int | None = TARGET_ROWS) -> Dat
         "queue_length_segment_ios",
         "queue_length_4k_ios",
     )
+
+
+def completion_latency(raw: DataFrame) -> DataFrame:
+    """The ``block_io_latency`` table from raw completions.
+
+    Raw rows as for ``queue_depth``, with start_time_ns and io_start_time_ns: when the
+    request was made and when the device got it.
+    """
+    now = F.col("ts_us") * 1000
+    return raw.where(F.col("kind") != "issue").select(
+        COLLECTION,
+        "cpu",
+        "device",
+        "sector",
+        "segments",
+        F.col("bytes").alias("block_io_bytes"),
+        F.col("ts_us").alias(UPTIME),
+        F.floor((now - F.col("start_time_ns")) / 1000).cast("long").alias("block_latency_us"),
+        F.floor((now - F.col("io_start_time_ns")) / 1000).cast("long").alias("block_io_latency_us"),
+        "block_io_flags",
+    )

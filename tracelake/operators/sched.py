@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.columns import us_to_sec
@@ -95,21 +95,22 @@ def _thread_marks(raw: DataFrame, target_rows: int | None) -> DataFrame:
     """One row per thread and mark (wake, on, off). Pid 0, the idle task, has none.
 
     Raw rows: collection_id, ts_us, kind (``wakeup``, ``wakeup_new``, ``switch``),
-    prev_pid, next_pid; a wakeup carries the woken thread in prev_pid.
+    prev_pid, next_pid, and where known cpu, prev_tgid, next_tgid, which the marks then
+    carry; a wakeup has the woken thread in prev_pid.
     """
-    mark = F.when(
-        F.col("kind") == "switch",
-        F.array(
-            F.struct(F.col("next_pid").alias("pid"), F.lit(_ON).alias("step")),
-            F.struct(F.col("prev_pid").alias("pid"), F.lit(_OFF).alias("step")),
-        ),
-    ).when(
-        F.col("kind").isin("wakeup", "wakeup_new"),
-        F.array(F.struct(F.col("prev_pid").alias("pid"), F.lit(_WAKE).alias("step"))),
-    )
+    grouped = "prev_tgid" in raw.columns
+
+    def mark(side: str, step: int) -> Column:
+        tgid = [F.col(f"{side}_tgid").alias("tgid")] if grouped else []
+        return F.struct(F.col(f"{side}_pid").alias("pid"), F.lit(step).alias("step"), *tgid)
+
+    marked = F.when(
+        F.col("kind") == "switch", F.array(mark("next", _ON), mark("prev", _OFF))
+    ).when(F.col("kind").isin("wakeup", "wakeup_new"), F.array(mark("prev", _WAKE)))
+    cpu = [c for c in ("cpu",) if c in raw.columns]
     marks = (
-        raw.select(COLLECTION, "ts_us", F.explode(mark).alias("m"))
-        .select(COLLECTION, "ts_us", "m.pid", "m.step")
+        raw.select(COLLECTION, "ts_us", *cpu, F.explode(marked).alias("m"))
+        .select(COLLECTION, "ts_us", *cpu, "m.*")
         .where(F.col("pid") != 0)
     )
     cut = with_segment(marks, _THREAD, "ts_us", target_rows, _SEG)
@@ -120,14 +121,22 @@ def _thread_marks(raw: DataFrame, target_rows: int | None) -> DataFrame:
     )
 
 
+def _carried(marks: DataFrame) -> list[str]:
+    return [c for c in ("cpu", "tgid") if c in marks.columns]
+
+
 def sched_run_time(raw: DataFrame, *, target_rows: int | None = TARGET_ROWS) -> DataFrame:
-    """Run quanta from raw scheduler events: an off mark whose last on/off mark is an on."""
+    """Run quanta from raw scheduler events: an off mark whose last on/off mark is an on.
+
+    With cpu and tgid in the raw rows this is the ``quanta_runtime`` table.
+    """
     marks = _thread_marks(raw, target_rows)
     return marks.where(
         (F.col("step") == _OFF) & (F.col("__state.step") == _ON)
     ).select(
         COLLECTION,
         "pid",
+        *_carried(marks),
         F.col("ts_us").alias(UPTIME),
         (F.col("ts_us") - F.col("__state.ts_us")).alias(RUN_LENGTH),
     )
@@ -137,7 +146,8 @@ def sched_queue_time(raw: DataFrame, *, target_rows: int | None = TARGET_ROWS) -
     """Queue times from raw scheduler events.
 
     Waiting begins with a wakeup or with the end of a run, a later one replacing the
-    earlier, and ends with the next on mark.
+    earlier, and ends with the next on mark. With cpu and tgid in the raw rows this is the
+    ``quanta_queued_time`` table.
     """
     marks = _thread_marks(raw, target_rows).where(
         (F.col("step") != _OFF) | (F.col("__state.step") == _ON)
@@ -152,6 +162,7 @@ def sched_queue_time(raw: DataFrame, *, target_rows: int | None = TARGET_ROWS) -
     return scan.where((F.col("step") == _ON) & (F.col("__step") != _ON)).select(
         COLLECTION,
         "pid",
+        *_carried(marks),
         F.col("ts_us").alias(UPTIME),
         (F.col("ts_us") - F.col("__ts")).alias(QUEUED),
     )

@@ -23,15 +23,17 @@ def span_pairs_overwrite(
 ) -> DataFrame:
     """Call spans where a new entry replaces an open one (compressed-swap calls).
 
-    Raw rows: collection_id, tid, ts_ns, kind (``entry``, ``return``), name. A return
+    Raw rows: collection_id, tid, ts_ns, kind (``entry``, ``return``), name, and where known
+    tgid, with which this is the ``zswap_runtime`` table. A return
     pairs with the row before it if that is an entry. Returns marked ``is_error``
     neither end nor clear a call. At equal times an entry goes before a return.
     """
     rows = raw.withColumn("__ret", (F.col("kind") != "entry").cast("int"))
     if is_error is not None:
         rows = rows.where((F.col("__ret") == 0) | ~F.coalesce(is_error, F.lit(False)))
+    group = [c for c in ("tgid",) if c in raw.columns]
     scan = ordered_scan(
-        rows.select(*_CALL, "ts_ns", "__ret"),
+        rows.select(*_CALL, *group, "ts_ns", "__ret"),
         _CALL,
         ["ts_ns", "__ret"],
         previous={"__prev_ret": F.col("__ret"), "__prev_ts": F.col("ts_ns")},
@@ -40,6 +42,7 @@ def span_pairs_overwrite(
     return scan.where((F.col("__ret") == 1) & (F.col("__prev_ret") == 0)).select(
         COLLECTION,
         F.col("tid").alias("pid"),
+        *group,
         F.col("__prev_ts").alias("start_ts"),
         F.col("ts_ns").alias("end_ts"),
         "name",
