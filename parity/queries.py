@@ -224,7 +224,7 @@ def process_lifetimes_next_end(trace):
 
 @_on("fx_process_trace")
 def nth_process_run(trace):
-    return procs.nth_process_run(procs.process_lifetimes(trace), "fork", 2)
+    return procs.nth_run(trace, "fork", 2)
 
 
 @_on("fx_quanta_runtime", "fx_process_snapshots")

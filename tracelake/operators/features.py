@@ -9,15 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.plans.spread import spread_join
+
 
 def feature_lookup(probes: DataFrame, features: DataFrame) -> DataFrame:
     """Value of every probe's key in its map, with ``status`` ``ok``, ``no_key`` or ``no_map``.
 
-    ``features`` has at most one row per (map_name, key).
+    ``features`` has at most one row per (map_name, key). Whether a map exists is looked up
+    with the probes of each map dealt into parts, as maps are few and may be hot.
     """
     maps = features.select("map_name").distinct().withColumn("__map", F.lit(True))
     values = features.select("map_name", "key", F.col("value").alias("value"), F.lit(True).alias("__hit"))
-    found = probes.join(values, ["map_name", "key"], "left").join(maps, "map_name", "left")
+    found = probes.join(values, ["map_name", "key"], "left")
+    found = spread_join(found, maps, ["map_name"], F.col("key"))
     status = (
         F.when(F.col("__hit"), F.lit("ok"))
         .when(F.col("__map"), F.lit("no_key"))

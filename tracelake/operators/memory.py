@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import fixed
 from tracelake.functions.columns import advice_label
 from tracelake.plans.ordered import TARGET_ROWS, ordered_scan
+from tracelake.plans.spread import spread_join
 from tracelake.specs import COLLECTION, UPTIME
 
 
@@ -97,13 +98,14 @@ def collapse_pairing(
 
     def numbered(table: DataFrame) -> DataFrame:
         order = ["start_ts_ns", *[c for c in table.columns if c not in (COLLECTION, "start_ts_ns")]]
-        return ordered_scan(
+        scan = ordered_scan(
             table,
             [COLLECTION],
             order,
             running={"__n": F.lit(1).cast("long")},
             target_rows=target_rows,
-        ).join(shifts, COLLECTION, "left")
+        )
+        return spread_join(scan, shifts, [COLLECTION], F.col("__n"))
 
     left = numbered(collapse).withColumn("__n", F.col("__n") - F.col("__s")).where(F.col("__n") > 0)
     # Reading the shift here too makes events of a collection without calls an error.

@@ -93,6 +93,36 @@ def nth_process_run(lifetimes: DataFrame, name: str, index: int) -> DataFrame:
     )
 
 
+def nth_run(trace: DataFrame, name: str, index: int) -> DataFrame:
+    """What nth_process_run() finds among all pairs of start and end, without making them.
+
+    A start stands for as many runs as its pid has ends. The run's start is found by adding
+    these up along the starts, of which at most ``index + 1`` times matter; its end is the
+    remaining place among the ends of the pids that start then.
+    """
+    main = _main_rows(trace)
+    names = last_names(trace)
+    named = names.where(F.col("full_name") == name) if name else names
+    how = "left_semi" if name else "left_anti"  # without a name: none is known
+    marks = main.join(named, _PROC, how).where(F.col("cap_type").isin("start", "end"))
+    starts = marks.where("cap_type = 'start'").select(*_PROC, F.col("ts_ns").alias("start_ns"))
+    ends = marks.where("cap_type = 'end'").select(*_PROC, F.col("ts_ns").alias("end_ns"))
+    runs = starts.join(ends.groupBy(*_PROC).agg(F.count(F.lit(1)).alias("__ends")), _PROC)
+    times = runs.groupBy(COLLECTION, "start_ns").agg(F.sum("__ends").alias("__n"))
+    order = Window.partitionBy(COLLECTION).orderBy("start_ns")
+    few = times.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= index + 1)
+    upto = few.withColumn("__upto", F.sum("__n").over(order))
+    chosen = upto.where((F.col("__upto") > index) & (F.col("__upto") - F.col("__n") <= index))
+    chosen = chosen.select(
+        COLLECTION, "start_ns", (F.lit(index + 1) - (F.col("__upto") - F.col("__n"))).alias("__run")
+    )
+    there = starts.join(chosen, [COLLECTION, "start_ns"]).join(ends, _PROC)
+    rank = F.row_number().over(Window.partitionBy(COLLECTION).orderBy("end_ns", "pid"))
+    return there.withColumn("__rank", rank).where(F.col("__rank") == F.col("__run")).select(
+        COLLECTION, "pid", "start_ns", "end_ns"
+    )
+
+
 def process_metadata(snapshots: DataFrame) -> DataFrame:
     """One typed row per process from repeated snapshots: the latest started.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.columns import ns_to_min
-from tracelake.operators.procs import nth_process_run, process_lifetimes
+from tracelake.operators.procs import nth_run
 from tracelake.plans.ordered import TARGET_ROWS, ordered_scan, with_segment
 from tracelake.specs import COLLECTION
 
@@ -82,9 +82,11 @@ def rss_windows(
     trace: DataFrame, rss_name: str, rss_index: int, runner_name: str, runner_index: int
 ) -> DataFrame:
     """Per collection: the process whose memory is read and the run that gives the time."""
-    lifetimes = process_lifetimes(trace, duration=False)
-    runner = nth_process_run(lifetimes, runner_name, runner_index)
-    target = nth_process_run(lifetimes, rss_name, rss_index)
+    runner = nth_run(trace, runner_name, runner_index)
+    same = (rss_name, rss_index) == (runner_name, runner_index)
+    target = runner if same else nth_run(trace, rss_name, rss_index)
+    if same:
+        return runner.select(COLLECTION, F.col("pid").alias("tgid"), "start_ns", "end_ns")
     return target.select(COLLECTION, F.col("pid").alias("tgid")).join(
         runner.select(COLLECTION, "start_ns", "end_ns"), COLLECTION, "inner"
     )
