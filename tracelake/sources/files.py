@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -25,6 +26,18 @@ def subfolders(spark: SparkSession, folder: str) -> list[str]:
     )
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a glob pattern, on any file system Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [e.getPath().toString() for e in fs.globStatus(path) or ()]
+
+
+def glob_text(text: str) -> str:
+    """Text that stands for itself in a glob pattern."""
+    return re.sub(r"([\\*?\[\]{},])", r"\\\1", text)
+
+
 def file_name_part(from_end: int) -> Column:
     """Dot-separated part of the source file's name, 1 being the suffix."""
     return F.try_element_at(F.split(F.col("_metadata.file_name"), r"\."), F.lit(-from_end))
@@ -55,7 +68,7 @@ def read_widened(
     schemas = [T.StructType.fromJson(json.loads(s)) for s in groups]
     texts = _text_columns(schemas)
     out: DataFrame | None = None
-    base = {"basePath": path}
+    base = {"basePath": options.get("basePath", path)}
     for schema, members in zip(schemas, groups.values(), strict=True):
         part = each(spark.read.options(**base).schema(schema).parquet(*members))
         part = part.withColumns({c: F.col(c).cast("string") for c in part.columns if c in texts})

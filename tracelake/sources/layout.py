@@ -14,7 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.sources.files import file_name_part, read_widened, subfolders
+from tracelake.sources.files import (
+    file_name_part,
+    glob_text,
+    matching,
+    read_widened,
+    subfolders,
+)
 from tracelake.specs import COLLECTION, spec, table_names
 
 BENCHMARK = "benchmark_name"
@@ -28,10 +34,20 @@ def read_parquet_dir(
     def wanted(df: DataFrame) -> DataFrame:
         return df if benchmark_name is None else df.where(_benchmark_column(df) == benchmark_name)
 
-    return {
-        table: read_widened(spark, f"{data_dir}/{table}", each=wanted)
-        for table in subfolders(spark, data_dir)
-    }
+    def read(table: str) -> DataFrame:
+        folder = f"{data_dir}/{table}"
+        options: dict[str, str] = {}
+        path = folder
+        if benchmark_name is not None:
+            # Only footers of files that can hold the benchmark are read, if there are any.
+            name = glob_text(benchmark_name)
+            if matching(spark, f"{folder}/{BENCHMARK}={name}"):
+                path, options = f"{folder}/{BENCHMARK}={name}", {"basePath": folder}
+            elif matching(spark, f"{folder}/*.{name}.*"):
+                options = {"pathGlobFilter": f"*.{name}.*"}
+        return read_widened(spark, path, each=wanted, **options)
+
+    return {table: read(table) for table in subfolders(spark, data_dir)}
 
 
 def _benchmark_column(df: DataFrame) -> Column:
@@ -49,12 +65,26 @@ def read_collection(spark: SparkSession, data_dir: str, prefix: str) -> dict[str
     for table in subfolders(spark, data_dir):
         if table not in known:
             continue
+        folder, start = f"{data_dir}/{table}", glob_text(prefix)
+        parted = f"{folder}/*/{COLLECTION}={start}*"
+        options: dict[str, str] = {}
+        if matching(spark, f"{folder}/*/{COLLECTION}=*"):
+            path, options = parted, {"basePath": folder}
+            found = bool(matching(spark, parted))
+        else:
+            # Flat files, or folders by collection alone, which are filtered below.
+            path, flat = folder, matching(spark, f"{folder}/*.parquet")
+            found = not flat or bool(matching(spark, f"{folder}/{start}*"))
+            options = {"pathGlobFilter": f"{start}*"} if flat and found else {}
+        if not found:
+            continue
         df = read_widened(
             spark,
-            f"{data_dir}/{table}",
+            path,
             each=lambda part: part.withColumn("__owner", _owner(part)).where(
                 F.col("__owner").startswith(prefix)
             ),
+            **options,
         )
         # Reads no data columns; at most two rows come back.
         owners = [r[0] for r in df.select("__owner").distinct().limit(2).collect()]
