@@ -67,9 +67,16 @@ def _run(
 
 
 def stream_spans_overwrite(
-    raw: DataFrame, *, expire_after: str | None = None, delay: str = "10 seconds"
+    raw: DataFrame,
+    *,
+    is_error: Column | None = None,
+    expire_after: str | None = None,
+    delay: str = "10 seconds",
 ) -> DataFrame:
-    """Call spans where a new entry replaces an open one."""
+    """Call spans where a new entry replaces an open one.
+
+    Returns marked ``is_error`` neither end nor clear a call.
+    """
 
     def step(key, held, rows):
         entry = rows["kind"] == "entry"
@@ -89,6 +96,8 @@ def stream_spans_overwrite(
         return out, (int(ts.iloc[-1]),) if entry.iloc[-1] else None
 
     rows = raw.withColumn("__ret", (F.col("kind") != "entry").cast("int"))
+    if is_error is not None:
+        rows = rows.where((F.col("__ret") == 0) | ~F.coalesce(is_error, F.lit(False)))
     return _run(
         rows,
         [COLLECTION, "tid", "name"],
@@ -105,8 +114,11 @@ def stream_spans_overwrite(
 def stream_spans_keep_first(
     raw: DataFrame, *, expire_after: str | None = None, delay: str = "10 seconds"
 ) -> DataFrame:
-    """Successful calls where an open entry is kept until its return."""
-    fields = ["ts_ns", "address", "length", "advice"]
+    """Successful calls where an open entry is kept until its return.
+
+    tgid is that of the entry, or the thread where the rows have none.
+    """
+    fields = ["__tgid", "ts_ns", "address", "length", "advice"]
 
     def step(key, held, rows):
         emitted = []
@@ -115,18 +127,19 @@ def stream_spans_keep_first(
                 held = held or tuple(int(x) for x in call)
             else:
                 if held and ret == 0:
-                    emitted.append((key[0], key[1], *held))
+                    emitted.append((key[0], *held))
                 held = None
-        return pd.DataFrame(emitted, columns=[COLLECTION, "tgid", *fields]), held
+        return pd.DataFrame(emitted, columns=[COLLECTION, "tgid", *fields[1:]]), held
 
     rows = raw.withColumn("__ret", (F.col("kind") != "entry").cast("int"))
+    rows = rows.withColumn("__tgid", F.col("tgid" if "tgid" in raw.columns else "tid"))
     calls = _run(
         rows,
         [COLLECTION, "tid", "name"],
         ["ts_ns", "__ret", "address", "length"],
         F.timestamp_micros((F.col("ts_ns") / 1000).cast("long")),
         "collection_id string, tgid long, ts_ns long, address long, length long, advice long",
-        "ts_ns long, address long, length long, advice long",
+        "tgid long, ts_ns long, address long, length long, advice long",
         step,
         expire_after,
         delay,
@@ -162,10 +175,12 @@ def stream_sched(
         F.struct(F.col("prev_pid").alias("pid"), F.lit(off).alias("step")),
     )
     wakeup = F.array(F.struct(F.col("prev_pid").alias("pid"), F.lit(wake).alias("step")))
+    # As in batch, a row of any other kind marks nothing.
+    mark = F.when(F.col("kind") == "switch", switch).when(
+        F.col("kind").isin("wakeup", "wakeup_new"), wakeup
+    )
     marks = (
-        raw.select(
-            COLLECTION, "ts_us", F.explode(F.when(F.col("kind") == "switch", switch).otherwise(wakeup)).alias("m")
-        )
+        raw.select(COLLECTION, "ts_us", F.explode(mark).alias("m"))
         .select(COLLECTION, "ts_us", "m.pid", "m.step")
         .where(F.col("pid") != 0)
     )
