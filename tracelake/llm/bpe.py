@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from tracelake.llm.common import let_go
+
 #: Entries of a worker's caches; a full cache is emptied.
-CACHE = 200_000
+CACHE = 150_000
 #: Pieces longer than this many bytes are not cached.
 CACHED_BYTES = 64
 #: Characters whose class is the same in every Unicode version that the libraries in use
@@ -97,6 +99,7 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.bytes_of = {i: raw(t) for t, i in vocab.items() if t not in self.special}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         #: By id: the merge that makes the token (-1: none) and its two parts.
         size = max(self.bytes_of) + 1
         self.rank, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
@@ -315,6 +318,12 @@ class Bpe:
             del self.pieces[p]
         return out
 
+    def forget(self) -> None:
+        """Empty the caches, at the end of a task."""
+        self.pieces.clear()
+        self.fits.clear()
+        let_go()
+
     def encode(
         self, texts: Iterable[str], special: bool = True, most: int = 1 << 21
     ) -> Iterator[bytes]:
@@ -332,7 +341,11 @@ class Bpe:
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
-        return b"".join(self.bytes_of.get(i, b"") for i in ids).decode("utf-8", "replace")
+        try:
+            raw = b"".join(map(self.table.__getitem__, ids))
+        except IndexError:
+            raw = b"".join(self.table[i] for i in ids if i < len(self.table))
+        return raw.decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -343,13 +356,15 @@ def bpe(path: str | None) -> Bpe:
 def encoded(text: Column, path: str | None = None) -> Column:
     """array<int> of the ids of a text; a null text is an empty one."""
 
-    def ids(texts: pa.Array) -> pa.Array:
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = bpe(path)
-        found = list(codec.encode(t or "" for t in texts.to_pylist()))
-        ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
-        return pa.ListArray.from_arrays(
-            pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4"))
-        )
+        for texts in batches:
+            found = list(codec.encode(t.as_py() or "" for t in texts))
+            ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+            flat = pa.array(np.frombuffer(b"".join(found), "<i4"))
+            del found
+            yield pa.ListArray.from_arrays(pa.array(ends), flat)
+        codec.forget()
 
     return F.arrow_udf(ids, ArrayType(IntegerType()))(text)
 
@@ -369,13 +384,22 @@ def decoded(ids: Column, path: str | None = None) -> Column:
     return F.arrow_udf(texts, "string")(ids)
 
 
-def packed(ids: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit integers, one after the other."""
+def encoded_and_decoded(text: Column, path: str | None = None) -> Column:
+    """Struct of ids (little-endian unsigned 32-bit integers) and of the text decoded from them."""
 
-    def pack(arrays: pa.Array) -> pa.Array:
-        return pa.array([x.astype("<u4").tobytes() for x in _lists(arrays)], pa.binary())
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = bpe(path)
+        for texts in batches:
+            ids, back = [], []
+            for raw in codec.encode(t.as_py() or "" for t in texts):
+                ids.append(raw)
+                back.append(codec.decode(np.frombuffer(raw, "<u4").tolist()))
+            arrays = [pa.array(ids, pa.binary()), pa.array(back, pa.string())]
+            del ids, back
+            yield pa.StructArray.from_arrays(arrays, ["ids", "back"])
+        codec.forget()
 
-    return F.arrow_udf(pack, "binary")(ids)
+    return F.arrow_udf(both, "ids binary, back string")(text)
 
 
 def with_token_ids(docs: DataFrame, path: str | None = None, to: str = "token_ids") -> DataFrame:
@@ -390,16 +414,10 @@ def with_token_ids(docs: DataFrame, path: str | None = None, to: str = "token_id
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, digest of the ids, digest of the text decoded from the ids."""
-    ids = docs.select("doc_id", encoded(F.col("text"), path).alias("ids"))
-    back = ids.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        packed(F.col("ids")).alias("raw"),
-        decoded(F.col("ids"), path).alias("back"),
-    )
-    return back.select(
+    both = docs.select("doc_id", encoded_and_decoded(F.col("text"), path).alias("both"))
+    return both.select(
         "doc_id",
-        "n_tokens",
-        F.sha2("raw", 256).alias("ids_sha256"),
-        F.sha2("back", 256).alias("decoded_sha256"),
+        F.expr("octet_length(both.ids) div 4").alias("n_tokens"),
+        F.sha2("both.ids", 256).alias("ids_sha256"),
+        F.sha2("both.back", 256).alias("decoded_sha256"),
     )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import suppress
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.sources.scratch import scratch_dir
+from tracelake.sources.scratch import scratch_dir, shared_checkpoint
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; also what ``bytes.split()`` splits at.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -37,17 +41,18 @@ def id_remainder(n: int, column: str = "doc_id") -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder.
+    """df, computed once and kept in the cluster's shared checkpoint folder."""
+    return shared_checkpoint(df)
+
+
+def let_go() -> None:
+    """Give memory that a Python worker no longer uses back to the machine.
 
-    The folder is ``spark.checkpoint.dir``; one beside the warehouse is set only where the
-    session has none, as in tests.
+    Workers outlive their tasks, and what one kept would be taken from the next stage's.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        conf = df.sparkSession.conf
-        own = conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or own)
-    return df.checkpoint()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
