@@ -167,3 +167,25 @@ def test_io_across_chunks(spark, tmp_path):
     batch = blockio.block_io_join(spark.createDataFrame(starts, queue), spark.createDataFrame(ends, latency))
     assert bag(got) == bag(batch)
     assert got.count() == 2
+
+
+def test_slow_completions_are_not_lost(spark):
+    from tracelake.streaming.block_io import slow_completions
+
+    rows = spark.createDataFrame([(1, 500), (2, 1_000_000), (3, 1_000_001)], "i long, block_latency_us long")
+    assert [r.i for r in slow_completions(rows, "1 second").collect()] == [3]
+
+
+def test_folder_ids_of_chunks(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tracelake.streaming.ingest import start_table_sink, stream_chunks
+
+    folder = tmp_path / "in/b1/c1"
+    folder.mkdir(parents=True)
+    pq.write_table(pa.table({"v": pa.array([1, 2], pa.int64())}), folder / "t.1.parquet")
+    chunks = stream_chunks(spark, f"{tmp_path}/in", "v long", glob="t.*.parquet", folder_ids=True)
+    start_table_sink(chunks, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {(r.benchmark_name, r.collection_id, r.v) for r in got} == {("b1", "c1", 1), ("b1", "c1", 2)}

@@ -16,7 +16,7 @@ from tracelake.plans.intervals import join_points_to_intervals
 from tracelake.plans.ordered import TARGET_ROWS, ordered_scan, with_segment
 from tracelake.specs import COLLECTION, UPTIME, spec
 
-_REQUEST = ["device", "sector", "segments", "block_io_bytes", "block_io_flags", COLLECTION]
+REQUEST = ["device", "sector", "segments", "block_io_bytes", "block_io_flags", COLLECTION]
 _FINISH = "finish_ts_uptime_us"
 
 
@@ -28,7 +28,7 @@ def block_io_pairs(queue: DataFrame, latency: DataFrame) -> DataFrame:
     otherwise all pair up; no later step tells them apart.
     """
     ends = latency.select(
-        *_REQUEST,
+        *REQUEST,
         F.col(UPTIME).alias(_FINISH),
         "block_latency_us",
         "block_io_latency_us",
@@ -37,7 +37,7 @@ def block_io_pairs(queue: DataFrame, latency: DataFrame) -> DataFrame:
     return join_points_to_intervals(
         queue.distinct(),
         ends.distinct(),
-        _REQUEST,
+        REQUEST,
         UPTIME,
         F.col(_FINISH) - F.col("block_latency_us"),
         F.col(_FINISH),
@@ -47,7 +47,7 @@ def block_io_pairs(queue: DataFrame, latency: DataFrame) -> DataFrame:
 
 def dedup_pairs(pairs: DataFrame) -> DataFrame:
     """One completion per issue, the earliest; typed and labelled."""
-    issue = ["cpu", *_REQUEST, UPTIME]
+    issue = ["cpu", *REQUEST, UPTIME]
     best = F.min(
         F.struct(
             _FINISH,

@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.specs import COLLECTION, UPTIME
+from tracelake.operators.blockio import REQUEST as _REQUEST
+from tracelake.specs import UPTIME
 
-_REQUEST = ["device", "sector", "segments", "block_io_bytes", "block_io_flags", COLLECTION]
+
+def slow_completions(latency: DataFrame, max_latency: str) -> DataFrame:
+    """Completions that the bounded join cannot pair, for a sink of their own.
+
+    Written beside the pairs (see ``start_table_sink``) they tell what ``max_latency`` left
+    out; the batch join over them and the issues gives the missing pairs.
+    """
+    bound = F.expr(f"CAST(unix_micros(timestamp_micros(0) + INTERVAL {max_latency}) AS bigint)")
+    return latency.where(F.col("block_latency_us") > bound)
 
 
 def stream_block_io_pairs(
@@ -22,8 +31,9 @@ def stream_block_io_pairs(
     The pairs are those of the batch join; pass the written result through
     ``dedup_pairs`` to keep one completion per issue. With ``max_latency`` an issue is
     forgotten once no completion that much later can come, given chunks at most
-    ``delay`` out of order, and slower pairs are not found; without, all issues are kept
-    and the result equals the batch join for any arrival order.
+    ``delay`` out of order, and slower pairs are not found: send ``slow_completions`` to a
+    table of their own. Without, all issues are kept and the result equals the batch join for
+    any arrival order.
     """
     starts, ends = queue.alias("q"), latency
     ends = ends.select(

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from threading import Lock
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracelake.sources.layout import BENCHMARK
 from tracelake.specs import COLLECTION
 
+#: Files of a batch unless asked otherwise, so that a first drain is not one batch.
+FILES_PER_BATCH = 1000
+#: Held while a query starts under settings of its own.
+_STARTING = Lock()
 _SHUFFLE = "spark.sql.shuffle.partitions"
 _EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
@@ -19,19 +26,26 @@ def stream_chunks(
     schema: T.StructType | str,
     *,
     glob: str | None = None,
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = FILES_PER_BATCH,
+    folder_ids: bool = False,
 ) -> DataFrame:
     """Chunk files below ``path`` as a stream; ``glob`` picks a table's files.
 
-    Files are taken in order of modification time, all new ones in one batch unless
-    ``files_per_batch`` is set.
+    Files are taken in order of modification time, ``files_per_batch`` in a batch (None: all
+    new ones). ``folder_ids`` takes benchmark and collection from the two folders above a
+    file, the collectors' layout, which a sink can then partition by.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    return reader.parquet(path)
+    chunks = reader.parquet(path)
+    if folder_ids:
+        folders = F.split(F.col("_metadata.file_path"), "/")
+        ids = {BENCHMARK: F.element_at(folders, -3), COLLECTION: F.element_at(folders, -2)}
+        chunks = chunks.withColumns(ids)
+    return chunks
 
 
 def start_table_sink(
@@ -47,8 +61,7 @@ def start_table_sink(
 
     With ``interval`` (such as ``"1 minute"``) it keeps draining at that pace; without,
     it takes what is there and ends. State is kept in ``state_partitions`` parts from the
-    first run on; by default as many as the cluster has cores, at most the session's
-    shuffle partitions, since every part is saved with every batch.
+    first run on, which cannot be changed later; by default the session's shuffle partitions.
     """
     writer = (
         stream.writeStream.format("parquet")
@@ -64,18 +77,17 @@ def start_table_sink(
     else:
         writer = writer.trigger(processingTime=interval)
     spark = stream.sparkSession
-    shuffle = int(spark.conf.get(_SHUFFLE))
-    parts = state_partitions or min(shuffle, spark.sparkContext.defaultParallelism)
-    settings = {_SHUFFLE: str(parts)}
+    settings = {} if state_partitions is None else {_SHUFFLE: str(state_partitions)}
     if interval is None:
         # A drain that ends needs no extra batch after the last one.
         settings[_EMPTY_BATCHES] = "false"
-    before = {key: spark.conf.get(key) for key in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        # A started query keeps its own copy of the settings.
-        return writer.start()
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+    with _STARTING:
+        before = {key: spark.conf.get(key) for key in settings}
+        try:
+            for key, value in settings.items():
+                spark.conf.set(key, value)
+            # A started query keeps its own copy of the settings.
+            return writer.start()
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value)
