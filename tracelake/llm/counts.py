@@ -30,9 +30,12 @@ BLOCK = 1 << 20
 def _raw_ids(text: Column, path: str | None) -> Column:
     """Ids of a text as in a file; special tokens written out in a text are plain text."""
 
-    def ids(texts: pa.Array) -> pa.Array:
-        found = bpe(path).encode((t or "" for t in texts.to_pylist()), special=False)
-        return pa.array([np.frombuffer(x, "<u4").astype(_ID).tobytes() for x in found], pa.binary())
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = bpe(path)
+        for texts in batches:
+            found = codec.encode((t.as_py() or "" for t in texts), special=False)
+            yield pa.array([np.frombuffer(x, "<u4").astype(_ID).tobytes() for x in found], pa.binary())
+        codec.forget()
 
     return F.arrow_udf(ids, "binary")(text)
 
