@@ -20,12 +20,16 @@ REQUEST = ["device", "sector", "segments", "block_io_bytes", "block_io_flags", C
 _FINISH = "finish_ts_uptime_us"
 
 
-def block_io_pairs(queue: DataFrame, latency: DataFrame) -> DataFrame:
+def block_io_pairs(
+    queue: DataFrame, latency: DataFrame, *, distinct_issues: bool = True
+) -> DataFrame:
     """Every issue with every completion of the same request that can be its own:
     later than it, by less than the completion's block latency.
 
     Equal rows are reduced to one on both sides first, since copies of a request would
-    otherwise all pair up; no later step tells them apart.
+    otherwise all pair up; no later step tells them apart. ``distinct_issues=False`` saves a
+    shuffle where ``dedup_pairs``, which makes equal issues one, follows: each copy of an
+    issue then meets one completion.
     """
     ends = latency.select(
         *REQUEST,
@@ -35,7 +39,7 @@ def block_io_pairs(queue: DataFrame, latency: DataFrame) -> DataFrame:
     )
     # 0 < finish - start < latency  is  finish - latency < start < finish.
     return join_points_to_intervals(
-        queue.distinct(),
+        queue.distinct() if distinct_issues else queue,
         ends.distinct(),
         REQUEST,
         UPTIME,
@@ -77,7 +81,7 @@ def block_io_join(queue: DataFrame, latency: DataFrame, *, ordered: bool = False
     Issue rows equal in all but their queue lengths count as one. ``ordered=True`` sorts
     by start as the last step.
     """
-    out = dedup_pairs(block_io_pairs(queue, latency))
+    out = dedup_pairs(block_io_pairs(queue, latency, distinct_issues=False))
     return out.orderBy(UPTIME, *[c for c in out.columns if c != UPTIME]) if ordered else out
 
 
