@@ -174,7 +174,7 @@ def with_kept_lines(docs: DataFrame) -> DataFrame:
     keys = doc_key().alias("key"), F.xxhash64(whole_text()).alias("print")
     rows = docs.select(*keys, whole_text().alias("text"))
     kinds = "key long, print long, a long, b long, words int, own array<int>"
-    lines = rows.distinct().mapInArrow(_distinct_lines, kinds)
+    lines = rows.mapInArrow(_distinct_lines, kinds)
     first = lines.groupBy("a", "b").agg(
         F.min_by(F.struct("key", F.col("own").alias("theirs")), F.struct("key", "print")).alias("f"),
         F.max("key").alias("last"),
@@ -182,7 +182,7 @@ def with_kept_lines(docs: DataFrame) -> DataFrame:
     first = first.where("f.key < last").select("a", "b", F.col("f.key").alias("first"), "f.theirs")
     later = lines.join(first, ["a", "b"]).where("key > first")
     shared = later.groupBy("key", "print").agg(
-        F.collect_list(F.struct("first", "own", "theirs", "words")).alias("shared")
+        F.collect_set(F.struct("first", "own", "theirs", "words")).alias("shared")
     )
     gone = shared.select("key", "print", _removed(F.col("shared")).alias("gone"))
     joined = docs.select(*keys, F.struct("*").alias("row")).join(
