@@ -189,3 +189,20 @@ def test_folder_ids_of_chunks(spark, tmp_path):
     start_table_sink(chunks, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert {(r.benchmark_name, r.collection_id, r.v) for r in got} == {("b1", "c1", 1), ("b1", "c1", 2)}
+
+
+def test_what_expires_is_a_row_without_an_end(spark, tmp_path):
+    hour = 3600 * 10**9
+    chunks = [
+        [("c", 1, hour, "entry", "f", 0), ("c", 2, hour, "entry", "f", 0), ("c", 2, hour + 9, "return", "f", 0)],
+        [("c", 3, 4 * hour, "entry", "f", 0)],
+        [("c", 3, 4 * hour + 7, "return", "f", 0)],
+    ]
+    schema = "collection_id string, tid long, ts_ns long, kind string, name string, ret long"
+    got = drain(
+        spark, tmp_path / "x", chunks, schema,
+        lambda s: stateful.stream_spans_overwrite(s, expire_after="1 hour"),
+    )
+    assert {(r.pid, r.start_ts, r.end_ts) for r in got.collect()} == {
+        (1, hour, None), (2, hour, hour + 9), (3, 4 * hour, 4 * hour + 7),
+    }

@@ -1,8 +1,9 @@
 """Per-key state machines over raw events, for events that arrive in chunks.
 
 The batch operators give the same rows. State is kept per key; with ``expire_after`` a
-key that has been silent for that long (in event time) is forgotten, and with it an open
-call or run. A micro-batch holds a bounded number of files, and one key's rows of it are
+key that has been silent for that long (in event time) is forgotten. What was open then is
+a row without an end (spans that overwrite) or length (scheduler); calls that keep the first
+entry and queue depths, whose rows are finished ones by nature, lose it. A micro-batch holds a bounded number of files, and one key's rows of it are
 sorted by one task; chunks of a key must arrive in time order.
 """
 
@@ -33,6 +34,7 @@ def _run(
     step: Step,
     expire_after: str | None,
     delay: str,
+    unfinished: Callable[[tuple, tuple], pd.DataFrame] | None = None,
 ) -> DataFrame:
     timeout = GroupStateTimeout.NoTimeout
     expire_ms = 0
@@ -45,6 +47,8 @@ def _run(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            if unfinished is not None:
+                yield unfinished(key, state.get)
             state.remove()
             return
         rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
@@ -75,9 +79,15 @@ def stream_spans_overwrite(
 ) -> DataFrame:
     """Call spans where a new entry replaces an open one.
 
-    Returns marked ``is_error`` neither end nor clear a call.
+    Returns marked ``is_error`` neither end nor clear a call. A call that ``expire_after``
+    gives up is a row without ``end_ts``.
     """
 
+    def unfinished(key, held):
+        row = (key[0], key[1], held[0], None, key[2])
+        out = pd.DataFrame([row], columns=[COLLECTION, "pid", "start_ts", "end_ts", "name"])
+        return out.astype({"end_ts": "Int64"})
+
     def step(key, held, rows):
         entry = rows["kind"] == "entry"
         ts = rows["ts_ns"]
@@ -108,6 +118,7 @@ def stream_spans_overwrite(
         step,
         expire_after,
         delay,
+        unfinished,
     )
 
 
@@ -150,8 +161,17 @@ def stream_spans_keep_first(
 def stream_sched(
     raw: DataFrame, *, expire_after: str | None = None, delay: str = "10 seconds"
 ) -> DataFrame:
-    """Run and queue times of every thread: ``what`` is ``run`` or ``queue``."""
+    """Run and queue times of every thread: ``what`` is ``run`` or ``queue``.
+
+    A run or wait that ``expire_after`` gives up is a row at its start without a length.
+    """
     wake, on, off = 0, 1, 2
+    names = [COLLECTION, "pid", UPTIME, "what", "length_us"]
+
+    def unfinished(key, held):
+        open_ = [(start, what) for start, what in zip(held, ("run", "queue")) if start is not None]
+        rows = [(key[0], key[1], int(start), what, None) for start, what in open_]
+        return pd.DataFrame(rows, columns=names).astype({"length_us": "Int64"})
 
     def step(key, held, rows):
         run, queued = held or (None, None)
@@ -167,7 +187,7 @@ def stream_sched(
             elif run is not None:
                 emitted.append((key[0], key[1], ts, "run", ts - run))
                 run, queued = None, ts
-        out = pd.DataFrame(emitted, columns=[COLLECTION, "pid", UPTIME, "what", "length_us"])
+        out = pd.DataFrame(emitted, columns=names)
         return out, None if run is None and queued is None else (run, queued)
 
     switch = F.array(
@@ -194,6 +214,7 @@ def stream_sched(
         step,
         expire_after,
         delay,
+        unfinished,
     )
 
 
