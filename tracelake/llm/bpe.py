@@ -318,12 +318,6 @@ class Bpe:
             del self.pieces[p]
         return out
 
-    def forget(self) -> None:
-        """Empty the caches, at the end of a task."""
-        self.pieces.clear()
-        self.fits.clear()
-        let_go()
-
     def encode(
         self, texts: Iterable[str], special: bool = True, most: int = 1 << 21
     ) -> Iterator[bytes]:
@@ -353,6 +347,12 @@ def bpe(path: str | None) -> Bpe:
     return Bpe(path or default_path())
 
 
+def forget() -> None:
+    """Drop the vocabulary and its caches at the end of a task: a worker lives on."""
+    bpe.cache_clear()
+    let_go()
+
+
 def encoded(text: Column, path: str | None = None) -> Column:
     """array<int> of the ids of a text; a null text is an empty one."""
 
@@ -364,7 +364,8 @@ def encoded(text: Column, path: str | None = None) -> Column:
             flat = pa.array(np.frombuffer(b"".join(found), "<i4"))
             del found
             yield pa.ListArray.from_arrays(pa.array(ends), flat)
-        codec.forget()
+        del codec
+        forget()
 
     return F.arrow_udf(ids, ArrayType(IntegerType()))(text)
 
@@ -397,7 +398,8 @@ def encoded_and_decoded(text: Column, path: str | None = None) -> Column:
             arrays = [pa.array(ids, pa.binary()), pa.array(back, pa.string())]
             del ids, back
             yield pa.StructArray.from_arrays(arrays, ["ids", "back"])
-        codec.forget()
+        del codec
+        forget()
 
     return F.arrow_udf(both, "ids binary, back string")(text)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.bpe import bpe
+from tracelake.llm.bpe import bpe, forget
 from tracelake.sources.scratch import scratch_dir
 
 #: End-of-document id of the 50k vocabulary, and the type of the ids in a file.
@@ -35,7 +35,8 @@ def _raw_ids(text: Column, path: str | None) -> Column:
         for texts in batches:
             found = codec.encode((t.as_py() or "" for t in texts), special=False)
             yield pa.array([np.frombuffer(x, "<u4").astype(_ID).tobytes() for x in found], pa.binary())
-        codec.forget()
+        del codec
+        forget()
 
     return F.arrow_udf(ids, "binary")(text)
 

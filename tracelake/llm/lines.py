@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tracelake.llm.common import doc_key, whole_text
+from tracelake.llm.common import doc_key, let_go, whole_text
 
 #: Words of a line, or of a block of lines, that do not recur by chance. Shorter lines are
 #: too frequent to show an overlap and go only as part of a longer block.
 RARE_WORDS = 4
 
+#: Documents whose lines are listed together.
+_AT_ONCE = 1000
+
 Match = tuple[int, int]
 
 
@@ -118,19 +121,25 @@ def removed_places(shared: Iterable[dict]) -> list[int]:
 def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each different line of each document, with its places among the others."""
     for batch in batches:
-        columns: tuple[list, ...] = ([], [], [], [], [], [])
-        for key, print_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            places: dict[bytes, list[int]] = {}
-            for i, line in enumerate(filter(None, (x.strip() for x in text.encode().split(b"\n")))):
-                places.setdefault(line, []).append(i)
-            for line, at in places.items():
-                h = xxhash.xxh3_128_intdigest(line)
-                row = (key, print_, (h >> 64) - 2**63, (h & 2**64 - 1) - 2**63, len(line.split()), at)
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-        kinds = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int32())]
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(arrays, ["key", "print", "a", "b", "words", "own"])
+        for at in range(0, len(batch), _AT_ONCE):
+            yield _lines_of(batch.slice(at, _AT_ONCE))
+    let_go()
+
+
+def _lines_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    columns: tuple[list, ...] = ([], [], [], [], [], [])
+    for key, print_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        places: dict[bytes, list[int]] = {}
+        for i, line in enumerate(filter(None, (x.strip() for x in text.encode().split(b"\n")))):
+            places.setdefault(line, []).append(i)
+        for line, at in places.items():
+            h = xxhash.xxh3_128_intdigest(line)
+            row = (key, print_, (h >> 64) - 2**63, (h & 2**64 - 1) - 2**63, len(line.split()), at)
+            for column, value in zip(columns, row, strict=True):
+                column.append(value)
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int32())]
+    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, ["key", "print", "a", "b", "words", "own"])
 
 
 def _removed(shared: Column) -> Column:
@@ -140,23 +149,32 @@ def _removed(shared: Column) -> Column:
     return F.arrow_udf(places, ArrayType(IntegerType()))(shared)
 
 
+def _cut_out(text: str, gone: list[int]) -> str:
+    drop, at, lines = set(gone), -1, []
+    for line in text.split("\n"):
+        blank = not line.encode().strip()
+        at += not blank
+        if blank or at not in drop:
+            lines.append(line)
+    return "\n".join(lines) if len(drop) <= at else ""
+
+
 def _kept(text: Column, gone: Column) -> Column:
     """The text without the lines at the places in ``gone``; blank lines are not counted."""
 
-    def cut_out(texts: pa.Array, places: pa.Array) -> pa.Array:
-        out = []
-        for text, gone in zip(texts.to_pylist(), places.to_pylist(), strict=True):
-            if gone:
-                drop, at, lines = set(gone), -1, []
-                for line in text.split("\n"):
-                    at += bool(line.encode().strip())
-                    if not line.encode().strip() or at not in drop:
-                        lines.append(line)
-                text = "\n".join(lines) if len(drop) <= at else ""
-            out.append(text)
-        return pa.array(out, pa.string())
+    def cut_out(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        # Only changed texts go back.
+        for texts, places in batches:
+            yield pa.array(
+                [
+                    _cut_out(text.as_py(), gone.as_py()) if gone.is_valid and len(gone) else None
+                    for text, gone in zip(texts, places, strict=True)
+                ],
+                pa.string(),
+            )
+        let_go()
 
-    return F.arrow_udf(cut_out, "string")(text, gone)
+    return F.coalesce(F.arrow_udf(cut_out, "string")(text, gone), text)
 
 
 def with_kept_lines(docs: DataFrame) -> DataFrame:
@@ -185,9 +203,7 @@ def with_kept_lines(docs: DataFrame) -> DataFrame:
         F.collect_set(F.struct("first", "own", "theirs", "words")).alias("shared")
     )
     gone = shared.select("key", "print", _removed(F.col("shared")).alias("gone"))
-    joined = docs.select(*keys, F.struct("*").alias("row")).join(
-        gone.where("size(gone) > 0"), ["key", "print"], "left"
-    )
+    joined = docs.select(*keys, F.struct("*").alias("row")).join(gone, ["key", "print"], "left")
     return joined.select("row", "gone", _kept(F.col("row.text"), F.col("gone")).alias("kept"))
 
 

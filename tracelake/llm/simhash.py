@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut, doc_key, own_id
+from tracelake.llm.common import cut, doc_key, let_go, own_id
 from tracelake.llm.components import components
 
 SEED = 42
@@ -46,9 +48,11 @@ def fingerprint(text: Column, width: int = 3) -> Column:
     over half of the hashes.
     """
 
-    def prints(texts: pa.Array) -> pa.Array:
-        found = [_fingerprint((t or "").encode(), width) for t in texts.to_pylist()]
-        return pa.array(np.array(found, np.uint64).view(np.int64))
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [_fingerprint((t.as_py() or "").encode(), width) for t in texts]
+            yield pa.array(np.array(found, np.uint64).view(np.int64))
+        let_go()
 
     return F.arrow_udf(prints, "long")(text)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from tracelake.llm.common import cut, whole_text
+from tracelake.llm.common import cut, let_go, whole_text
 
 #: Labelled documents that a model is learned from, about: drawn by a hash of doc_id.
 LABELLED = 12_000
@@ -260,9 +261,9 @@ def scored(text: Column, model: Model) -> Column:
     """
     (a, *b), tail = model.line, (model.floor, model.log_k, model.rate)
 
-    def scan(texts: pa.Array) -> pa.Array:
-        out, weights = [], _Weights(model.weights)
-        for text in texts.to_pylist():
+    def scan(texts: pa.Array, weights: _Weights) -> pa.Array:
+        out = []
+        for text in (t.as_py() for t in texts):
             lower = (text or "").lower()
             tokens = _TOKEN.findall(lower)
             segments = _segments(tokens, weights)
@@ -283,7 +284,14 @@ def scored(text: Column, model: Model) -> Column:
         lists = [[dict(zip(("start", "end", "score"), p, strict=True)) for p in ps] for _, ps in out]
         return pa.StructArray.from_arrays([scores, pa.array(lists, pa.list_(kind))], _SCORED.names)
 
-    return F.arrow_udf(scan, _SCORED)(text)
+    def scan_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights = _Weights(model.weights)
+        for texts in batches:
+            yield scan(texts, weights)
+        weights.clear()
+        let_go()
+
+    return F.arrow_udf(scan_all, _SCORED)(text)
 
 
 def with_toxicity(docs: DataFrame, model: Model) -> DataFrame:
