@@ -22,7 +22,7 @@ from tracelake.sources.scratch import scratch_dir
 END_ID = 50256
 _ID = np.dtype("<u2")
 #: Documents of a file at most; a file is read by one task.
-DOCS_PER_FILE = 10_000
+DOCS_PER_FILE = 4_000
 #: Tokens of a block.
 BLOCK = 1 << 20
 
