@@ -29,7 +29,7 @@ CACHED_BYTES = 64
 #: Characters whose class is the same in every Unicode version that the libraries in use
 #: follow. A text with any other is cut by the tokenizer library's own splitter.
 _SETTLED = regex.compile(
-    r"[\u0000-՗֐-ࢎ࢐-౛ೝ-₎₠-ꟍ꭮-\U000107ba"
+    r"[\u0000-\u0557\u0590-\u088e\u0890-\u0c5b\u0cdd-\u208e\u20a0-\ua7cd\uab6e-\U000107ba"
     r"\U0001f300-\U0001f64f]*"
 )
 
