@@ -3,8 +3,9 @@
 The batch operators give the same rows. State is kept per key; with ``expire_after`` a
 key that has been silent for that long (in event time) is forgotten. What was open then is
 a row without an end (spans that overwrite) or length (scheduler); calls that keep the first
-entry and queue depths, whose rows are finished ones by nature, lose it. A micro-batch holds a bounded number of files, and one key's rows of it are
-sorted by one task; chunks of a key must arrive in time order.
+entry and queue depths, whose rows are finished ones by nature, lose it. A micro-batch holds
+a bounded number of files, and one key's rows of it are sorted by one task; chunks of a key
+must arrive in time order.
 """
 
 from __future__ import annotations
