@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tracelake.llm.common import doc_key, let_go, whole_text
+from tracelake.llm.common import doc_key, let_go, stored, whole_text
 
 #: Words of a line, or of a block of lines, that do not recur by chance. Shorter lines are
 #: too frequent to show an overlap and go only as part of a longer block.
@@ -198,6 +198,8 @@ def with_kept_lines(docs: DataFrame) -> DataFrame:
         F.max("key").alias("last"),
     )
     first = first.where("f.key < last").select("a", "b", F.col("f.key").alias("first"), "f.theirs")
+    # Stored, so that both sides of the join are plain shuffles, which Spark splits if one is hot.
+    first = stored(first, "first-lines")
     later = lines.join(first, ["a", "b"]).where("key > first")
     shared = later.groupBy("key", "print").agg(
         F.collect_set(F.struct("first", "own", "theirs", "words")).alias("shared")
