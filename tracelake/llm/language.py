@@ -98,8 +98,8 @@ def identified(text: Column, contents: dict[str, bytes], min_margin: float = 0.0
     The whole text, its letters in lower case, is compressed, chunk by chunk, with each
     language's dictionary; the smallest total wins, the more frequent language at a tie.
     margin is by how much the second is larger, in parts of the smallest; below
-    ``min_margin`` the guess is marked rejected. A null text, one without a letter, or no learned language give ``und`` with
-    score 0, rejected.
+    ``min_margin`` the guess is marked rejected. A null text, one without a letter, or no
+    learned language give ``und`` with score 0, rejected.
     """
 
     def guess(texts: pa.Array) -> pa.Array:

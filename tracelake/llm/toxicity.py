@@ -257,7 +257,8 @@ def scored(text: Column, model: Model) -> Column:
     """Struct of score (0 to 1) and passages of a text.
 
     The whole text is scanned. Passages are the maximal segments of which clean text of that
-    length has less than one on average, as code points from start to end, each with its sum. A null or empty text has no passage and the score of such a text.
+    length has less than one on average, as code points from start to end, each with its sum.
+    A null or empty text has no passage and the score of a text without toxic tokens.
     """
     (a, *b), tail = model.line, (model.floor, model.log_k, model.rate)
 
