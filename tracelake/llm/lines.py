@@ -7,7 +7,7 @@ of its lines by patience diff, and aligned common blocks are deleted from it.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -52,43 +52,44 @@ def aligned(lines: list[tuple[list[int], list[int]]]) -> list[Match]:
     both are anchors if they lie on the longest rising chain; between two anchors the same
     is done with the lines that occur once there, until nothing is left.
     """
-    end = 1 + max((max(a + b) for a, b in lines), default=0)
-    todo = [(0, end, 0, end, lines)]
-    found: list[Match] = []
+    todo, found = [lines], []
     while todo:
-        a0, a1, b0, b1, held = todo.pop()
-        inside = []
-        for a, b in held:
-            a, b = [x for x in a if a0 <= x < a1], [x for x in b if b0 <= x < b1]
-            if a and b:
-                inside.append((a, b))
-        once = sorted((a[0], b[0]) for a, b in inside if len(a) == len(b) == 1)
+        held = todo.pop()
+        once = sorted((a[0], b[0]) for a, b in held if len(a) == len(b) == 1)
+        rest = [x for x in held if not len(x[0]) == len(x[1]) == 1]
         chain = _longest_rising(once)
         found += chain
-        rest = [x for x in inside if not len(x[0]) == len(x[1]) == 1]
-        if chain and rest:
-            edges = [(a0 - 1, b0 - 1), *chain, (a1, b1)]
-            for (p, q), (r, s) in zip(edges, edges[1:], strict=False):
-                if r - p > 1 and s - q > 1:
-                    todo.append((p + 1, r, q + 1, s, rest))
-        elif rest:
+        if chain:
+            todo += _between(chain, rest)
+        else:
             # Nothing is unique: equal lines are met in order from the front.
             found += _in_order(rest)
     return sorted(found)
 
 
+def _between(chain: list[Match], lines: list[tuple[list[int], list[int]]]) -> list[list]:
+    """Lines by the gap of the chain that they have places in, in both documents."""
+    gaps: dict[int, list] = {}
+    edges = list(zip(*chain, strict=True))
+    for places in lines:
+        sides: list[dict[int, list[int]]] = [{}, {}]
+        for side, own, anchors in zip(sides, places, edges, strict=True):
+            for place in own:
+                side.setdefault(bisect_left(anchors, place), []).append(place)
+        for gap in sides[0].keys() & sides[1].keys():
+            gaps.setdefault(gap, []).append((sides[0][gap], sides[1][gap]))
+    return list(gaps.values())
+
+
 def _in_order(lines: list[tuple[list[int], list[int]]]) -> list[Match]:
-    line_at = {place: i for i, (_, b) in enumerate(lines) for place in b}
-    wanted = sorted((place, i) for i, (a, _) in enumerate(lines) for place in a)
-    there = sorted(line_at)
-    found, k = [], 0
-    for place, i in wanted:
-        j = k
-        while j < len(there) and line_at[there[j]] != i:
-            j += 1
+    found: list[Match] = []
+    last = -1
+    for place, i in sorted((place, i) for i, (a, _) in enumerate(lines) for place in a):
+        there = lines[i][1]
+        j = bisect_right(there, last)
         if j < len(there):
-            found.append((place, there[j]))
-            k = j + 1
+            last = there[j]
+            found.append((place, last))
     return found
 
 
