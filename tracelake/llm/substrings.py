@@ -205,7 +205,8 @@ def repeated_spans(docs: DataFrame, width: int = 50, at_once: int = SLICE) -> Da
     heads = edges.groupBy("edge_a", "edge_b").agg(
         F.min("key").alias("least"), F.max("key").alias("last")
     )
-    heads = heads.where("least < last").drop("last")
+    # Stored, so that both sides of the join are plain shuffles, which Spark splits if one is hot.
+    heads = stored(heads.where("least < last").drop("last"), "first-edges")
     single = edges.join(heads, ["edge_a", "edge_b"]).where("key > least")
     single = single.select("key", "print", "first", F.lit(1).cast("long").alias("windows"))
     spans = whole.union(single).groupBy("key", "print")
