@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut, doc_key, let_go, own_id
 from tracelake.llm.components import components
+from tracelake.llm.near import drop_near_copies  # noqa: F401  (the stage, kept under its old name)
 
 SEED = 42
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -98,15 +99,3 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(ids, "fp").select(
         own_id(F.col("key")).alias("doc_id"), "fp", own_id(F.col("head")).alias("component_id")
     )
-
-
-def drop_near_copies(docs: DataFrame, width: int = 3) -> DataFrame:
-    """The documents with the smallest id of their component; columns stay.
-
-    Of repeated rows with that id one stays. Rows with a null id stay only in a component
-    without any other id, and then one of them.
-    """
-    heads = simhash_components(docs, width).select(doc_key("component_id").alias("head"))
-    keyed = docs.select(doc_key().alias("key"), F.struct("*").alias("row"))
-    kept = keyed.join(heads.distinct(), F.col("key") == F.col("head"), "left_semi")
-    return kept.dropDuplicates(["key"]).select("row.*")
