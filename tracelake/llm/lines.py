@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment (operator 6).
 
-A line's first document is looked up by its hash; documents that share lines rare enough
-to tell something overlap. Every later document is aligned with each of the first documents
-of its lines by patience diff, and aligned common blocks are deleted from it.
+Documents that share a run of lines long enough to tell something overlap; runs are looked
+up by their hash. Every later document is aligned with the earlier ones by patience diff,
+and aligned common blocks are deleted from it.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from tracelake.llm.common import doc_key, let_go, stored, whole_text
 
-#: Words of a line, or of a block of lines, that do not recur by chance. Shorter lines are
-#: too frequent to show an overlap and go only as part of a longer block.
+#: Words of a block of lines that do not recur by chance; a line of as many is one.
 RARE_WORDS = 4
 
 #: Documents whose lines are listed together.
@@ -119,6 +118,11 @@ def removed_places(shared: Iterable[dict]) -> list[int]:
     return sorted(gone)
 
 
+def line_words(line: bytes) -> int:
+    """Words between ASCII white space."""
+    return len(line.split())
+
+
 def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each different line of each document, with its places among the others."""
     for batch in batches:
@@ -131,11 +135,17 @@ def _lines_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     columns: tuple[list, ...] = ([], [], [], [], [], [])
     for key, print_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         places: dict[bytes, list[int]] = {}
-        for i, line in enumerate(filter(None, (x.strip() for x in text.encode().split(b"\n")))):
+        every = [x for x in (y.strip() for y in text.encode().split(b"\n")) if x]
+        for i, line in enumerate(every):
             places.setdefault(line, []).append(i)
-        for line, at in places.items():
+        rows = [(line, line_words(line), at) for line, at in places.items()]
+        total = sum(words * len(at) for _, words, at in rows)
+        if total >= RARE_WORDS:
+            # All lines as one, which no line can be: its place is the number of lines below 0.
+            rows.append((b"\n" + b"\n".join(every), total, [-len(every)]))
+        for line, words, at in rows:
             h = xxhash.xxh3_128_intdigest(line)
-            row = (key, print_, (h >> 64) - 2**63, (h & 2**64 - 1) - 2**63, len(line.split()), at)
+            row = (key, print_, (h >> 64) - 2**63, (h & 2**64 - 1) - 2**63, words, at)
             for column, value in zip(columns, row, strict=True):
                 column.append(value)
     kinds = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int32())]
@@ -143,11 +153,77 @@ def _lines_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["key", "print", "a", "b", "words", "own"])
 
 
-def _removed(shared: Column) -> Column:
-    def places(rows: pa.Array) -> pa.Array:
-        return pa.array([removed_places(r or ()) for r in rows.to_pylist()], pa.list_(pa.int32()))
+def runs(lines: Iterable[dict], gone: Iterable[int] = ()) -> list[tuple[int, int, int, int]]:
+    """(first place, last place, hash, hash) of the least runs of lines with RARE_WORDS words.
+
+    ``lines`` has h, words and own of the lines that others have too. From each place on, and
+    back from each, as few lines as make up the words. A block that is common with another
+    document consists of such runs. Runs that are all in ``gone`` are left out.
+    """
+    at = {p: (x["h"], x["words"]) for x in lines for p in x["own"]}
+    taken, found = set(gone), set()
+    for place in at:
+        for step in (1, -1):
+            end, words = place, at[place][1]
+            while words < RARE_WORDS and end + step in at:
+                end += step
+                words += at[end][1]
+            if words >= RARE_WORDS:
+                found.add((min(place, end), max(place, end)))
+    out = []
+    for low, high in sorted(found):
+        if all(p in taken for p in range(low, high + 1)):
+            continue
+        raw = b"".join(at[p][0].to_bytes(8, "little", signed=True) for p in range(low, high + 1))
+        h = xxhash.xxh3_128_intdigest(raw)
+        out.append((low, high, (h >> 64) - 2**63, (h & 2**64 - 1) - 2**63))
+    return out
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different run of each document."""
+    for batch in batches:
+        columns: tuple[list, ...] = ([], [], [], [])
+        for row in range(len(batch)):
+            key, print_, lines, gone = (c[row].as_py() for c in batch.columns)
+            for a, b in {x[2:] for x in runs(lines or (), gone or ())}:
+                for column, value in zip(columns, (key, print_, a, b), strict=True):
+                    column.append(value)
+        arrays = [pa.array(c, pa.int64()) for c in columns]
+        yield pa.RecordBatch.from_arrays(arrays, ["key", "print", "a", "b"])
+    let_go()
+
+
+def _common(own: list[dict], theirs: list[dict]) -> list[dict]:
+    there = {line["h"]: line["own"] for line in theirs}
+    return [
+        {"first": 0, "own": x["own"], "theirs": there[x["h"]], "words": x["words"]}
+        for x in own
+        if x["h"] in there
+    ]
+
+
+def _removed(own: Column, theirs: Column) -> Column:
+    def places(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            found = [
+                removed_places(_common(x.as_py(), y.as_py())) for x, y in zip(left, right, strict=True)
+            ]
+            yield pa.array(found, pa.list_(pa.int32()))
+        let_go()
+
+    return F.arrow_udf(places, ArrayType(IntegerType()))(own, theirs)
+
 
-    return F.arrow_udf(places, ArrayType(IntegerType()))(shared)
+def _gone(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """key, print, gone: places in blocks aligned with any of a document's partners."""
+    theirs = profiles.select(
+        F.col("key").alias("other"), F.col("print").alias("other_print"), F.col("lines").alias("theirs")
+    )
+    both = pairs.join(theirs, ["other", "other_print"]).join(profiles, ["key", "print"])
+    found = both.select("key", "print", _removed(F.col("lines"), F.col("theirs")).alias("places"))
+    found = found.where(F.size("places") > 0).groupBy("key", "print")
+    return found.agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("gone"))
 
 
 def _cut_out(text: str, gone: list[int]) -> str:
@@ -186,26 +262,54 @@ def with_kept_lines(docs: DataFrame) -> DataFrame:
     smaller doc_id (a null id comes last); rows with one doc_id do not count against each
     other, repeated rows get equal results. Null and empty texts have no lines.
 
-    Each line of a document stands for one pair, with the first document that has it: as
-    many pairs as lines at most, however many documents share a line, and no line that an
-    earlier document has goes without one.
+    A document whose lines are all those of an earlier one, in order, loses all. Any other is
+    aligned, over all lines that both have, with each earlier document that can take a line
+    from it: first with the first holder of each of its runs of lines (``runs``), then with
+    all other holders of runs that still stand. A line in a block that is aligned with any
+    earlier document stands in such a run, so none stays for want of a partner, and a run
+    that goes with its first holder makes no pair with its others.
     """
     keys = doc_key().alias("key"), F.xxhash64(whole_text()).alias("print")
     rows = docs.select(*keys, whole_text().alias("text"))
     kinds = "key long, print long, a long, b long, words int, own array<int>"
     lines = rows.mapInArrow(_distinct_lines, kinds)
-    first = lines.groupBy("a", "b").agg(
-        F.min_by(F.struct("key", F.col("own").alias("theirs")), F.struct("key", "print")).alias("f"),
-        F.max("key").alias("last"),
-    )
-    first = first.where("f.key < last").select("a", "b", F.col("f.key").alias("first"), "f.theirs")
+    first = lines.groupBy("a", "b").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    # Runs can be shared by rows of one doc_id only, which take nothing from each other.
+    first = first.where("first < last").select("a", "b", "first")
     # Stored, so that both sides of the join are plain shuffles, which Spark splits if one is hot.
     first = stored(first, "first-lines")
-    later = lines.join(first, ["a", "b"]).where("key > first")
-    shared = later.groupBy("key", "print").agg(
-        F.collect_set(F.struct("first", "own", "theirs", "words")).alias("shared")
+    whole = F.col("own")[0] < 0
+    shared = lines.join(first, ["a", "b"]).groupBy("key", "print").agg(
+        F.max(F.when(whole & (F.col("key") > F.col("first")), -F.col("own")[0])).alias("copied"),
+        F.collect_set(F.when(~whole, F.struct(F.col("a").alias("h"), "words", "own"))).alias("lines"),
+    )
+    shared = stored(shared, "shared-lines")
+    copies = shared.where("copied is not null")
+    copies = copies.select("key", "print", F.expr("sequence(0, copied - 1)").alias("gone"))
+    profiles = shared.where("copied is null and size(lines) > 0").select("key", "print", "lines")
+    kinds = "key long, print long, a long, b long"
+    nothing = F.lit(None).cast("array<int>").alias("gone")
+    units = stored(profiles.select("*", nothing).mapInArrow(_runs_of, kinds), "line-runs")
+    holders = units.groupBy("a", "b").agg(
+        F.min(F.struct("key", "print")).alias("f"), F.max("key").alias("last")
+    )
+    holders = holders.where("f.key < last")
+    holders = stored(
+        holders.select("a", "b", F.col("f.key").alias("other"), F.col("f.print").alias("other_print")),
+        "first-runs",
     )
-    gone = shared.select("key", "print", _removed(F.col("shared")).alias("gone"))
+    pair = ["key", "print", "other", "other_print"]
+    pairs = units.join(holders, ["a", "b"]).where("key > other").select(pair).distinct()
+    pairs = stored(pairs, "line-pairs")
+    gone = stored(_gone(pairs, profiles), "lines-gone")
+    standing = profiles.join(gone, ["key", "print"], "left").select("key", "print", "lines", "gone")
+    standing = standing.mapInArrow(_runs_of, kinds).join(holders, ["a", "b"]).where("key > other")
+    standing = stored(standing.select("key", "print", "a", "b"), "standing-runs")
+    others = units.select("a", "b", F.col("key").alias("other"), F.col("print").alias("other_print"))
+    more = standing.join(others, ["a", "b"]).where("key > other").select(pair).distinct()
+    more = stored(more.join(pairs, pair, "left_anti"), "line-pairs")
+    gone = gone.union(_gone(more, profiles)).union(copies).groupBy("key", "print")
+    gone = gone.agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     joined = docs.select(*keys, F.struct("*").alias("row")).join(gone, ["key", "print"], "left")
     return joined.select("row", "gone", _kept(F.col("row.text"), F.col("gone")).alias("kept"))
 
