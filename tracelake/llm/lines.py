@@ -11,6 +11,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ RARE_WORDS = 4
 #: Documents whose lines are listed together.
 _AT_ONCE = 1000
 
+#: Letters of scripts that put no spaces between words; two of them count as a word.
+_UNSPACED = regex.compile(
+    r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
+)
+
 Match = tuple[int, int]
 
 
@@ -104,8 +110,6 @@ def removed_places(shared: Iterable[dict]) -> list[int]:
         by_first.setdefault(line["first"], []).append(line)
     gone: set[int] = set()
     for lines in by_first.values():
-        if max(line["words"] for line in lines) < RARE_WORDS:
-            continue
         words = {place: line["words"] for line in lines for place in line["own"]}
         block: list[Match] = []
         matches = aligned([(line["own"], line["theirs"]) for line in lines])
@@ -119,8 +123,11 @@ def removed_places(shared: Iterable[dict]) -> list[int]:
 
 
 def line_words(line: bytes) -> int:
-    """Words between ASCII white space."""
-    return len(line.split())
+    """Words between ASCII white space, or half the letters of scripts without spaces."""
+    words = len(line.split())
+    if line.isascii():
+        return words
+    return max(words, -(-len(_UNSPACED.findall(line.decode())) // 2))
 
 
 def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
