@@ -13,6 +13,7 @@ from tracelake.llm import (
     decontaminate,
     language,
     lines,
+    minhash,
     nearest,
     pii,
     simhash,
@@ -94,6 +95,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(docs, benchmark)
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -107,6 +112,7 @@ QUERIES: dict[str, Query] = {
         op8_token_counts,
         op9_nearest_neighbours,
         op10_decontamination,
+        op13_minhash_near_dedup,
     )
 }
 #: Answers in SQL, where it can express the operator.
