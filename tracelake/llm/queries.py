@@ -12,6 +12,7 @@ from tracelake.llm import (
     counts,
     decontaminate,
     language,
+    lexical,
     lines,
     minhash,
     nearest,
@@ -95,6 +96,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(docs, benchmark)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return lexical.lexical_search(docs, benchmark)
+
+
 def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_components(table(spark, sf_dir, "documents"))
 
@@ -112,6 +118,7 @@ QUERIES: dict[str, Query] = {
         op8_token_counts,
         op9_nearest_neighbours,
         op10_decontamination,
+        op12_lexical_search,
         op13_minhash_near_dedup,
     )
 }
@@ -121,4 +128,5 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": substrings.SUBSTRING_SQL,
     "op9_nearest_neighbours": nearest.NEAREST_SQL,
     "op10_decontamination": decontaminate.LEAKS_SQL,
+    "op12_lexical_search": lexical.LEXICAL_SQL,
 }
