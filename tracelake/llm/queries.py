@@ -18,6 +18,7 @@ from tracelake.llm import (
     nearest,
     pii,
     simhash,
+    spelling,
     substrings,
     toxicity,
 )
@@ -96,6 +97,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(docs, benchmark)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return lexical.lexical_search(docs, benchmark)
@@ -118,6 +123,7 @@ QUERIES: dict[str, Query] = {
         op8_token_counts,
         op9_nearest_neighbours,
         op10_decontamination,
+        op11_spelling_variants,
         op12_lexical_search,
         op13_minhash_near_dedup,
     )
