@@ -42,7 +42,10 @@ def terms_of(text: str | None) -> list[bytes]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, key, n (terms of the text), term, tf: a row for each different term of a text."""
+    """row, key, n (terms of the text), term, tf: a row for each different term of a text.
+
+    A text with terms also has a row for the empty term, which no text holds: tf is n there.
+    """
     for batch in batches:
         for at in range(0, len(batch), _AT_ONCE):
             part = batch.slice(at, _AT_ONCE)
@@ -50,6 +53,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in part["text"]:
                 words = terms_of(text.as_py())
                 counted = Counter(words)
+                if words:
+                    counted[b""] = len(words)
                 terms += counted.keys()
                 tfs += counted.values()
                 held.append(len(counted))
@@ -71,11 +76,6 @@ def occurrences(texts: DataFrame, key: Column) -> DataFrame:
     return rows.mapInArrow(_occurrences, "row long, key long, n long, term string, tf long")
 
 
-def text_length(text: Column) -> Column:
-    """Terms of a text, counted without Python."""
-    return F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-
-
 class Shard:
     """Posting lists of a part of the documents, one after the other, with their sparse tables."""
 
@@ -207,21 +207,19 @@ def lexical_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFra
     never more. Items go in blocks of BLOCK terms, each sent to every task.
     """
     spark = docs.sparkSession
-    length = text_length(whole_text())
-    total = docs.select(length.alias("n")).where("n > 0").agg(F.count("*"), F.sum("n")).first()
     asked = items.select(F.monotonically_increasing_id().alias("item"), "item_id", whole_text().alias("text"))
     asked = stored(asked, "lexical-items")
     wanted = stored(occurrences(asked, F.col("item")), "lexical-terms")
-    vocabulary = wanted.select("term").distinct().withColumn("id", F.monotonically_increasing_id())
-    vocabulary = stored(vocabulary, "lexical-vocabulary")
-    bytes_ = vocabulary.agg(F.sum(F.octet_length("term") + 24)).first()[0] or 0
+    vocabulary = wanted.select("term").union(spark.createDataFrame([("",)], "term string")).distinct()
+    vocabulary = stored(vocabulary.withColumn("id", F.monotonically_increasing_id()), "lexical-vocabulary")
+    bytes_ = vocabulary.agg(F.sum(F.octet_length("term") + 24)).first()[0]
     known = F.broadcast(vocabulary) if bytes_ <= BROADCAST_BYTES else vocabulary
-    n_docs, n_terms = F.lit(total[0]), F.lit(total[1] or 1)
-    m = F.expr("75") + F.call_function("div", 25 * F.col("n") * n_docs, n_terms)
-    impact = F.call_function("div", 1_000_000_000 * F.col("tf"), 1000 * F.col("tf") + 12 * m)
     held = occurrences(docs, doc_key()).join(known, "term")
-    held = held.select("row", "key", F.col("id").alias("term"), impact.cast("int").alias("impact"))
+    held = held.select("row", "key", "n", F.col("id").alias("term"), (F.col("term") != "").alias("own"), "tf")
     held = stored(held, "lexical-postings")
+    total = held.where("not own").agg(F.count("*"), F.sum("tf")).first()
+    held, wanted = held.where("own"), wanted.where("term <> ''")
+    n_docs, n_terms = F.lit(total[0]), F.lit(total[1] or 1)
 
     often = held.groupBy(F.col("term").alias("id")).agg(F.count("*").alias("df"))
     often = vocabulary.join(often, "id").select("term", "id", "df")
@@ -232,7 +230,10 @@ def lexical_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFra
     weighted = stored(weighted.where("weight > 0"), "lexical-weights")
     shards = max(1, -(-held.count() // SHARD))
     blocks = max(1, -(-weighted.count() // BLOCK))
-    dealt = held.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    m = F.lit(75) + F.call_function("div", 25 * F.col("n") * n_docs, n_terms)
+    impact = F.call_function("div", 1_000_000_000 * F.col("tf"), 1000 * F.col("tf") + 12 * m).cast("int")
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")
+    dealt = held.select(shard, "row", "key", "term", impact.alias("impact"))
     found = None
     for block in range(blocks):
         own = weighted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toArrow()
