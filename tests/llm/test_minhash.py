@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_text_operators import docs_of, odd_texts, rows_of
@@ -89,10 +90,13 @@ def test_odd_texts_repeats_and_other_columns(spark):
     check(spark, [None, "", " "])
 
 
-def test_hubs_are_changed_until_no_bucket_is_apart(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_what_its_hubs_leave_apart_is_compared(spark, monkeypatch, rounds):
     # One bin for a band: unlike texts share buckets, most hubs are unlike their members.
     monkeypatch.setattr(minhash.Signer.__init__, "__defaults__", (40, 1))
-    monkeypatch.setattr(minhash, "MORE_HUBS", 2)
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "HUB_BLOCK", 300)
+    monkeypatch.setattr(minhash, "MEMBER_BLOCK", 500)
     rng = random.Random(5)
     pool = [f"w{i}" for i in range(40)]
     texts = [" ".join(rng.choices(pool, k=rng.choice([8, 30, 60]))) for _ in range(60)]

@@ -27,8 +27,10 @@ REACHED = 80
 #: with a probability of (1 - 0.8 ** ROWS) ** BANDS, 1.3e-7.
 BANDS, ROWS = 40, 5
 SEED = 13
-#: In each round a bucket that is still apart has so many times as many hubs as in the last.
-MORE_HUBS = 8
+#: Rounds in which each bucket that is still apart has one more hub, before its rest is compared.
+HUB_ROUNDS = 2
+#: Shingles of a block of hubs, and of a block of members, of a rest that is compared at once.
+HUB_BLOCK, MEMBER_BLOCK = 250_000, 250_000
 #: Sets whose documents' names are sent to every task at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Words whose hashes a task remembers.
@@ -149,6 +151,37 @@ def _alike(a: Column, b: Column) -> Column:
 _FITS = f"100 * least(n, m) >= {REACHED} * greatest(n, m)"
 
 
+def _links_of_block(batch: pa.Table) -> pa.Table:
+    """a, b: links between the hubs and the members of a block that have different roots."""
+    hub = batch["hub"].to_numpy(zero_copy_only=False)
+    hubs, members = (batch.filter(pa.array(x)) for x in (hub, ~hub))
+    own, other = (x["root"].to_pylist() for x in (hubs, members))
+    of = {root: i for i, root in enumerate({*own, *other})}
+    root = np.array([of[x] for x in other], np.int64)
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in members["s"]]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    if len(sets) and len(own):
+        known, at = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        marks = np.zeros(len(known), np.int64)
+        for i, v in enumerate(hubs["s"]):
+            asked = np.frombuffer(v.as_buffer(), np.uint64)
+            place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+            place = place[known[place] == asked]
+            marks[place] = 1
+            common = np.add.reduceat(marks[at], starts)
+            marks[place] = 0
+            alike = 100 * common >= REACHED * (len(asked) + sizes - common)
+            j = np.flatnonzero(alike & (root != of[own[i]]))
+            found.append((np.full(len(j), i), j))
+    let_go()
+    i, j = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found) if found else ((), ())))
+    return pa.Table.from_arrays(
+        [hubs["node"].take(pa.array(i)), members["node"].take(pa.array(j))], ["a", "b"]
+    )
+
+
 class _Sets:
     """Full sets of the nodes that some pair needs, each made once."""
 
@@ -156,9 +189,8 @@ class _Sets:
         self.texts, self.names, self.width = texts, names, width
         self.made: list[DataFrame] = []
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those of the stored pairs (a, b) whose full sets reach the similarity."""
-        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def of(self, need: DataFrame) -> DataFrame:
+        """(node, s) of the nodes in ``need``, and of others."""
         for made in self.made:
             need = need.join(made, "node", "left_anti")
         need = stored(need.join(self.names, "node"), "minhash-names")
@@ -166,13 +198,64 @@ class _Sets:
         held = self.texts.join(F.broadcast(need) if few else need, ["print", "key"])
         held = held.dropDuplicates(["node"]).select("node", _sets(F.col("text"), self.width).alias("s"))
         self.made.append(stored(held, "minhash-sets"))
-        every = reduce(DataFrame.union, self.made)
+        return reduce(DataFrame.union, self.made)
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Those of the stored pairs (a, b) whose full sets reach the similarity."""
+        every = self.of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         left, right = (every.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
         # The side that stands in many pairs comes last: its join is of stored rows, and split.
         both = pairs.join(right, "b").join(left, "a")
         return stored(both.where(_alike(F.col("sa"), F.col("sb"))).select("a", "b"), "minhash-links")
 
 
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that have several roots, with their roots and the bucket's most
+    frequent one."""
+    named = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = stored(named, "minhash-named")
+    often = named.groupBy("bucket", "root").count()
+    often = often.groupBy("bucket").agg(
+        F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("roots")
+    )
+    often = stored(often.where("roots > 1").select("bucket", "most.root"), "minhash-most")
+    return stored(named.join(often.withColumnRenamed("root", "most"), "bucket"), "minhash-apart")
+
+
+def _rest(apart: DataFrame, sets: _Sets) -> DataFrame:
+    """Links of all pairs of a bucket with different roots.
+
+    Members without the bucket's most frequent root are hubs; those of all buckets that have the
+    root in common meet the members of these buckets at once, in blocks of a fixed size.
+    """
+    hubs = stored(apart.where("root <> most").select("bucket", "most", "node", "n", "root"), "minhash-hubs")
+    whose = hubs.select("bucket", "most").distinct()
+    members = apart.select("bucket", "node", "n", "root").join(whose, "bucket")
+    sides = []
+    for side, size, hub in ((hubs, HUB_BLOCK, True), (members, MEMBER_BLOCK, False)):
+        rows = stored(side.select("most", "node", "n", "root").distinct(), "minhash-side")
+        blocks = rows.groupBy("most").agg(F.ceil(F.sum("n") / size).cast("int").alias("blocks"))
+        sides.append((rows, stored(blocks, "minhash-blocks"), hub))
+    tasks = None
+    for (rows, own, hub), (_, others, _) in zip(sides, sides[::-1], strict=True):
+        # Each block of hubs meets each block of members.
+        dealt = rows.join(own, "most").withColumn("own", F.expr("pmod(xxhash64(node), blocks)")).drop("blocks")
+        dealt = dealt.join(others, "most").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        at = ("own", "other") if hub else ("other", "own")
+        part = dealt.select(
+            "most",
+            *(F.col(c).cast("long").alias(x) for c, x in zip(at, ("i", "j"), strict=True)),
+            "node",
+            "root",
+            F.lit(hub).alias("hub"),
+        )
+        tasks = part if tasks is None else tasks.union(part)
+    tasks = stored(tasks, "minhash-tasks")
+    tasks = tasks.join(sets.of(tasks.select("node").distinct()), "node")
+    found = tasks.groupBy("most", "i", "j").applyInArrow(_links_of_block, "a binary, b binary")
+    return stored(found, "minhash-links")
+
+
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, root) after more links: those link what the nodes at their ends stand for."""
     if labels is None:
@@ -194,12 +277,11 @@ def minhash_nodes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataF
     the similarity have one root:
 
     * each node is first held against the least hub of its buckets,
-    * a bucket whose members still have several roots gets one new hub, then MORE_HUBS times as
-      many in each round; a hub meets all members of its bucket that have another root, and is
-      done with. When no bucket has several roots, no pair that shares a bucket is untried.
+    * a bucket whose members still have several roots gets a hub from its most frequent root,
+      which meets those that have another, HUB_ROUNDS times,
+    * what is still apart is compared with all members of its bucket (``_rest``).
 
-    Copies make no pairs, near copies one or a few each; only unlike nodes that share a bucket
-    go through the later rounds.
+    Copies make no pairs, near copies one or a few each; the last step makes none as rows.
     """
     texts = docs.select(
         doc_key().alias("key"), F.xxhash64(whole_text()).alias("print"), whole_text().alias("text")
@@ -223,27 +305,21 @@ def minhash_nodes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataF
     tried = stored(star.where(_FITS).select("a", "b"), "minhash-pairs")
     labels = _merged(None, sets.confirmed(tried))
 
-    members, number = members.select("bucket", "node", "n"), 1
-    while True:
-        named = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        named = stored(named, "minhash-named")
-        apart = named.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"))
-        members = stored(named.join(apart.where("r < s").select("bucket"), "bucket"), "minhash-apart")
-        if members.isEmpty():
-            return rows.select("key", "print", "node", "n"), labels
-        part = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(number))
-        hubs = members.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "n", "root")).alias("hub"))
-        hubs = stored(hubs.select("bucket", "hub"), "minhash-hubs")
-        pairs = members.join(hubs, "bucket").where("root <> hub.root").withColumn("m", F.col("hub.n")).where(_FITS)
+    members = members.select("bucket", "node", "n")
+    for round_ in range(HUB_ROUNDS):
+        apart = _apart(members, labels)
+        first = F.min(F.struct(F.xxhash64("node", F.lit(round_)), "node", "n")).alias("hub")
+        hubs = stored(apart.where("root = most").groupBy("bucket").agg(first), "minhash-hubs")
+        pairs = apart.where("root <> most").join(hubs, "bucket").withColumn("m", F.col("hub.n")).where(_FITS)
         pairs = pairs.select(F.greatest("node", "hub.node").alias("b"), F.least("node", "hub.node").alias("a"))
         pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti").select("a", "b"), "minhash-pairs")
         tried = tried.union(pairs)
-        if not pairs.isEmpty():
-            links = sets.confirmed(pairs)
-            labels = labels if links.isEmpty() else _merged(labels, links)
-        done = hubs.select("bucket", "hub.node")
-        members = members.select("bucket", "node", "n").join(done, ["bucket", "node"], "left_anti")
-        number *= MORE_HUBS
+        labels = _merged(labels, sets.confirmed(pairs))
+        members = apart.select("bucket", "node", "n")
+    apart = _apart(members, labels)
+    if not apart.isEmpty():
+        labels = _merged(labels, _rest(apart, sets))
+    return rows.select("key", "print", "node", "n"), labels
 
 
 def minhash_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
