@@ -511,3 +511,17 @@ def test_fingerprint_radius_holds_similar_windows(spark):
     frame = frame.withColumn("x", decontaminate._fingerprint("a")).withColumn("y", decontaminate._fingerprint("b"))
     far = frame.agg(F.count("*"), F.count_if(F.expr(f"bit_count(x ^ y) > {decontaminate.RADIUS}"))).first()
     assert far[0] > 100 and far[1] <= far[0] // 100
+
+
+def test_time_of_personal_data_is_linear_in_matches(spark):
+    import time
+
+    many = ["call x@y.zz " * 20_000, "ssn 123-45-6789, " * 5_000, "host 1.2.3.4 " * 20_000]
+    docs = docs_of(spark, many)
+    pii.with_personal_data(docs).collect()
+    begin = time.perf_counter()
+    found = {r["doc_id"]: r["spans"] for r in pii.with_personal_data(docs).collect()}
+    assert time.perf_counter() - begin < 10
+    assert [len(found[i]) for i in range(3)] == [20_000, 5_000, 20_000]
+    assert [(s["start"], s["end"]) for s in found[0]] == [(12 * i + 5, 12 * i + 11) for i in range(20_000)]
+    assert {s["score"] for s in found[1]} == {0.8} and {s["score"] for s in found[2]} == {0.7}

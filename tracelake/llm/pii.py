@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,14 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _BLOCK = 256
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, also where body uses it inside of lambdas.
+
+    A column that a lambda refers to may be computed anew for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sums_before(lengths: Column) -> Column:
     """For each element the sum of those before it.
 
@@ -57,16 +67,19 @@ def _sums_before(lengths: Column) -> Column:
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
 
-    last = F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")
-    blocks = F.transform(
-        F.sequence(F.lit(0), last), lambda b: F.slice(lengths, b * _BLOCK + 1, _BLOCK)
-    )
-    starts = running(F.transform(blocks, total), F.lit(0))
-    return F.flatten(
-        F.transform(
-            blocks, lambda x, i: F.slice(running(x, F.get(starts, i)), F.lit(1), F.size(x))
+    def within(blocks: Column, starts: Column) -> Column:
+        return F.flatten(
+            F.transform(blocks, lambda x, i: F.slice(running(x, F.get(starts, i)), F.lit(1), F.size(x)))
         )
-    )
+
+    def over(own: Column) -> Column:
+        last = F.floor((F.size(own) - 1) / _BLOCK).cast("int")
+        numbers = F.sequence(F.lit(0), last)
+        blocks = F.transform(numbers, lambda b: F.slice(own, b * _BLOCK + 1, _BLOCK))
+        starts = lambda x: running(F.transform(x, total), F.lit(0))
+        return _let(blocks, lambda x: _let(starts(x), lambda y: within(x, y)))
+
+    return _let(lengths, over)
 
 
 def _digits(hit: Column) -> Column:
@@ -110,29 +123,48 @@ def _maybe(kind: str, text: Column) -> Column:
 
 
 def _kind_spans(kind: str) -> Column:
-    """Confirmed spans of a kind, from its columns of hits, gaps and places."""
-    rank = KINDS.index(kind)
+    """Confirmed spans of a kind, from its columns of hits and of the gaps before them.
 
-    def span(hit: Column, i: Column) -> Column:
-        start = F.get(F.col(f"{kind}_at"), i) + F.length(F.get(F.col(f"{kind}_gaps"), i))
-        return F.struct(start.alias("start"), F.length(hit).alias("size"), hit.alias("hit"))
+    Each step is linear in the number of hits: places are running sums, and what stands before
+    a hit is put together from the pieces (gap and hit) before it, not cut from the text.
+    """
+    rank = KINDS.index(kind)
+    hits, gaps = F.col(f"{kind}_hits"), F.col(f"{kind}_gaps")
 
-    def weighed(s: Column) -> Column:
-        first = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.substring(F.col("text"), first + 1, s["start"] - first))
+    def weighed(hit: Column, start: Column, before: Column) -> Column:
+        near = F.lower(F.substring(before, -CONTEXT_CHARS, CONTEXT_CHARS))
         bonus = SSN_BONUS if kind == "ssn" else CONTEXT_BONUS
         score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), bonus).otherwise(0.0)
         return F.struct(
-            s["start"].alias("start"),
+            start.alias("start"),
             F.lit(rank).alias("rank"),
             F.lit(kind).alias("kind"),
-            (s["start"] + s["size"]).alias("end"),
+            (start + F.length(hit)).alias("end"),
             F.round(score, 2).alias("score"),
         )
 
-    placed = F.transform(f"{kind}_hits", span)
-    scored = F.transform(F.filter(placed, lambda s: _confirmed(kind, s["hit"])), weighed)
-    return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= THRESHOLD)
+    def spans(pieces: Column, places: Column) -> Column:
+        def span(hit: Column, i: Column) -> Column:
+            gap = F.get(gaps, i)
+            # A piece has a letter or more, so that these reach far enough back.
+            some = F.slice(pieces, F.greatest(i - CONTEXT_CHARS, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT_CHARS)))
+            before = F.when(F.length(gap) >= CONTEXT_CHARS, gap).otherwise(F.concat(F.array_join(some, ""), gap))
+            whole = weighed(hit, F.get(places, i) + F.length(gap), before)
+            return F.when(_confirmed(kind, hit), whole)
+
+        return F.filter(F.transform(hits, span), lambda s: s.isNotNull())
+
+    pieces = F.zip_with(gaps, hits, lambda g, h: F.concat(g, h))
+    places = lambda x: _sums_before(F.transform(x, F.length))
+    found = _let(pieces, lambda x: _let(places(x), lambda y: spans(x, y)))
+    scored = F.when(F.size(hits) > 0, found)
+    if kind not in BASE:
+        scored = F.filter(scored, lambda s: s["score"] >= THRESHOLD)
+    return F.coalesce(scored, F.array().cast(_SPANS))
+
+
+#: Spans of a kind before they are put together.
+_SPANS = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 
 
 def with_personal_data(docs: DataFrame) -> DataFrame:
@@ -151,15 +183,9 @@ def with_personal_data(docs: DataFrame) -> DataFrame:
         maybe = F.when(_maybe(kind, F.col("text")), hits).otherwise(empty)
         found = found.withColumn(f"{kind}_hits", maybe)
     for kind in KINDS:
-        gaps = F.split("text", PATTERNS[kind], -1)
-        any_hit = F.size(f"{kind}_hits") > 0
-        found = found.withColumn(f"{kind}_gaps", F.when(any_hit, gaps).otherwise(empty))
-    for kind in KINDS:
-        hit_list, gap_list = F.col(f"{kind}_hits"), F.col(f"{kind}_gaps")
-        gap_list = F.slice(gap_list, F.lit(1), F.size(hit_list))
-        lengths = F.zip_with(gap_list, hit_list, lambda g, h: F.length(g) + F.length(h))
-        before = F.when(F.size(hit_list) > 0, _sums_before(lengths))
-        found = found.withColumn(f"{kind}_at", before)
+        own = F.col(f"{kind}_hits")
+        gaps = F.slice(F.split("text", PATTERNS[kind], -1), F.lit(1), F.size(own))
+        found = found.withColumn(f"{kind}_gaps", F.when(F.size(own) > 0, gaps).otherwise(empty))
     columns = [_kind_spans(kind) for kind in KINDS]
     spans = F.transform(
         F.array_sort(F.concat(*columns)),
