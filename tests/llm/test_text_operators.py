@@ -409,8 +409,8 @@ def test_language_of_texts_it_has_not_learned(spark):
 
 
 def test_token_counts_against_encoding(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(counts, "DOCS_PER_FILE", 4)
-    texts = [*odd_texts(), "<|endoftext|> in a text", "쑐 bytes PÄ"]
+    monkeypatch.setattr(counts, "DOCS_PER_FILE", {100: 4, 60_000: 2, None: 1})
+    texts = [*odd_texts(), "<|endoftext|> in a text", "쑐 bytes PÄ", (-(2**63), "least id"), (2**62 + 7, "x")]
     docs_of(spark, texts, extra=True).write.parquet(f"{tmp_path}/docs")
     docs = spark.read.parquet(f"{tmp_path}/docs")
     assert counts.token_counts(docs.where("false")).count() == 0
@@ -423,6 +423,27 @@ def test_token_counts_against_encoding(spark, tmp_path, monkeypatch):
     assert got == sorted(want, key=repr)
 
 
+def test_token_counts_do_not_depend_on_how_files_are_read(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    texts = ["word " * rng.randrange(40) for _ in range(40)] + ["long text " * 30_000] * 3
+    docs_of(spark, texts).repartition(8).write.parquet(f"{tmp_path}/docs")
+    write, parts = counts.write_token_files, "spark.sql.files.minPartitionNum"
+
+    def then_fewer_cores(*given):
+        write(*given)
+        spark.conf.set(parts, "2")
+
+    monkeypatch.setattr(counts, "write_token_files", then_fewer_cores)
+    spark.conf.set(parts, "8")
+    try:
+        got = rows_of(counts.token_counts(spark.read.parquet(f"{tmp_path}/docs")), "doc_id", "n_tokens")
+    finally:
+        spark.conf.unset(parts)
+    codec = bpe.bpe(None)
+    want = [(i, len(next(codec.encode([t], special=False))) // 4) for i, t in enumerate(texts)]
+    assert got == sorted(want, key=repr)
+
+
 def test_scan_of_foreign_token_files(spark, tmp_path):
     rng = np.random.default_rng(13)
     want = []

@@ -1,7 +1,9 @@
 """Token counts of documents in flat token files (operator 8).
 
 A token file is 16-bit token ids one after the other, the end-of-document id after each
-document; there is no index. Blocks of a file are searched for that id apart from each
+document; there is no index. Where files are written from a table, each document has one
+before it that spells its id in NAME tokens, so that a file says by itself whose texts it
+holds, however it was written or is read. Blocks of a file are searched for that id apart from each
 other, and a running maximum and sum over blocks give each the place of the separator
 before it and the number of documents before it.
 """
@@ -16,83 +18,112 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import bpe, forget
+from tracelake.llm.common import doc_key, let_go, own_id, whole_text
 from tracelake.sources.scratch import scratch_dir
 
 #: End-of-document id of the 50k vocabulary, and the type of the ids in a file.
 END_ID = 50256
 _ID = np.dtype("<u2")
-#: Documents of a file at most; a file is read by one task.
-DOCS_PER_FILE = 4_000
+#: Tokens that spell an id of 64 bits, to the base of the end id, least digit first.
+NAME = 5
+#: Documents of a file at most, by the longest text (in bytes) that such files take. A text has
+#: a token for each of its bytes at most, so these files have 132 MB at most, except those of
+#: texts that are longer than the last bound, one each. A file is read by one task.
+DOCS_PER_FILE = {16_384: 4_000, 1_048_576: 60, None: 1}
 #: Tokens of a block.
 BLOCK = 1 << 20
 
 
-def _raw_ids(text: Column, path: str | None) -> Column:
-    """Ids of a text as in a file; special tokens written out in a text are plain text."""
+def _spelled(key: int) -> list[int]:
+    digits, rest = [], key % 2**64
+    for _ in range(NAME):
+        rest, digit = divmod(rest, END_ID)
+        digits.append(digit)
+    return digits
 
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+
+def _raw_ids(text: Column, key: Column, path: str | None) -> Column:
+    """The document that spells the key, an end id, and the ids of a text, as in a file.
+
+    Special tokens written out in a text are plain text.
+    """
+
+    def ids(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         codec = bpe(path)
-        for texts in batches:
+        for texts, keys in batches:
             found = codec.encode((t.as_py() or "" for t in texts), special=False)
-            yield pa.array([np.frombuffer(x, "<u4").astype(_ID).tobytes() for x in found], pa.binary())
+            names = (np.array([*_spelled(k.as_py()), END_ID], _ID).tobytes() for k in keys)
+            rows = [n + np.frombuffer(x, "<u4").astype(_ID).tobytes() for n, x in zip(names, found, strict=True)]
+            yield pa.array(rows, pa.binary())
         del codec
         forget()
 
-    return F.arrow_udf(ids, "binary")(text)
+    return F.arrow_udf(ids, "binary")(text, key)
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None) -> None:
-    """Token files of a table's texts, in its order, a series of files for each partition.
+    """Token files of a table's texts and ids, some series of files for each partition.
 
     Spark's text writer puts the separator after each row: the id's two bytes as characters.
-    A null or empty text is an end id alone.
+    A null or empty text is a document without tokens; a null id is the largest long.
     """
     end = np.array([END_ID], _ID).tobytes().decode("latin-1")
-    values = docs.select(_raw_ids(F.col("text"), path).cast("string").alias("value"))
-    options = {"lineSep": end, "encoding": "ISO-8859-1", "maxRecordsPerFile": DOCS_PER_FILE}
-    values.write.options(**options).text(folder)
+    rows = docs.select(doc_key().alias("key"), whole_text().alias("text"))
+    size, least = F.octet_length("text"), -1
+    for most, many in DOCS_PER_FILE.items():
+        part = rows.where(size > least) if most is None else rows.where((size > least) & (size <= most))
+        values = part.select(_raw_ids(F.col("text"), F.col("key"), path).cast("string").alias("value"))
+        options = {"lineSep": end, "encoding": "ISO-8859-1", "maxRecordsPerFile": many}
+        values.write.mode("append").options(**options).text(folder)
+        least = most
 
 
-def _separators(block_tokens: int) -> Callable[..., Iterator[pa.RecordBatch]]:
-    """Places of the end id in each block, from the file's start."""
+def _separators(block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each block of a file the places of the end id, from the file's start, and what the
+    NAME tokens before each spell."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for block, raw in zip(batch["block"].to_pylist(), batch["raw"], strict=True):
-                ids = np.frombuffer(raw.as_buffer(), _ID)
-                found.append(np.flatnonzero(ids == END_ID) + block * block_tokens)
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int64), pa.int64())
-            at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            arrays = [batch["file"], batch["block"], batch["tokens"], at]
-            yield pa.RecordBatch.from_arrays(arrays, ["file", "block", "tokens", "at"])
+            for file, raw in zip(batch["file"], batch["content"], strict=True):
+                ids = np.frombuffer(raw.as_buffer(), _ID, len(raw.as_buffer()) // _ID.itemsize)
+                for block in range(-(-len(ids) // block_tokens)):
+                    begin = block * block_tokens
+                    at = np.flatnonzero(ids[begin : begin + block_tokens] == END_ID) + begin
+                    spelled = np.zeros(len(at), np.uint64)
+                    for i in range(1, NAME + 1):
+                        spelled = spelled * np.uint64(END_ID) + ids[np.maximum(at - i, 0)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([file.as_py()], pa.string()),
+                            pa.array([block], pa.int64()),
+                            pa.array([len(ids)], pa.int64()),
+                            pa.array([at], pa.list_(pa.int64())),
+                            pa.array([spelled.view(np.int64)], pa.list_(pa.int64())),
+                        ],
+                        ["file", "block", "tokens", "at", "spelled"],
+                    )
+        let_go()
 
     return search
 
 
 def scan_token_files(spark: SparkSession, folder: str, block_tokens: int = BLOCK) -> DataFrame:
-    """file, document (from 0), first_token, n_tokens, closed of each document of the files.
+    """file, document (from 0), first_token, n_tokens, closed of each document of the files, and
+    name: what the last NAME tokens of the document before it spell.
 
     The end id belongs to no document. Tokens after a file's last end id are a document that
     is not closed; a file without any token has none, nor has a last odd byte a meaning. A
     file may have 2 GB, what one row holds.
     """
-    files = spark.read.format("binaryFile").load(folder)
-    files = files.select(F.col("path").alias("file"), F.expr("length div 2").alias("tokens"), "content")
-    blocks = files.where("tokens > 0").select(
-        "file", "tokens", "content", F.explode(F.expr(f"sequence(0L, (tokens - 1) div {block_tokens})")).alias("block")
-    )
-    width = block_tokens * _ID.itemsize
-    raw = F.substring("content", (F.col("block") * width + 1).cast("int"), F.lit(width))
-    even = F.substring(raw, F.lit(1), (F.length(raw) / 2).cast("int") * 2)
-    found = blocks.select("file", "block", "tokens", even.alias("raw")).mapInArrow(
-        _separators(block_tokens), "file string, block long, tokens long, at array<long>"
+    files = spark.read.format("binaryFile").load(folder).where("length >= 2")
+    found = files.select(F.col("path").alias("file"), "content").mapInArrow(
+        _separators(block_tokens), "file string, block long, tokens long, at array<long>, spelled array<long>"
     )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumns(
         {
             "before": F.coalesce(F.max(F.array_max("at")).over(earlier), F.lit(-1)),
+            "name_before": F.last(F.expr("try_element_at(spelled, -1)"), ignorenulls=True).over(earlier),
             "number": F.coalesce(F.sum(F.size("at")).over(earlier), F.lit(0)),
             "final": F.expr(f"block = (tokens - 1) div {block_tokens}"),
         }
@@ -108,6 +139,7 @@ def scan_token_files(spark: SparkSession, folder: str, block_tokens: int = BLOCK
         first.alias("first_token"),
         (F.col("end") - first).alias("n_tokens"),
         (F.col("end") < F.col("tokens")).alias("closed"),
+        F.expr("if(i = 0, name_before, spelled[i - 1])").alias("name"),
     )
 
 
@@ -116,26 +148,19 @@ def token_counts(
 ) -> DataFrame:
     """doc_id, file, document, first_token, n_tokens of every row of ``docs``.
 
-    The texts are written to token files in the shared folder, which are then scanned. Files
-    hold the documents in the table's order, so partition and place in it give back the id:
-    ``docs`` must be read from files, which give the same rows in the same order each time.
-    A null or empty text has no tokens; repeated rows stay, each with its own place.
+    The texts are written to token files in the shared folder, which are then scanned; each is
+    named by the document before it. A null or empty text has no tokens, a null id stays null;
+    repeated rows stay, each with its own place. An empty table gives an empty one; columns
+    besides doc_id and text are not read.
     """
     spark = docs.sparkSession
     folder = scratch_dir(spark, "tokens")
     write_token_files(docs, folder, path)
-    found = scan_token_files(spark, folder, block_tokens)
-    name = F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)\.txt$", 0)
-    part = F.regexp_extract(name, r"part-(\d+)", 1).cast("int")
-    piece = F.regexp_extract(name, r"-c(\d+)\.txt$", 1).cast("long")
-    found = found.select(
-        part.alias("part"),
-        (piece * DOCS_PER_FILE + F.col("document")).alias("place"),
-        name.alias("file"),
-        "document",
+    found = scan_token_files(spark, folder, block_tokens).where("document % 2 = 1")
+    return found.select(
+        own_id(F.col("name")).alias("doc_id"),
+        F.element_at(F.split("file", "/"), -1).alias("file"),
+        F.expr("document div 2").alias("document"),
         "first_token",
         "n_tokens",
     )
-    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    ids = docs.select("doc_id", F.spark_partition_id().alias("part"), place.alias("place"))
-    return ids.join(found, ["part", "place"]).drop("part", "place")
