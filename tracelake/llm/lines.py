@@ -22,6 +22,9 @@ from tracelake.llm.common import doc_key, let_go, stored, whole_text
 #: Words of a block of lines that do not recur by chance; a line of as many is one.
 RARE_WORDS = 4
 
+#: Parts of the holders of a run of lines, of each of which the first is a partner.
+PARTS = 32
+
 #: Documents whose lines are listed together.
 _AT_ONCE = 1000
 
@@ -188,19 +191,41 @@ def runs(lines: Iterable[dict], gone: Iterable[int] = ()) -> list[tuple[int, int
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each different run of each document."""
+    """A row for each different run of each document; size is how many shared lines it has."""
     for batch in batches:
-        columns: tuple[list, ...] = ([], [], [], [])
+        columns: tuple[list, ...] = ([], [], [], [], [])
         for row in range(len(batch)):
             key, print_, lines, gone = (c[row].as_py() for c in batch.columns)
             for a, b in {x[2:] for x in runs(lines or (), gone or ())}:
-                for column, value in zip(columns, (key, print_, a, b), strict=True):
+                for column, value in zip(columns, (key, print_, a, b, len(lines)), strict=True):
                     column.append(value)
         arrays = [pa.array(c, pa.int64()) for c in columns]
-        yield pa.RecordBatch.from_arrays(arrays, ["key", "print", "a", "b"])
+        yield pa.RecordBatch.from_arrays(arrays, ["key", "print", "a", "b", "size"])
     let_go()
 
 
+def block_places(lines: Iterable[dict]) -> list[int]:
+    """Places of all blocks of the lines, as alignment with the same lines finds them."""
+    words = {p: x["words"] for x in lines for p in x["own"]}
+    gone, block = [], []
+    for place in [*sorted(words), -9]:
+        if block and place != block[-1] + 1:
+            if sum(words[p] for p in block) >= RARE_WORDS:
+                gone += block
+            block = []
+        block.append(place)
+    return gone
+
+
+def _block_places(lines: Column) -> Column:
+    def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([block_places(x.as_py()) for x in batch], pa.list_(pa.int32()))
+        let_go()
+
+    return F.arrow_udf(places, ArrayType(IntegerType()))(lines)
+
+
 def _common(own: list[dict], theirs: list[dict]) -> list[dict]:
     there = {line["h"]: line["own"] for line in theirs}
     return [
@@ -269,12 +294,13 @@ def with_kept_lines(docs: DataFrame) -> DataFrame:
     smaller doc_id (a null id comes last); rows with one doc_id do not count against each
     other, repeated rows get equal results. Null and empty texts have no lines.
 
-    A document whose lines are all those of an earlier one, in order, loses all. Any other is
-    aligned, over all lines that both have, with each earlier document that can take a line
-    from it: first with the first holder of each of its runs of lines (``runs``), then with
-    all other holders of runs that still stand. A line in a block that is aligned with any
-    earlier document stands in such a run, so none stays for want of a partner, and a run
-    that goes with its first holder makes no pair with its others.
+    A document whose lines are all those of an earlier one, in order, loses all; one whose
+    shared lines are those of an earlier one, at the same places, loses all blocks of them. Any
+    other is aligned, over all lines that both have, with each earlier document that can take a
+    line from it: with the first holder of each of its runs of lines (``runs``); for runs that
+    still stand, with the first holder of each size; for those that stand after that, with all
+    holders. A line in a block that is aligned with any earlier document stands in such a run,
+    so none stays for want of a partner.
     """
     keys = doc_key().alias("key"), F.xxhash64(whole_text()).alias("print")
     rows = docs.select(*keys, whole_text().alias("text"))
@@ -293,30 +319,45 @@ def with_kept_lines(docs: DataFrame) -> DataFrame:
     shared = stored(shared, "shared-lines")
     copies = shared.where("copied is not null")
     copies = copies.select("key", "print", F.expr("sequence(0, copied - 1)").alias("gone"))
-    profiles = shared.where("copied is null and size(lines) > 0").select("key", "print", "lines")
-    kinds = "key long, print long, a long, b long"
+    lines = F.array_sort("lines").alias("lines")
+    alike = F.xxhash64(F.array_sort("lines")).alias("c"), F.xxhash64(F.lit(1), F.array_sort("lines")).alias("d")
+    profiles = shared.where("copied is null and size(lines) > 0").select("key", "print", lines, *alike)
+    # Of documents whose shared lines and their places are the same only the first is aligned.
+    heads = stored(profiles.groupBy("c", "d").agg(F.min("key").alias("head")), "line-heads")
+    profiles = stored(profiles.join(heads, ["c", "d"]).drop("c", "d"), "line-profiles")
+    again = profiles.where("key > head").select("key", "print", _block_places(F.col("lines")).alias("gone"))
+    profiles = profiles.where("key = head").select("key", "print", "lines")
+
+    kinds = "key long, print long, a long, b long, size long"
     nothing = F.lit(None).cast("array<int>").alias("gone")
     units = stored(profiles.select("*", nothing).mapInArrow(_runs_of, kinds), "line-runs")
-    holders = units.groupBy("a", "b").agg(
-        F.min(F.struct("key", "print")).alias("f"), F.max("key").alias("last")
-    )
-    holders = holders.where("f.key < last")
-    holders = stored(
-        holders.select("a", "b", F.col("f.key").alias("other"), F.col("f.print").alias("other_print")),
-        "first-runs",
-    )
+    first = F.min(F.struct("key", "print")).alias("f")
+    other = F.col("f.key").alias("other"), F.col("f.print").alias("other_print")
+    holders = units.groupBy("a", "b").agg(first, F.max("key").alias("last")).where("f.key < last")
+    holders = stored(holders.select("a", "b", *other), "first-runs")
+    # The first holder by the size of what it shares: one that shares little has little to align
+    # a run with, and cannot set it aside for a longer order of lines.
+    # Others share little else with any one document, so that the first of each of some parts of
+    # all holders are tried as well.
+    level = F.floor(F.log2(F.col("size"))) + PARTS
+    part = F.explode(F.array(level, F.pmod(F.xxhash64("key"), F.lit(PARTS)))).alias("part")
+    few = units.join(holders.select("a", "b"), ["a", "b"]).select("a", "b", "key", "print", part)
+    few = stored(few.groupBy("a", "b", "part").agg(first).select("a", "b", *other), "few-runs")
+    every = units.select("a", "b", F.col("key").alias("other"), F.col("print").alias("other_print"))
     pair = ["key", "print", "other", "other_print"]
-    pairs = units.join(holders, ["a", "b"]).where("key > other").select(pair).distinct()
-    pairs = stored(pairs, "line-pairs")
-    gone = stored(_gone(pairs, profiles), "lines-gone")
-    standing = profiles.join(gone, ["key", "print"], "left").select("key", "print", "lines", "gone")
-    standing = standing.mapInArrow(_runs_of, kinds).join(holders, ["a", "b"]).where("key > other")
-    standing = stored(standing.select("key", "print", "a", "b"), "standing-runs")
-    others = units.select("a", "b", F.col("key").alias("other"), F.col("print").alias("other_print"))
-    more = standing.join(others, ["a", "b"]).where("key > other").select(pair).distinct()
-    more = stored(more.join(pairs, pair, "left_anti"), "line-pairs")
-    gone = gone.union(_gone(more, profiles)).union(copies).groupBy("key", "print")
-    gone = gone.agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    standing, gone, tried = units, copies.union(again), None
+    for partners in (holders, few, every):
+        pairs = standing.join(partners, ["a", "b"]).where("key > other").select(pair).distinct()
+        pairs = pairs if tried is None else pairs.join(tried, pair, "left_anti")
+        pairs = stored(pairs, "line-pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        gone = gone.union(stored(_gone(pairs, profiles), "lines-gone"))
+        found = gone.groupBy("key", "print").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+        if partners is not every:
+            left = profiles.join(found, ["key", "print"], "left").select("key", "print", "lines", "gone")
+            standing = left.mapInArrow(_runs_of, kinds).join(holders, ["a", "b"]).where("key > other")
+            standing = stored(standing.select("key", "print", "a", "b"), "standing-runs")
+    gone = found.select("key", "print", F.array_distinct("gone").alias("gone"))
     joined = docs.select(*keys, F.struct("*").alias("row")).join(gone, ["key", "print"], "left")
     return joined.select("row", "gone", _kept(F.col("row.text"), F.col("gone")).alias("kept"))
 
