@@ -8,8 +8,9 @@ and aligned common blocks are deleted from it.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -133,33 +134,55 @@ def line_words(line: bytes) -> int:
     return max(words, -(-len(_UNSPACED.findall(line.decode())) // 2))
 
 
-def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distinct_lines(places: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A row for each different line of each document, with its places among the others."""
-    for batch in batches:
-        for at in range(0, len(batch), _AT_ONCE):
-            yield _lines_of(batch.slice(at, _AT_ONCE))
-    let_go()
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), _AT_ONCE):
+                yield _lines_of(batch.slice(at, _AT_ONCE), places)
+        let_go()
 
-def _lines_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-    columns: tuple[list, ...] = ([], [], [], [], [], [])
-    for key, print_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        places: dict[bytes, list[int]] = {}
-        every = [x for x in (y.strip() for y in text.encode().split(b"\n")) if x]
-        for i, line in enumerate(every):
-            places.setdefault(line, []).append(i)
-        rows = [(line, line_words(line), at) for line, at in places.items()]
-        total = sum(words * len(at) for _, words, at in rows)
-        if total >= RARE_WORDS:
-            # All lines as one, which no line can be: its place is the number of lines below 0.
-            rows.append((b"\n" + b"\n".join(every), total, [-len(every)]))
-        for line, words, at in rows:
-            h = xxhash.xxh3_128_intdigest(line)
-            row = (key, print_, (h >> 64) - 2**63, (h & 2**64 - 1) - 2**63, words, at)
-            for column, value in zip(columns, row, strict=True):
-                column.append(value)
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int32())]
-    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return listed
+
+
+def _lines_of(batch: pa.RecordBatch, places: bool) -> pa.RecordBatch:
+    digests, counts, words, own, sizes = [], [], [], [], []
+    for text in batch["text"]:
+        every = [x for x in map(bytes.strip, text.as_py().encode().split(b"\n")) if x]
+        lines = list(dict.fromkeys(every))
+        digests += map(xxhash.xxh3_128_digest, lines)
+        counts.append(len(lines))
+        if places:
+            words += map(line_words, lines)
+            if len(lines) == len(every):
+                own += range(len(lines))
+                sizes += [1] * len(lines)
+            else:
+                at: dict[bytes, list[int]] = {}
+                for i, line in enumerate(every):
+                    at.setdefault(line, []).append(i)
+                for some in at.values():
+                    own += some
+                    sizes.append(len(some))
+        total = 0
+        for line in every:
+            total += line_words(line)
+            if total >= RARE_WORDS:
+                # All lines as one, which no line can be: its place is the number of lines below 0.
+                digests.append(xxhash.xxh3_128_digest(b"\n" + b"\n".join(every)))
+                counts[-1] += 1
+                words.append(total)
+                own.append(-len(every))
+                sizes.append(1)
+                break
+    whose = pa.array(np.repeat(np.arange(len(batch)), counts))
+    h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    arrays = [batch["key"].take(whose), batch["print"].take(whose), pa.array(h[:, 0]), pa.array(h[:, 1])]
+    if not places:
+        return pa.RecordBatch.from_arrays(arrays, ["key", "print", "a", "b"])
+    ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+    arrays += [pa.array(words, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(own, pa.int32()))]
     return pa.RecordBatch.from_arrays(arrays, ["key", "print", "a", "b", "words", "own"])
 
 
@@ -304,9 +327,10 @@ def with_kept_lines(docs: DataFrame) -> DataFrame:
     """
     keys = doc_key().alias("key"), F.xxhash64(whole_text()).alias("print")
     rows = docs.select(*keys, whole_text().alias("text"))
-    kinds = "key long, print long, a long, b long, words int, own array<int>"
-    lines = rows.mapInArrow(_distinct_lines, kinds)
-    first = lines.groupBy("a", "b").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    kinds = "key long, print long, a long, b long"
+    first = rows.mapInArrow(_distinct_lines(places=False), kinds)
+    lines = rows.mapInArrow(_distinct_lines(places=True), f"{kinds}, words int, own array<int>")
+    first = first.groupBy("a", "b").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     # Runs can be shared by rows of one doc_id only, which take nothing from each other.
     first = first.where("first < last").select("a", "b", "first")
     # Stored, so that both sides of the join are plain shuffles, which Spark splits if one is hot.
