@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.plans import intervals
 from tracelake.plans.intervals import join_points_to_intervals
 from tracelake.plans.ordered import ordered_scan, with_segment
 from tracelake.plans.quantiles import exact_quantiles
@@ -151,6 +152,28 @@ def test_interval_join_without_intervals(spark):
     assert join_points_to_intervals(points, spans, ["k"], "t", F.col("lo"), F.col("hi")).count() == 0
 
 
+def test_one_long_interval_and_a_hot_key_are_spread(spark):
+    # A request repeated all the time, short intervals, and one that covers all of it.
+    points = spark.range(200_000).select(F.lit("hot").alias("k"), (F.col("id") * 50).alias("t"))
+    spans = points.select("k", (F.col("t") - 30).alias("lo"), (F.col("t") + 30).alias("hi"))
+    long = spark.createDataFrame([("hot", -5, 10_000_001)], "k string, lo long, hi long")
+    ends = spans.union(long).withColumns({"__low": F.col("lo"), "__high": F.col("hi")})
+    levels = intervals._levels(ends)
+    at = ["__level", "__block", "__part"]
+    met = intervals.listed_points(points, "t", levels).groupBy("k", *at).count()
+    most = met.agg(F.max("count")).first()[0]
+    assert most < 200_000 / 32
+    assert intervals.listed_intervals(ends, levels).count() < 3 * 200_001
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = join_points_to_intervals(points, spans.union(long), ["k"], "t", F.col("lo"), F.col("hi"))
+        assert got.count() == 400_000
+        sizes = got.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert sizes.max() <= 2 * sizes.median()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("target_rows", [None, 5])
 def test_quantiles_equal_numpy(spark, target_rows):
     rnd = random.Random(5)
