@@ -1,17 +1,20 @@
 """Per-key state machines over raw events, for events that arrive in chunks.
 
-The batch operators give the same rows. State is kept per key; with ``expire_after`` a
-key that has been silent for that long (in event time) is forgotten. What was open then is
-a row without an end (spans that overwrite) or length (scheduler); calls that keep the first
-entry and queue depths, whose rows are finished ones by nature, lose it. A micro-batch holds
-a bounded number of files, and one key's rows of it are sorted by one task; chunks of a key
-must arrive in time order.
+The batch operators give the same rows, with the same columns carried along. A key's rows of a
+micro-batch are scanned by array operations (``plans.states``), not walked. State is kept per
+key; with ``expire_after`` a key that has been silent for that long (in event time) is
+forgotten. What was open then is a row without an end (spans that overwrite) or length
+(scheduler). Calls that keep the first entry and queue depths, whose rows are finished ones by
+nature, give rows for it with ``report_unfinished``, which marks all rows by ``finished``;
+otherwise they lose it. A micro-batch holds a bounded number of files, and one key's rows of it
+are one task's; chunks of a key must arrive in time order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelake.functions import fixed
 from tracelake.functions.columns import advice_label
+from tracelake.plans.states import Machine, last_place, place_before
 from tracelake.specs import COLLECTION, UPTIME
 
 # (key, state or None, rows sorted by time) -> (output rows, new state or None)
@@ -71,6 +75,26 @@ def _run(
     )
 
 
+def _known(raw: DataFrame, *names: str) -> list[str]:
+    return [c for c in names if c in raw.columns]
+
+
+def _typed(columns: dict, output: str) -> pd.DataFrame:
+    """A frame with the columns and types of an output schema; longs may be null."""
+    kinds = [c.split() for c in output.split(", ")]
+    kind_of = {"long": "Int64", "boolean": "boolean", "string": "object"}
+    return pd.DataFrame({n: pd.Series(columns[n], dtype=kind_of[k]) for n, k in kinds})
+
+
+def _picked(values: np.ndarray, places: np.ndarray, held: object) -> pd.Series:
+    """values at the places; what was held before the rows where a place is -1."""
+    if not len(places):
+        return pd.Series([], dtype="Int64")
+    found = pd.Series(values[np.maximum(places, 0)], dtype="Int64")
+    found[places < 0] = pd.NA if held is None else held
+    return found
+
+
 def stream_spans_overwrite(
     raw: DataFrame,
     *,
@@ -80,31 +104,28 @@ def stream_spans_overwrite(
 ) -> DataFrame:
     """Call spans where a new entry replaces an open one.
 
-    Returns marked ``is_error`` neither end nor clear a call. A call that ``expire_after``
-    gives up is a row without ``end_ts``.
+    Returns marked ``is_error`` neither end nor clear a call. tgid is carried where the rows
+    have it. A call that ``expire_after`` gives up is a row without ``end_ts``.
     """
+    known = _known(raw, "tgid")
+    output = "collection_id string, pid long, start_ts long, end_ts long, name string"
+    output += "".join(f", {c} long" for c in known)
 
     def unfinished(key, held):
-        row = (key[0], key[1], held[0], None, key[2])
-        out = pd.DataFrame([row], columns=[COLLECTION, "pid", "start_ts", "end_ts", "name"])
-        return out.astype({"end_ts": "Int64"})
+        row = {COLLECTION: [key[0]], "pid": [key[1]], "start_ts": [held[0]], "end_ts": [None]}
+        return _typed(row | {"name": [key[2]], **{c: [None] for c in known}}, output)
 
     def step(key, held, rows):
-        entry = rows["kind"] == "entry"
-        ts = rows["ts_ns"]
-        open_before = entry.shift(1, fill_value=held is not None)
-        start = ts.shift(1, fill_value=held[0] if held else 0)
+        entry = (rows["kind"] == "entry").to_numpy()
+        ts = rows["ts_ns"].to_numpy()
+        open_before = np.concatenate([[held is not None], entry[:-1]])
+        start = np.concatenate([[held[0] if held else 0], ts[:-1]])
         done = ~entry & open_before
-        out = pd.DataFrame(
-            {
-                COLLECTION: key[0],
-                "pid": key[1],
-                "start_ts": start[done],
-                "end_ts": ts[done],
-                "name": key[2],
-            }
-        )
-        return out, (int(ts.iloc[-1]),) if entry.iloc[-1] else None
+        n = int(done.sum())
+        out = {COLLECTION: [key[0]] * n, "pid": [key[1]] * n, "name": [key[2]] * n}
+        out |= {"start_ts": start[done], "end_ts": ts[done]}
+        out |= {c: rows[c].to_numpy()[done] for c in known}
+        return _typed(out, output), (int(ts[-1]),) if entry[-1] else None
 
     rows = raw.withColumn("__ret", (F.col("kind") != "entry").cast("int"))
     if is_error is not None:
@@ -114,7 +135,7 @@ def stream_spans_overwrite(
         [COLLECTION, "tid", "name"],
         ["ts_ns", "__ret"],
         F.timestamp_micros((F.col("ts_ns") / 1000).cast("long")),
-        "collection_id string, pid long, start_ts long, end_ts long, name string",
+        output,
         "opened long",
         step,
         expire_after,
@@ -123,25 +144,45 @@ def stream_spans_overwrite(
     )
 
 
+#: Calls: an entry opens, a return closes.
+_CALLS = Machine([[1, 1], [0, 0]])
+
+
 def stream_spans_keep_first(
-    raw: DataFrame, *, expire_after: str | None = None, delay: str = "10 seconds"
+    raw: DataFrame,
+    *,
+    expire_after: str | None = None,
+    delay: str = "10 seconds",
+    report_unfinished: bool = False,
 ) -> DataFrame:
     """Successful calls where an open entry is kept until its return.
 
     tgid is that of the entry, or the thread where the rows have none.
     """
-    fields = ["__tgid", "ts_ns", "address", "length", "advice"]
+    fields = ["tgid", "ts_ns", "address", "length", "advice"]
+    output = "collection_id string, " + ", ".join(f"{c} long" for c in fields)
+    if report_unfinished:
+        output += ", finished boolean"
+
+    def table(key, columns, finished):
+        n = len(columns["ts_ns"])
+        extra = {"finished": [finished] * n} if report_unfinished else {}
+        return _typed({COLLECTION: [key[0]] * n, **columns, **extra}, output)
+
+    def unfinished(key, held):
+        return table(key, {c: [x] for c, x in zip(fields, held)}, False)
 
     def step(key, held, rows):
-        emitted = []
-        for kind, ret, *call in rows[["kind", "ret", *fields]].itertuples(index=False):
-            if kind == "entry":
-                held = held or tuple(int(x) for x in call)
-            else:
-                if held and ret == 0:
-                    emitted.append((key[0], *held))
-                held = None
-        return pd.DataFrame(emitted, columns=[COLLECTION, "tgid", *fields[1:]]), held
+        returned = (rows["kind"] != "entry").to_numpy()
+        before, state = _CALLS.before(returned.astype(np.int8), int(held is not None))
+        opens = last_place(~returned & (before == 0))
+        done = returned & (before == 1) & (rows["ret"] == 0).to_numpy()
+        values = {c: rows["__tgid" if c == "tgid" else c].to_numpy() for c in fields}
+        old = dict(zip(fields, held or [None] * len(fields)))
+        out = {c: _picked(values[c], opens[done], old[c]) for c in fields}
+        if state and opens[-1] >= 0:
+            held = tuple(int(values[c][opens[-1]]) for c in fields)
+        return table(key, out, True), held if state else None
 
     rows = raw.withColumn("__ret", (F.col("kind") != "entry").cast("int"))
     rows = rows.withColumn("__tgid", F.col("tgid" if "tgid" in raw.columns else "tid"))
@@ -150,59 +191,80 @@ def stream_spans_keep_first(
         [COLLECTION, "tid", "name"],
         ["ts_ns", "__ret", "address", "length"],
         F.timestamp_micros((F.col("ts_ns") / 1000).cast("long")),
-        "collection_id string, tgid long, ts_ns long, address long, length long, advice long",
+        output,
         "tgid long, ts_ns long, address long, length long, advice long",
         step,
         expire_after,
         delay,
+        unfinished if report_unfinished else None,
     )
     return calls.withColumn("advice", advice_label(F.col("advice")))
 
 
+_WAKE, _ON, _OFF = 0, 1, 2
+#: A thread is off or on its CPU; a wakeup changes nothing.
+_THREADS = Machine([[0, 1], [1, 1], [0, 0]])
+
+
 def stream_sched(
     raw: DataFrame, *, expire_after: str | None = None, delay: str = "10 seconds"
 ) -> DataFrame:
     """Run and queue times of every thread: ``what`` is ``run`` or ``queue``.
 
-    A run or wait that ``expire_after`` gives up is a row at its start without a length.
+    cpu and tgid are those of the mark that ends a run or wait, where the rows have cpu,
+    prev_tgid and next_tgid; with them the runs are the ``quanta_runtime`` table, the waits
+    ``quanta_queued_time``. A run or wait that ``expire_after`` gives up is a row at its start
+    without a length.
     """
-    wake, on, off = 0, 1, 2
-    names = [COLLECTION, "pid", UPTIME, "what", "length_us"]
+    grouped = "prev_tgid" in raw.columns
+    known = _known(raw, "cpu") + (["tgid"] if grouped else [])
+    output = f"collection_id string, pid long, {UPTIME} long, what string, length_us long"
+    output += "".join(f", {c} long" for c in known)
+
+    def table(key, at, what, length, carried):
+        n = len(at)
+        out = {COLLECTION: [key[0]] * n, "pid": [key[1]] * n, UPTIME: at, "what": what}
+        return _typed(out | {"length_us": length, **carried}, output)
 
     def unfinished(key, held):
         open_ = [(start, what) for start, what in zip(held, ("run", "queue")) if start is not None]
-        rows = [(key[0], key[1], int(start), what, None) for start, what in open_]
-        return pd.DataFrame(rows, columns=names).astype({"length_us": "Int64"})
+        nothing = [None] * len(open_)
+        at, what = [int(x) for x, _ in open_], [x for _, x in open_]
+        return table(key, at, what, nothing, {c: nothing for c in known})
 
     def step(key, held, rows):
         run, queued = held or (None, None)
-        emitted = []
-        for ts, mark in rows[["ts_us", "step"]].itertuples(index=False):
-            ts = int(ts)
-            if mark == wake:
-                queued = ts
-            elif mark == on:
-                if queued is not None:
-                    emitted.append((key[0], key[1], ts, "queue", ts - queued))
-                run, queued = ts, None
-            elif run is not None:
-                emitted.append((key[0], key[1], ts, "run", ts - run))
-                run, queued = None, ts
-        out = pd.DataFrame(emitted, columns=names)
+        ts, mark = rows["ts_us"].to_numpy(), rows["step"].to_numpy()
+        before, state = _THREADS.before(mark, int(run is not None))
+        on, off = mark == _ON, (mark == _OFF) & (before == 1)
+        waits = (mark == _WAKE) | off
+        last_on, last_wait = place_before(on), place_before(waits)
+        # A wait is open before a row if it began after the last on mark.
+        open_ = np.where(last_on < 0, (last_wait >= 0) | (queued is not None), last_wait > last_on)
+        parts = []
+        for done, what, begin, old in ((off, "run", last_on, run), (on & open_, "queue", last_wait, queued)):
+            length = pd.Series(ts[done], dtype="Int64") - _picked(ts, begin[done], old)
+            carried = {c: rows[c].to_numpy()[done] for c in known}
+            parts.append(table(key, ts[done], [what] * int(done.sum()), length, carried))
+        out = pd.concat(parts, ignore_index=True)
+        on_at, wait_at = last_place(on)[-1], last_place(waits)[-1]
+        run = (int(ts[on_at]) if on_at >= 0 else run) if state else None
+        if wait_at > on_at:
+            queued = int(ts[wait_at])
+        elif on_at >= 0:
+            queued = None
         return out, None if run is None and queued is None else (run, queued)
 
-    switch = F.array(
-        F.struct(F.col("next_pid").alias("pid"), F.lit(on).alias("step")),
-        F.struct(F.col("prev_pid").alias("pid"), F.lit(off).alias("step")),
-    )
-    wakeup = F.array(F.struct(F.col("prev_pid").alias("pid"), F.lit(wake).alias("step")))
+    def mark_of(side: str, what: int) -> Column:
+        tgid = [F.col(f"{side}_tgid").alias("tgid")] if grouped else []
+        return F.struct(F.col(f"{side}_pid").alias("pid"), F.lit(what).alias("step"), *tgid)
+
     # As in batch, a row of any other kind marks nothing.
-    mark = F.when(F.col("kind") == "switch", switch).when(
-        F.col("kind").isin("wakeup", "wakeup_new"), wakeup
-    )
+    mark = F.when(F.col("kind") == "switch", F.array(mark_of("next", _ON), mark_of("prev", _OFF)))
+    mark = mark.when(F.col("kind").isin("wakeup", "wakeup_new"), F.array(mark_of("prev", _WAKE)))
     marks = (
-        raw.select(COLLECTION, "ts_us", F.explode(mark).alias("m"))
-        .select(COLLECTION, "ts_us", "m.pid", "m.step")
+        raw.select(COLLECTION, "ts_us", *_known(raw, "cpu"), F.explode(mark).alias("m"))
+        .select(COLLECTION, "ts_us", *_known(raw, "cpu"), "m.*")
         .where(F.col("pid") != 0)
     )
     return _run(
@@ -210,7 +272,7 @@ def stream_sched(
         [COLLECTION, "pid"],
         ["ts_us", "step"],
         F.timestamp_micros("ts_us"),
-        "collection_id string, pid long, ts_uptime_us long, what string, length_us long",
+        output,
         "run_start long, queue_start long",
         step,
         expire_after,
@@ -220,32 +282,56 @@ def stream_sched(
 
 
 def stream_queue_depth(
-    raw: DataFrame, *, expire_after: str | None = None, delay: str = "10 seconds"
+    raw: DataFrame,
+    *,
+    expire_after: str | None = None,
+    delay: str = "10 seconds",
+    report_unfinished: bool = False,
 ) -> DataFrame:
     """Outstanding segments and 4 KiB blocks of a device right after each issue.
 
-    The state of a device lists its sectors with an open issue, which is as long as the
-    device's queue.
+    cpu and block_io_flags are carried where the rows have them; with them this is the
+    ``block_io_queue_length`` table. The state of a device lists its sectors with an open
+    issue, which is as long as the device's queue; with ``report_unfinished`` a device that
+    ``expire_after`` gives up leaves a row for each of them, with the queue as it was.
     """
+    known = _known(raw, "cpu", "block_io_flags")
+    depths = ["queue_length_segment_ios", "queue_length_4k_ios"]
+    longs = ["device", "sector", "segments", "block_io_bytes", UPTIME, *depths, *known]
+    output = "collection_id string, " + ", ".join(f"{c} long" for c in longs)
+    if report_unfinished:
+        output += ", finished boolean"
+
+    def unfinished(key, held):
+        segments, blocks, sectors = held
+        n = len(sectors)
+        out = {c: [None] * n for c in longs} | {COLLECTION: [key[0]] * n, "device": [key[1]] * n}
+        out |= {"sector": sectors, depths[0]: [segments] * n, depths[1]: [blocks] * n}
+        return _typed(out | {"finished": [False] * n}, output)
 
     def step(key, held, rows):
-        segments, blocks, open_sectors = held or (0, 0, [])
-        waiting = set(open_sectors)
-        size = (rows["bytes"] + 4095) // (1 << fixed.PAGE_SHIFT)
-        emitted = []
-        for done, ts, sector, n, nbytes, n4k in zip(
-            rows["__done"], rows["ts_us"], rows["sector"], rows["segments"], rows["bytes"], size
-        ):
-            if not done:
-                waiting.add(int(sector))
-                segments, blocks = segments + int(n), blocks + int(n4k)
-                emitted.append((key[0], key[1], sector, n, nbytes, ts, segments, blocks))
-            elif sector in waiting:
-                waiting.discard(int(sector))
-                segments, blocks = segments - int(n), blocks - int(n4k)
-        names = [COLLECTION, "device", "sector", "segments", "block_io_bytes", UPTIME]
-        names += ["queue_length_segment_ios", "queue_length_4k_ios"]
-        return pd.DataFrame(emitted, columns=names), (segments, blocks, sorted(waiting))
+        segments, blocks, waiting = held or (0, 0, [])
+        done = (rows["__done"] != 0).to_numpy()
+        sector, n = rows["sector"].to_numpy(), rows["segments"].to_numpy()
+        size = (rows["bytes"].to_numpy() + 4095) // (1 << fixed.PAGE_SHIFT)
+        # A sector waits if its row before this one, or what the state says, is an issue.
+        by_sector = np.argsort(sector, kind="stable")
+        first = np.concatenate([[True], np.diff(sector[by_sector]) != 0])
+        last = np.concatenate([first[1:], [True]])
+        before = np.concatenate([[False], ~done[by_sector][:-1]])
+        waits = np.empty(len(rows), bool)
+        waits[by_sector] = np.where(first, np.isin(sector[by_sector], waiting), before)
+        sign = np.where(~done, 1, np.where(waits, -1, 0))
+        depth, depth_4k = segments + np.cumsum(sign * n), blocks + np.cumsum(sign * size)
+        issue = ~done
+        out = {COLLECTION: [key[0]] * int(issue.sum()), "device": [key[1]] * int(issue.sum())}
+        out |= {"sector": sector[issue], "segments": n[issue], "block_io_bytes": rows["bytes"].to_numpy()[issue]}
+        out |= {UPTIME: rows["ts_us"].to_numpy()[issue], depths[0]: depth[issue], depths[1]: depth_4k[issue]}
+        out |= {c: rows[c].to_numpy()[issue] for c in known}
+        out |= {"finished": [True] * int(issue.sum())} if report_unfinished else {}
+        ends = by_sector[last]
+        open_ = np.union1d(np.setdiff1d(np.array(waiting, np.int64), sector), sector[ends][~done[ends]])
+        return _typed(out, output), (int(depth[-1]), int(depth_4k[-1]), [int(x) for x in open_])
 
     rows = raw.withColumn("__done", (F.col("kind") != "issue").cast("int"))
     return _run(
@@ -253,10 +339,10 @@ def stream_queue_depth(
         [COLLECTION, "device"],
         ["ts_us", "__done", "sector", "segments", "bytes"],
         F.timestamp_micros("ts_us"),
-        "collection_id string, device long, sector long, segments long, block_io_bytes long,"
-        " ts_uptime_us long, queue_length_segment_ios long, queue_length_4k_ios long",
+        output,
         "segments long, blocks long, sectors array<long>",
         step,
         expire_after,
         delay,
+        unfinished if report_unfinished else None,
     )
