@@ -319,6 +319,8 @@ ORACLES = {
     "scan_collection_prefix": _CHUNKED + " WHERE collection_id = 'c2'",
     "latest_collection": _CHUNKED + " WHERE collection_id = 'c3'",
     "write_read_roundtrip": _CHUNKED.replace("SELECT", "SELECT 'b' || substr(collection_id, 2) AS benchmark_name,"),
+    "committed_write_read": _CHUNKED.replace("SELECT", "SELECT 'b' || substr(collection_id, 2) AS benchmark_name,"),
+    "drain_tables": _CHUNKED + " WHERE collection_id <> 'c1'",
     "stream_ingest_chunks": _CHUNKED,
     "table_row_counts": """
         SELECT 'mm_rss_stat' AS table_name, collection_id, count(*) AS rows FROM {fx_mm_rss_stat} GROUP BY ALL
@@ -617,7 +619,12 @@ def _derived() -> dict[str, str]:
         .replace("quanta_run_length_us", "quanta_queued_time_us")
         .replace("Quanta Run Length (msec)", "Quanta Queued Time (msec)")
     )
-    return {"raw_block_io_summary": summary, "series_top_queued": queued}
+    return {
+        "raw_block_io_summary": summary,
+        "stream_raw_block_io_summary": summary,
+        "stream_raw_per_cpu_queued": ORACLES["raw_per_cpu_queued"],
+        "series_top_queued": queued,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,11 +24,11 @@ from tracelake.operators import (
     series,
     spans,
 )
-from tracelake.sources import layout
+from tracelake.sources import commits, layout
 from tracelake.sources.files import read_widened
 from tracelake.sources.scratch import scratch_dir
 from tracelake.specs import COLLECTION, spec
-from tracelake.streaming import ingest, stateful
+from tracelake.streaming import drain, ingest, stateful
 from tracelake.streaming.block_io import stream_block_io_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,56 @@ def write_read_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.read_parquet_dir(spark, base)["process_trace"]
 
 
+@_with_spark
+def committed_write_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a job, one of them made twice."""
+    base = scratch_dir(spark, "committed")
+    trace = _by_collection(spark_view(spark, sf_dir, "fx_process_trace"))
+    for run in (0, 1, 1, 2):
+        part = trace.where(F.pmod(F.xxhash64("pid", "ts_ns"), F.lit(_CHUNKS)) == run)
+        commits.commit_table(part, base, "process_trace", f"run-{run}")
+    return commits.read_committed(spark, base, "process_trace")
+
+
+def _collector_files(spark: SparkSession, df: DataFrame, table: str, base: str, chunk: str) -> None:
+    """A table's rows as chunks in a collector's layout."""
+    jvm = spark._jvm
+    path, conf = jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    made = f"{base}/made-{table}-{chunk}"
+    df.write.partitionBy(layout.BENCHMARK, COLLECTION).parquet(made)
+    system = path(made).getFileSystem(conf)
+    for i, file in enumerate(system.globStatus(path(f"{made}/*/*/part-*"))):
+        ids = [x.split("=")[1] for x in str(file.getPath().toString()).split("/")[-3:-1]]
+        folder = "/".join([base, "in", *ids])
+        system.mkdirs(path(folder))
+        name = chunk if chunk == "end" else f"{chunk}-{i}"
+        system.rename(file.getPath(), path(f"{folder}/{table}.{name}.parquet"))
+
+
+@_with_spark
+def drain_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables drained together, twice; rows of the collections that both have ended in."""
+    base = scratch_dir(spark, "drain")
+    tables = {
+        "process_trace": _by_collection(spark_view(spark, sf_dir, "fx_process_trace")),
+        "mm_rss_stat": _by_collection(spark_view(spark, sf_dir, "fx_mm_rss_stat")),
+    }
+    schemas = {t: df.drop(layout.BENCHMARK, COLLECTION).schema for t, df in tables.items()}
+    for number in range(2):
+        for table, df in tables.items():
+            part = df.where(F.pmod(F.xxhash64("pid", "ts_ns"), F.lit(2)) == number)
+            _collector_files(spark, part, table, base, str(number))
+            if number:
+                # The other table never ends in one collection.
+                ends = df.where(F.lit(table == "process_trace") | (F.col(COLLECTION) != "c1"))
+                ends = ends.groupBy(layout.BENCHMARK, COLLECTION).agg(F.first("ts_ns").alias("ts_ns"))
+                _collector_files(spark, ends.where("ts_ns is not null").limit(99).coalesce(1), table, base, "end")
+        drain.drain_tables(spark, f"{base}/in", schemas, f"{base}/out", f"{base}/state")
+    names = list(tables)
+    trace = drain.read_drained(spark, f"{base}/out", names[0], closed_in=names)
+    return trace.where(F.col("chunk") != "end").drop("chunk", layout.BENCHMARK)
+
+
 def _drain_chunks(
     spark: SparkSession,
     sf_dir: str,
@@ -615,6 +665,22 @@ def stream_queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drain_chunks(spark, sf_dir, {"fx_blk_raw": "ts_us"}, stateful.stream_queue_depth)
 
 
+@_with_spark
+def stream_raw_per_cpu_queued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared table from a stream of raw events, and a query on it."""
+    rows = _drain_chunks(spark, sf_dir, {"fx_sched_full": "ts_us"}, stateful.stream_sched)
+    queued = rows.where(F.col("what") == "queue").withColumnRenamed("length_us", "quanta_queued_time_us")
+    return sched.per_cpu_queued(spec("quanta_queued_time").conform(queued))
+
+
+@_with_spark
+def stream_raw_block_io_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    depth = _drain_chunks(spark, sf_dir, {"fx_blk_full": "ts_us"}, stateful.stream_queue_depth)
+    latency = blockio.completion_latency(spark_view(spark, sf_dir, "fx_blk_full"))
+    queue, latency = spec("block_io_queue_length").conform(depth), spec("block_io_latency").conform(latency)
+    return blockio.block_io_summary(blockio.block_io_join(queue, latency))
+
+
 # --- scoring -----------------------------------------------------------------------
 
 # A fixed small network over the 64-wide embeddings: any weights serve, these follow a rule.
