@@ -8,7 +8,7 @@ Every link is confirmed on the full sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -182,11 +182,15 @@ def _links_of_block(batch: pa.Table) -> pa.Table:
     )
 
 
-class _Sets:
-    """Full sets of the nodes that some pair needs, each made once."""
+class FullSets:
+    """Full sets of the nodes that some pair needs, each made once.
 
-    def __init__(self, texts: DataFrame, names: DataFrame, width: int) -> None:
-        self.texts, self.names, self.width = texts, names, width
+    ``texts`` has key, print and text, ``names`` a key and print for each node; ``make`` gives a
+    text's different hashes, 8 bytes each.
+    """
+
+    def __init__(self, texts: DataFrame, names: DataFrame, make: Callable[[Column], Column]) -> None:
+        self.texts, self.names, self.make = texts, names, make
         self.made: list[DataFrame] = []
 
     def of(self, need: DataFrame) -> DataFrame:
@@ -196,7 +200,7 @@ class _Sets:
         need = stored(need.join(self.names, "node"), "minhash-names")
         few = need.count() <= BROADCAST_ROWS
         held = self.texts.join(F.broadcast(need) if few else need, ["print", "key"])
-        held = held.dropDuplicates(["node"]).select("node", _sets(F.col("text"), self.width).alias("s"))
+        held = held.dropDuplicates(["node"]).select("node", self.make(F.col("text")).alias("s"))
         self.made.append(stored(held, "minhash-sets"))
         return reduce(DataFrame.union, self.made)
 
@@ -209,7 +213,7 @@ class _Sets:
         return stored(both.where(_alike(F.col("sa"), F.col("sb"))).select("a", "b"), "minhash-links")
 
 
-def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+def still_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that have several roots, with their roots and the bucket's most
     frequent one."""
     named = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -222,15 +226,23 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(named.join(often.withColumnRenamed("root", "most"), "bucket"), "minhash-apart")
 
 
-def _rest(apart: DataFrame, sets: _Sets) -> DataFrame:
+def _rest(apart: DataFrame, sets: FullSets) -> DataFrame:
     """Links of all pairs of a bucket with different roots.
 
     Members without the bucket's most frequent root are hubs; those of all buckets that have the
-    root in common meet the members of these buckets at once, in blocks of a fixed size.
+    root in common meet the members of these buckets at once.
     """
     hubs = stored(apart.where("root <> most").select("bucket", "most", "node", "n", "root"), "minhash-hubs")
-    whose = hubs.select("bucket", "most").distinct()
-    members = apart.select("bucket", "node", "n", "root").join(whose, "bucket")
+    members = apart.select("bucket", "node", "n", "root").join(hubs.select("bucket", "most").distinct(), "bucket")
+    return compared(hubs, members, sets)
+
+
+def compared(hubs: DataFrame, members: DataFrame, sets: FullSets) -> DataFrame:
+    """Links between hubs and members (most, node, n, root) with one ``most`` and two roots.
+
+    They are compared in blocks of a fixed size, so that a set is sent once for each block
+    that it meets instead of once for each pair.
+    """
     sides = []
     for side, size, hub in ((hubs, HUB_BLOCK, True), (members, MEMBER_BLOCK, False)):
         rows = stored(side.select("most", "node", "n", "root").distinct(), "minhash-side")
@@ -252,11 +264,12 @@ def _rest(apart: DataFrame, sets: _Sets) -> DataFrame:
         tasks = part if tasks is None else tasks.union(part)
     tasks = stored(tasks, "minhash-tasks")
     tasks = tasks.join(sets.of(tasks.select("node").distinct()), "node")
-    found = tasks.groupBy("most", "i", "j").applyInArrow(_links_of_block, "a binary, b binary")
+    kind = hubs.schema["node"].dataType.simpleString()
+    found = tasks.groupBy("most", "i", "j").applyInArrow(_links_of_block, f"a {kind}, b {kind}")
     return stored(found, "minhash-links")
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, root) after more links: those link what the nodes at their ends stand for."""
     if labels is None:
         return stored(components(links), "minhash-roots")
@@ -270,18 +283,41 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.union(added), "minhash-roots")
 
 
-def minhash_nodes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, print, node, n) of all documents, and (node, root) of all linked nodes.
+def linked_nodes(members: DataFrame, hubs: DataFrame, sets: FullSets) -> DataFrame:
+    """(node, root) of linked nodes: all that share a bucket and reach the similarity have one.
 
-    A node is a set of shingles, which copies share. Two nodes that share a bucket and reach
-    the similarity have one root:
+    ``members`` (bucket, node, n) has all nodes of all buckets that hold several, ``hubs``
+    (bucket, hub) the least (node, n) of each.
 
-    * each node is first held against the least hub of its buckets,
+    * Each node is first held against the least hub of its buckets,
     * a bucket whose members still have several roots gets a hub from its most frequent root,
       which meets those that have another, HUB_ROUNDS times,
     * what is still apart is compared with all members of its bucket (``_rest``).
 
-    Copies make no pairs, near copies one or a few each; the last step makes none as rows.
+    Near copies make one pair or a few each; the last step makes none as rows.
+    """
+    star = members.join(hubs, "bucket").groupBy("node", "n").agg(F.min("hub").alias("hub"))
+    star = star.where("node > hub.node").withColumn("m", F.col("hub.n")).where(_FITS)
+    tried = stored(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")), "minhash-pairs")
+    labels = merged(None, sets.confirmed(tried))
+    for round_ in range(HUB_ROUNDS):
+        apart = still_apart(members, labels)
+        first = F.min(F.struct(F.xxhash64("node", F.lit(round_)), "node", "n")).alias("hub")
+        hubs = stored(apart.where("root = most").groupBy("bucket").agg(first), "minhash-hubs")
+        pairs = apart.where("root <> most").join(hubs, "bucket").withColumn("m", F.col("hub.n")).where(_FITS)
+        pairs = pairs.select(F.greatest("node", "hub.node").alias("b"), F.least("node", "hub.node").alias("a"))
+        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti").select("a", "b"), "minhash-pairs")
+        tried = tried.union(pairs)
+        labels = merged(labels, sets.confirmed(pairs))
+        members = apart.select("bucket", "node", "n")
+    apart = still_apart(members, labels)
+    return labels if apart.isEmpty() else merged(labels, _rest(apart, sets))
+
+
+def minhash_nodes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, print, node, n) of all documents, and (node, root) of all linked nodes.
+
+    A node is a set of shingles, which copies share, so that copies make no pairs.
     """
     texts = docs.select(
         doc_key().alias("key"), F.xxhash64(whole_text()).alias("print"), whole_text().alias("text")
@@ -292,34 +328,14 @@ def minhash_nodes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataF
         F.min(F.struct("key", "print")).alias("f"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
     nodes = stored(nodes.select("node", "f.key", "f.print", "n", "bands"), "minhash-nodes")
-    sets = _Sets(texts, nodes.select("node", "key", "print"), width)
-
+    sets = FullSets(texts, nodes.select("node", "key", "print"), lambda text: _sets(text, width))
     members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     hubs = members.groupBy("bucket").agg(
         F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")
     )
     hubs = stored(hubs.where("hub.node < last").select("bucket", "hub"), "minhash-hubs")
-    members = stored(members.join(hubs, "bucket"), "minhash-buckets")
-    star = members.groupBy("node", "n").agg(F.min("hub").alias("hub")).where("node > hub.node")
-    star = star.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "n", F.col("hub.n").alias("m"))
-    tried = stored(star.where(_FITS).select("a", "b"), "minhash-pairs")
-    labels = _merged(None, sets.confirmed(tried))
-
-    members = members.select("bucket", "node", "n")
-    for round_ in range(HUB_ROUNDS):
-        apart = _apart(members, labels)
-        first = F.min(F.struct(F.xxhash64("node", F.lit(round_)), "node", "n")).alias("hub")
-        hubs = stored(apart.where("root = most").groupBy("bucket").agg(first), "minhash-hubs")
-        pairs = apart.where("root <> most").join(hubs, "bucket").withColumn("m", F.col("hub.n")).where(_FITS)
-        pairs = pairs.select(F.greatest("node", "hub.node").alias("b"), F.least("node", "hub.node").alias("a"))
-        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti").select("a", "b"), "minhash-pairs")
-        tried = tried.union(pairs)
-        labels = _merged(labels, sets.confirmed(pairs))
-        members = apart.select("bucket", "node", "n")
-    apart = _apart(members, labels)
-    if not apart.isEmpty():
-        labels = _merged(labels, _rest(apart, sets))
-    return rows.select("key", "print", "node", "n"), labels
+    members = stored(members.join(hubs.select("bucket"), "bucket"), "minhash-buckets")
+    return rows.select("key", "print", "node", "n"), linked_nodes(members, hubs, sets)
 
 
 def minhash_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
