@@ -214,19 +214,21 @@ class FullSets:
 
 
 def still_apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that have several roots, with their roots and the bucket's most
-    frequent one."""
+    """Members of the buckets that have several roots, with their roots, the bucket's most
+    frequent one, and its members."""
     named = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named, "minhash-named")
     often = named.groupBy("bucket", "root").count()
     often = often.groupBy("bucket").agg(
-        F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("roots")
+        F.max(F.struct("count", "root")).alias("most"),
+        F.count("*").alias("roots"),
+        F.sum("count").alias("size"),
     )
-    often = stored(often.where("roots > 1").select("bucket", "most.root"), "minhash-most")
-    return stored(named.join(often.withColumnRenamed("root", "most"), "bucket"), "minhash-apart")
+    often = often.where("roots > 1").select("bucket", F.col("most.root").alias("most"), "size")
+    return stored(named.join(stored(often, "minhash-most"), "bucket"), "minhash-apart")
 
 
-def _rest(apart: DataFrame, sets: FullSets) -> DataFrame:
+def compared_rest(apart: DataFrame, sets: FullSets) -> DataFrame:
     """Links of all pairs of a bucket with different roots.
 
     Members without the bucket's most frequent root are hubs; those of all buckets that have the
@@ -292,7 +294,7 @@ def linked_nodes(members: DataFrame, hubs: DataFrame, sets: FullSets) -> DataFra
     * Each node is first held against the least hub of its buckets,
     * a bucket whose members still have several roots gets a hub from its most frequent root,
       which meets those that have another, HUB_ROUNDS times,
-    * what is still apart is compared with all members of its bucket (``_rest``).
+    * what is still apart is compared with all members of its bucket (``compared_rest``).
 
     Near copies make one pair or a few each; the last step makes none as rows.
     """
@@ -311,7 +313,7 @@ def linked_nodes(members: DataFrame, hubs: DataFrame, sets: FullSets) -> DataFra
         labels = merged(labels, sets.confirmed(pairs))
         members = apart.select("bucket", "node", "n")
     apart = still_apart(members, labels)
-    return labels if apart.isEmpty() else merged(labels, _rest(apart, sets))
+    return labels if apart.isEmpty() else merged(labels, compared_rest(apart, sets))
 
 
 def minhash_nodes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
