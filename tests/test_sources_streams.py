@@ -38,6 +38,33 @@ def test_widening_over_files(spark, tmp_path):
     assert list(one) == ["t"] and one["t"].count() == 2
 
 
+@pytest.mark.parametrize("vectorized", ["true", "false"])
+def test_numbers_widen_in_one_scan(spark, tmp_path, vectorized):
+    put(tmp_path / "t/a b%20.parquet", x=pd.array([1], "int32"), z=pd.array([0.5], "float32"))
+    put(tmp_path / "t/b.parquet", x=pd.array([2**40], "int64"), z=[0.1], w=pd.array([3], "int16"))
+    put(tmp_path / "t/c.parquet", w=pd.array([70_000], "int32"), only=["c"])
+    spark.conf.set("spark.sql.parquet.enableVectorizedReader", vectorized)
+    try:
+        df = read_widened(spark, str(tmp_path / "t"))
+        assert dict(df.dtypes) == {"x": "bigint", "z": "double", "w": "int", "only": "string"}
+        got = {tuple(r) for r in df.select("x", "z", "w", "only").collect()}
+    finally:
+        spark.conf.unset("spark.sql.parquet.enableVectorizedReader")
+    assert got == {(1, 0.5, None, None), (2**40, 0.1, 3, None), (None, None, 70_000, "c")}
+    assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_forms_are_fewer_than_schemas(spark, tmp_path):
+    for i in range(6):
+        own = {f"extra{i}": [i]}
+        x = [f"t{i}"] if i % 2 else pd.array([i], "int32")
+        put(tmp_path / f"t/p=[{i}]/f {i}.parquet", x=x, **own)
+    df = read_widened(spark, str(tmp_path / "t"))
+    assert {(r.x, r.p) for r in df.collect()} == {(f"t{i}" if i % 2 else str(i), f"[{i}]") for i in range(6)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert {f"extra{i}" for i in range(6)} < set(df.columns)
+
+
 def test_collection_prefix_on_flat_files(spark, tmp_path):
     for cid in ("run-aa1", "run-ab2"):
         put(tmp_path / f"process_trace/{cid}.redis.parquet", pid=[1], tgid=[1], ts_ns=[1], name=["a"], cap_type=["exec"], collection_id=[cid])
