@@ -415,7 +415,11 @@ def with_token_ids(docs: DataFrame, path: str | None = None, to: str = "token_id
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, digest of the ids, digest of the text decoded from the ids."""
+    """doc_id, n_tokens, digest of the ids, digest of the text decoded from the ids.
+
+    One row for each row, a null text as an empty one; an empty table gives an empty one, columns
+    besides doc_id and text are not read.
+    """
     both = docs.select("doc_id", encoded_and_decoded(F.col("text"), path).alias("both"))
     return both.select(
         "doc_id",

@@ -127,6 +127,10 @@ def identified(text: Column, contents: dict[str, bytes], min_margin: float = 0.0
 
 
 def identify(docs: DataFrame, contents: dict[str, bytes], min_margin: float = 0.02) -> DataFrame:
-    """doc_id, lang_pred, score, margin, rejected of every row of ``docs``, in no shuffle."""
+    """doc_id, lang_pred, score, margin, rejected of every row of ``docs``, in no shuffle.
+
+    See ``identified`` for null, empty and long texts and ties. Repeated rows stay, an empty
+    table gives an empty one; columns besides doc_id and text are not read.
+    """
     found = docs.select("doc_id", identified(F.col("text"), contents, min_margin).alias("found"))
     return found.select("doc_id", "found.*")

@@ -221,7 +221,8 @@ def drop_repeats(docs: DataFrame, width: int = 50, at_once: int = SLICE) -> Data
     with a smaller doc_id. All windows are judged on the input. kept is what is left, joined
     by one space. One row for each row: rows with one doc_id do not count against each other
     (a null id is later than any other), a null or empty text has no words, a text of fewer
-    than ``width`` words stays whole.
+    than ``width`` words stays whole. An empty table gives an empty one; columns besides doc_id
+    and text are not read.
     """
     spans = repeated_spans(docs, width, at_once)
     keyed = _keyed(docs)

@@ -296,7 +296,11 @@ def scored(text: Column, model: Model) -> Column:
 
 
 def with_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, passages of every row of ``docs``, in no shuffle; repeats stay."""
+    """doc_id, score, passages of every row of ``docs``, in no shuffle; repeats stay.
+
+    See ``scored`` for null, empty and long texts. An empty table gives an empty one; columns
+    besides doc_id and text are not read. A model of no labels scores all texts alike.
+    """
     return docs.select("doc_id", scored(F.col("text"), model).alias("found")).select(
         "doc_id", "found.*"
     )
