@@ -316,8 +316,9 @@ def with_kept_lines(docs: DataFrame) -> DataFrame:
     not count and stay, but a text whose lines are all deleted is left empty. Earlier is a
     smaller doc_id (a null id comes last); rows with one doc_id do not count against each
     other, repeated rows get equal results. Null and empty texts have no lines. An empty table gives
-    an empty one; columns of any name stand apart in row. A very long text is one task's only while
-    it is cut into lines and put together again.
+    an empty one; columns of any name stand apart in row. A text is cut into
+    lines by one task, and those that it shares, as hashes with their places, are one row that is
+    aligned with one partner at a time: both grow with the longest text.
 
     A document whose lines are all those of an earlier one, in order, loses all; one whose
     shared lines are those of an earlier one, at the same places, loses all blocks of them. Any
