@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.columns import after_first_blank
 from tracelake.functions.fixed import COLLECTOR_LABEL
 from tracelake.plans.ordered import ordered_scan
+from tracelake.sources.scratch import shared_table
 from tracelake.specs import COLLECTION, spec
 
 _PROC = [COLLECTION, "pid"]
@@ -93,20 +94,31 @@ def nth_process_run(lifetimes: DataFrame, name: str, index: int) -> DataFrame:
     )
 
 
-def nth_run(trace: DataFrame, name: str, index: int) -> DataFrame:
-    """What nth_process_run() finds among all pairs of start and end, without making them.
+def run_marks(trace: DataFrame, names: list[str]) -> DataFrame:
+    """Starts and ends of the processes of these last names ("" if none is known).
+
+    Columns: collection_id, pid, full_name, cap_type, ts_ns.
+    """
+    marks = _main_rows(trace).where(F.col("cap_type").isin("start", "end"))
+    known = last_names(trace)
+    if "" in names:
+        named = marks.join(known, _PROC, "left").withColumn("full_name", F.coalesce("full_name", F.lit("")))
+        named = named.where(F.col("full_name").isin(names))
+    else:
+        named = marks.join(known.where(F.col("full_name").isin(names)), _PROC)
+    return named.select(*_PROC, "full_name", "cap_type", "ts_ns")
+
+
+def nth_marked_run(marks: DataFrame, name: str, index: int) -> DataFrame:
+    """What nth_process_run() finds among all pairs of start and end in run_marks().
 
     A start stands for as many runs as its pid has ends. The run's start is found by adding
     these up along the starts, of which at most ``index + 1`` times matter; its end is the
-    remaining place among the ends of the pids that start then.
+    remaining place among the ends of the pids that start then. No pairs are made.
     """
-    main = _main_rows(trace)
-    names = last_names(trace)
-    named = names.where(F.col("full_name") == name) if name else names
-    how = "left_semi" if name else "left_anti"  # without a name: none is known
-    marks = main.join(named, _PROC, how).where(F.col("cap_type").isin("start", "end"))
-    starts = marks.where("cap_type = 'start'").select(*_PROC, F.col("ts_ns").alias("start_ns"))
-    ends = marks.where("cap_type = 'end'").select(*_PROC, F.col("ts_ns").alias("end_ns"))
+    own = marks.where(F.col("full_name") == name)
+    starts = own.where("cap_type = 'start'").select(*_PROC, F.col("ts_ns").alias("start_ns"))
+    ends = own.where("cap_type = 'end'").select(*_PROC, F.col("ts_ns").alias("end_ns"))
     runs = starts.join(ends.groupBy(*_PROC).agg(F.count(F.lit(1)).alias("__ends")), _PROC)
     times = runs.groupBy(COLLECTION, "start_ns").agg(F.sum("__ends").alias("__n"))
     order = Window.partitionBy(COLLECTION).orderBy("start_ns")
@@ -123,6 +135,14 @@ def nth_run(trace: DataFrame, name: str, index: int) -> DataFrame:
     )
 
 
+def nth_run(trace: DataFrame, name: str, index: int) -> DataFrame:
+    """Run number ``index`` of the named process in each collection, without making pairs.
+
+    The process's starts and ends are written once when this is called.
+    """
+    return nth_marked_run(shared_table(run_marks(trace, [name]), "run-marks"), name, index)
+
+
 def process_metadata(snapshots: DataFrame) -> DataFrame:
     """One typed row per process from repeated snapshots: the latest started.
 

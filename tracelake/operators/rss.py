@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.columns import ns_to_min
-from tracelake.operators.procs import nth_run
+from tracelake.operators.procs import nth_marked_run, run_marks
 from tracelake.plans.ordered import TARGET_ROWS, ordered_scan, with_segment
+from tracelake.sources.scratch import shared_table
 from tracelake.specs import COLLECTION
 
 _PROCESS = [COLLECTION, "tgid"]
@@ -67,9 +68,7 @@ def rss_clip(
         F.lit(None).cast("long").alias("pid"),
         F.lit(1).alias("__edge"),
     )
-    rows = with_segment(
-        wanted.unionByName(edges), _PROCESS, "ts_ns", target_rows, _SEG, measured_on=rss
-    )
+    rows = with_segment(wanted.unionByName(edges), _PROCESS, "ts_ns", target_rows, _SEG)
     order = ["ts_ns", "__edge", "member", "count", "pid"]
     filled = _filled_total(rows, _PROCESS, order, _SEG)
     extra = [c for c in windows.columns if c not in _PROCESS]
@@ -81,15 +80,21 @@ def rss_clip(
 def rss_windows(
     trace: DataFrame, rss_name: str, rss_index: int, runner_name: str, runner_index: int
 ) -> DataFrame:
-    """Per collection: the process whose memory is read and the run that gives the time."""
-    runner = nth_run(trace, runner_name, runner_index)
-    same = (rss_name, rss_index) == (runner_name, runner_index)
-    target = runner if same else nth_run(trace, rss_name, rss_index)
-    if same:
-        return runner.select(COLLECTION, F.col("pid").alias("tgid"), "start_ns", "end_ns")
-    return target.select(COLLECTION, F.col("pid").alias("tgid")).join(
-        runner.select(COLLECTION, "start_ns", "end_ns"), COLLECTION, "inner"
-    )
+    """Per collection: the process whose memory is read and the run that gives the time.
+
+    The trace is read once for both names when this is called, and the windows, one row a
+    collection, are written as a table: what joins them knows their size.
+    """
+    marks = shared_table(run_marks(trace, sorted({rss_name, runner_name})), "run-marks")
+    runner = nth_marked_run(marks, runner_name, runner_index)
+    if (rss_name, rss_index) == (runner_name, runner_index):
+        windows = runner.select(COLLECTION, F.col("pid").alias("tgid"), "start_ns", "end_ns")
+    else:
+        target = nth_marked_run(marks, rss_name, rss_index)
+        windows = target.select(COLLECTION, F.col("pid").alias("tgid")).join(
+            runner.select(COLLECTION, "start_ns", "end_ns"), COLLECTION, "inner"
+        )
+    return shared_table(windows, "rss-windows")
 
 
 def rss_policy_comparison(

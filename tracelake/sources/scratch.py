@@ -27,3 +27,10 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
+
+
+def shared_table(df: DataFrame, label: str) -> DataFrame:
+    """df, written once to the shared folder and read back; its size is known to the planner."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
