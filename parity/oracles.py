@@ -461,6 +461,7 @@ ORACLES = {
         FROM rows, (SELECT unnest([0, 1, 2]) AS g)""",
     "inference_latency_by_size": "WITH" + SECTIONS
     + f"SELECT side, size, count(*) AS n, {_box('value')}, sum(value::bigint)::double / count(*) AS mean FROM timed GROUP BY ALL",
+    "log_lines_by_split": "SELECT path, line_no, line, TRUE AS in_place FROM {fx_timing_lines}",
     "process_metadata_dedup": "WITH" + METADATA + "SELECT * FROM metadata",
     # windows
     "perf_pdf": "WITH" + DELTAS + "SELECT * FROM deltas",

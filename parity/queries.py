@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parity.views import spark_view
@@ -27,6 +27,7 @@ from tracelake.operators import (
 from tracelake.sources import commits, layout
 from tracelake.sources.files import read_widened
 from tracelake.sources.scratch import scratch_dir
+from tracelake.sources.text import read_log_lines
 from tracelake.specs import COLLECTION, spec
 from tracelake.streaming import drain, ingest, stateful
 from tracelake.streaming.block_io import stream_block_io_pairs
@@ -387,6 +388,27 @@ def inference_latency_by_size(lines):
     return experiments.inference_latency_by_size(lines)
 
 
+@_on("fx_timing_lines")
+def log_lines_by_split(lines):
+    """Log files that are read in splits; each line is numbered as it was written."""
+    spark, by = lines.sparkSession, ["path", "line_no"]
+    folder = scratch_dir(spark, "logs")
+    text = F.concat_ws("\t", "path", F.col("line_no").cast("string"), "line")
+    logs = lines.repartitionByRange(*by).sortWithinPartitions(*by).select(text.alias("value"))
+    logs.write.text(folder)
+    back = read_log_lines(spark, folder, whole_bytes=0)
+    part = F.split("line", "\t")
+    said = back.select(
+        part[0].alias("path"),
+        part[1].cast("long").alias("line_no"),
+        part[2].alias("line"),
+        "relative_path",
+        F.col("line_no").alias("__number"),
+    )
+    place = F.row_number().over(Window.partitionBy("relative_path").orderBy(*by)) - 1
+    return said.withColumn("in_place", F.col("__number") == place).drop("relative_path", "__number")
+
+
 @_on("fx_process_snapshots")
 def process_metadata_dedup(snapshots):
     return procs.process_metadata(snapshots)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
+import pytest
 
 from tracelake.operators import experiments
 from tracelake.sources.text import read_log_lines, read_result_lines
@@ -59,3 +62,37 @@ def test_boxes_of_an_index_of_sample_files(spark, tmp_path):
     for r in got:
         box = np.quantile(samples[want[r.x, r.group_label]], [0, 0.25, 0.5, 0.75, 1])
         assert np.allclose([r.min, r.q1, r.median, r.q3, r.max], box)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_large_logs_are_numbered_from_their_splits(spark, tmp_path, end):
+    rng = random.Random(5)
+    for name, n in (("big", 20_000), ("mid", 3_000), ("small", 3)):
+        body = [f"===== SIZE {rng.randrange(9)} =====" if rng.random() < 0.01 else str(i) for i in range(n)]
+        body[n // 2] = ""
+        (tmp_path / f"{name}.log").write_bytes((end.join(body) + end * rng.choice([0, 1, 2])).encode())
+    whole = read_log_lines(spark, str(tmp_path))
+    assert whole.count() >= 23_003
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        cut = read_log_lines(spark, str(tmp_path), whole_bytes=1_000)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # The files are planned otherwise by now.
+    assert sorted(cut.collect()) == sorted(whole.collect())
+    sections = experiments.parse_sections(cut, target_rows=500)
+    assert sorted(sections.collect()) == sorted(experiments.parse_sections(whole).collect())
+    stored = cut.inputFiles()
+    assert sum("log-lines" in f for f in stored) > 10  # many tasks read and wrote them
+
+
+def test_log_of_one_split_and_none(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\n\ny")
+    for size in (0, 100):
+        lines = read_log_lines(spark, str(tmp_path / "a.txt"), whole_bytes=size)
+        got = [(r.line_no, r.line, r.relative_path) for r in lines.orderBy("line_no").collect()]
+        assert got == [(0, "x", "a.txt"), (1, "", "a.txt"), (2, "y", "a.txt")]
+    assert read_log_lines(spark, str(tmp_path), glob="*.none").count() == 0
