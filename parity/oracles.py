@@ -466,6 +466,10 @@ ORACLES = {
     # windows
     "perf_pdf": "WITH" + DELTAS + "SELECT * FROM deltas",
     "perf_cdf": "WITH" + DELTAS
+    + """SELECT cpu, pid, tgid, ts_uptime_us, collection_id, span_duration_us, round(dtlb_misses, 3) AS dtlb_misses
+         FROM curve""",
+    "stream_perf_pdf": "WITH" + DELTAS + "SELECT * FROM deltas",
+    "stream_perf_cdf": "WITH" + DELTAS
     + """SELECT cpu, pid, tgid, ts_uptime_us, collection_id, span_duration_us, round(dtlb_misses, 3) AS dtlb_misses
          FROM curve""",
     "perf_rate": "WITH" + DELTAS

@@ -29,7 +29,7 @@ from tracelake.sources.files import read_widened
 from tracelake.sources.scratch import scratch_dir
 from tracelake.sources.text import read_log_lines
 from tracelake.specs import COLLECTION, spec
-from tracelake.streaming import drain, ingest, stateful
+from tracelake.streaming import counters, drain, ingest, stateful
 from tracelake.streaming.block_io import stream_block_io_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -665,6 +665,41 @@ def stream_block_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockio.dedup_pairs(_drain_chunks(spark, sf_dir, views, job))
 
 
+def _drain_shuffled_samples(spark: SparkSession, sf_dir: str, job: Callable[..., DataFrame]) -> DataFrame:
+    """Counter samples in chunks by a time of arrival, up to an hour after their own.
+
+    A last chunk holds a sample of another collection, late enough to release all before it.
+    """
+    base, hour = scratch_dir(spark, "samples"), 3_600_000_000
+    samples = spark_view(spark, sf_dir, "fx_perf")
+    came = F.col("ts_uptime_us") + F.pmod(F.xxhash64(*samples.columns), F.lit(hour))
+    low, high = samples.agg(F.min("ts_uptime_us"), F.max("ts_uptime_us") + hour).first()
+    chunk = F.floor((came - low) * _CHUNKS / F.lit(high - low + 1))
+    closing = samples.limit(1).withColumns(
+        {COLLECTION: F.lit("closing"), "ts_uptime_us": F.lit(high + 2 * hour).cast("long")}
+    )
+    chunks = [samples.where(chunk == k) for k in range(_CHUNKS)] + [closing]
+    for part in chunks:
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = ingest.stream_chunks(spark, f"{base}/in", samples.schema)
+        out = job(stream, COUNTER, delay="1 hour")
+        ingest.start_table_sink(
+            out, f"{base}/out", f"{base}/state", partitions=(), release_held=True
+        ).awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+@_with_spark
+def stream_perf_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drain_shuffled_samples(spark, sf_dir, counters.stream_perf_pdf)
+
+
+@_with_spark
+def stream_perf_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summed = _drain_shuffled_samples(spark, sf_dir, counters.stream_perf_cdf)
+    return summed.withColumn(COUNTER, F.round(COUNTER, 3))
+
+
 @_with_spark
 def stream_spans_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = {"fx_span_raw": "ts_ns"}

@@ -56,12 +56,14 @@ def start_table_sink(
     partitions: tuple[str, ...] = (BENCHMARK, COLLECTION),
     interval: str | None = None,
     state_partitions: int | None = None,
+    release_held: bool = False,
 ) -> StreamingQuery:
     """Append a stream to a Parquet table, each row exactly once.
 
     With ``interval`` (such as ``"1 minute"``) it keeps draining at that pace; without,
     it takes what is there and ends. State is kept in ``state_partitions`` parts from the
     first run on, which cannot be changed later; by default the session's shuffle partitions.
+    ``release_held`` lets a drain end with a batch without data, after the watermark has moved.
     """
     writer = (
         stream.writeStream.format("parquet")
@@ -78,7 +80,7 @@ def start_table_sink(
         writer = writer.trigger(processingTime=interval)
     spark = stream.sparkSession
     settings = {} if state_partitions is None else {_SHUFFLE: str(state_partitions)}
-    if interval is None:
+    if interval is None and not release_held:
         # A drain that ends needs no extra batch after the last one.
         settings[_EMPTY_BATCHES] = "false"
     with _STARTING:
