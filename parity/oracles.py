@@ -451,6 +451,14 @@ ORACLES = {
          FROM stats WHERE map_size = 256 GROUP BY data_size""",
     "box_summary": "WITH" + BENCH
     + f"SELECT system, data_size, count(*) AS n, {_box('time_ns::double')} FROM parsed GROUP BY ALL",
+    "files_opened_merged": """
+        SELECT collection_id, count(file_inode) AS n, count(DISTINCT file_inode) AS files_opened,
+               TRUE AS estimate_is_near
+        FROM {fx_file_data} GROUP BY ALL""",
+    "box_summary_merged": "WITH" + BENCH
+    + """SELECT system, data_size, count(time_ns) AS n, min(time_ns::double) AS min, max(time_ns::double) AS max,
+                TRUE AS ranks_are_near
+         FROM parsed WHERE time_ns IS NOT NULL GROUP BY ALL""",
     "grouped_bar_long": r"""
         WITH heads AS (SELECT path, min(line_no) AS h FROM {fx_bar_lines} GROUP BY path),
              rows AS (

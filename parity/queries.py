@@ -22,11 +22,12 @@ from tracelake.operators import (
     rss,
     sched,
     series,
+    sketches,
     spans,
 )
 from tracelake.sources import commits, layout
 from tracelake.sources.files import read_widened
-from tracelake.sources.scratch import scratch_dir
+from tracelake.sources.scratch import scratch_dir, shared_table
 from tracelake.sources.text import read_log_lines
 from tracelake.specs import COLLECTION, spec
 from tracelake.streaming import counters, drain, ingest, stateful
@@ -378,6 +379,37 @@ def box_summary(lines):
     return experiments.box_summary(times, ["system", "data_size"], "time_ns")
 
 
+@_on("fx_file_data")
+def files_opened_merged(table):
+    """Distinct files from sketches of chunks, beside the exact number that they must be near."""
+    chunk = F.pmod(F.xxhash64("pid", "ts_uptime_us"), F.lit(8))
+    parts = sketches.distinct_sketches(table.withColumn("chunk", chunk), [COLLECTION, "chunk"], "file_inode")
+    merged = sketches.merged_distinct(shared_table(parts, "sketches"), [COLLECTION], "__estimate")
+    both = files.files_opened(table).join(merged, COLLECTION)
+    off = F.abs(F.col("__estimate") - F.col("files_opened"))
+    near = off <= 4 * sketches.distinct_error() * F.col("files_opened")
+    return both.select(COLLECTION, "n", "files_opened", near.alias("estimate_is_near"))
+
+
+@_on("fx_get_bench_raw")
+def box_summary_merged(lines):
+    """Quantiles from sketches of chunks, whose ranks among all values must be near."""
+    keys = ["system", "data_size"]
+    times = experiments.parse_get_bench(lines).withColumn("chunk", F.pmod(F.xxhash64("line_no"), F.lit(8)))
+    parts = sketches.quantile_sketches(times, [*keys, "chunk"], "time_ns")
+    merged = sketches.merged_quantiles(shared_table(parts, "sketches"), keys)
+    same = [times[k].eqNullSafe(merged[k]) for k in keys]
+    ranks = times.join(merged, same).groupBy(*[merged[k] for k in keys], "n", "min", "max")
+    off, near = 3 * sketches.rank_error(), F.lit(True)
+    tested = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    for name, q in tested.items():
+        near &= F.col(f"__below_{name}") <= (q + off) * F.col("n")
+        near &= F.col(f"__upto_{name}") >= (q - off) * F.col("n")
+    counted = [F.count_if(F.col("time_ns") < F.col(c)).alias(f"__below_{c}") for c in tested]
+    counted += [F.count_if(F.col("time_ns") <= F.col(c)).alias(f"__upto_{c}") for c in tested]
+    return ranks.agg(*counted).select(*keys, "n", "min", "max", near.alias("ranks_are_near"))
+
+
 @_on("fx_bar_lines")
 def grouped_bar_long(lines):
     return experiments.grouped_bar_long(lines, 3)
