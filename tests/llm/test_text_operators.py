@@ -387,6 +387,25 @@ def test_a_line_in_every_document_makes_no_pairs_of_all(spark):
 # --- operator 7
 
 
+def test_language_known_by_long_texts_only(spark):
+    rng = random.Random(4)
+    words = {"aa": ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]}
+    words |= {"zz": ["".join(rng.choices("qrstuvwxyz", k=6)) for _ in range(300)]}
+
+    def text(lang, n):
+        return " ".join(rng.choices(words[lang], k=n))
+
+    # 'zz' has only texts beyond an eighth of a dictionary, whose first parts are of 'aa'.
+    rows = [(i, text("aa", 50), "aa") for i in range(20)]
+    rows += [(100 + i, text("aa", 300) + " " + text("zz", 4_000), "zz") for i in range(20)]
+    contents = language.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(len(c) <= language.DICTIONARY_BYTES for c in contents.values())
+    assert sum(w.encode() in contents["zz"] for w in words["zz"]) > 200
+    asked = spark.createDataFrame([(1, text("zz", 30)), (2, text("aa", 30))], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(asked, contents).collect()}
+    assert got == {1: "zz", 2: "aa"}
+
+
 def test_language_of_texts_it_has_not_learned(spark):
     sounds = {"aa": "ka lo mi ", "bb": "strum zen pft ", "cc": "oui eau ment "}
     rng = random.Random(12)

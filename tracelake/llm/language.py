@@ -22,6 +22,8 @@ UNKNOWN = "und"
 DICTIONARY_BYTES = 128 * 1024
 #: Documents drawn for each language, about; the learned sample is bounded by these.
 SAMPLED_DOCS = 400
+#: Passages that a labelled text too long to be taken whole gives, where short ones leave room.
+PASSAGES = 8
 #: More languages than this are refused: their dictionaries go to every task.
 MAX_LANGUAGES = 500
 #: Bytes of a text that are compressed together: long texts would else be their own model.
@@ -39,12 +41,15 @@ _FOUND = StructType(
 
 
 def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
-    """Language -> raw content: whole sample texts, at most DICTIONARY_BYTES.
+    """Language -> raw content: whole sample texts and passages, at most DICTIONARY_BYTES.
 
     ``labelled`` has doc_id, text and lang; rows with a null among them teach nothing. About
     SAMPLED_DOCS documents of each language are drawn by a hash of doc_id, whatever the size
-    of the table, and filled in in that order; texts longer than an eighth of a dictionary
-    are passed over, equal ones count once. More frequent languages come first.
+    of the table. Texts of up to an eighth of a dictionary are filled in whole, in the order of
+    another hash; where they leave room, longer ones follow by PASSAGES passages each, at even
+    distances over the whole text. What does not fit is passed over, equal texts count once. A
+    language whose drawn texts hold no letters has its name as content. More frequent languages
+    come first.
     """
     rows = labelled.select("doc_id", "text", "lang").na.drop()
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
@@ -55,14 +60,22 @@ def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
         return {}
     steps = [F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // SAMPLED_DOCS))]
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.create_map(*steps)[F.col("lang")]) == 0
-    short = F.octet_length("text") <= DICTIONARY_BYTES // 8
-    sample = rows.where(drawn & short).orderBy(F.xxhash64("doc_id", F.lit(8)), "text").collect()
+    eighth = DICTIONARY_BYTES // 8
+    is_long = F.octet_length("text") > eighth
+    letters = eighth // PASSAGES // 4  # a letter has four bytes at most
+    starts = [(F.length("text") * i / PASSAGES).cast("int") + 1 for i in range(PASSAGES)]
+    passages = F.concat_ws(" ", *[F.substring("text", at, F.lit(letters)) for at in starts])
+    taken = F.when(is_long, passages).otherwise(F.col("text")).alias("text")
+    order = [is_long, F.xxhash64("doc_id", F.lit(8)), "text"]
+    sample = rows.where(drawn).orderBy(*order).select("lang", taken).collect()
     texts: dict[str, dict[bytes, None]] = {lang: {} for lang in counts}
-    for row in sample:
-        texts[row["lang"]][_plain(row["text"])] = None
-    return {
-        lang: b"\n".join(own)[:DICTIONARY_BYTES] or lang.encode() for lang, own in texts.items()
-    }
+    room = dict.fromkeys(counts, DICTIONARY_BYTES)
+    for lang, text in sample:
+        plain = _plain(text)
+        if plain.strip() and plain not in texts[lang] and len(plain) < room[lang]:
+            texts[lang][plain] = None
+            room[lang] -= len(plain) + 1
+    return {lang: b"\n".join(own) or lang.encode() for lang, own in texts.items()}
 
 
 def _plain(text: str) -> bytes:
