@@ -336,6 +336,9 @@ ORACLES = {
     "quanta_runtime_valid": "SELECT * FROM {fx_quanta_runtime} WHERE quanta_run_length_us < 60000",
     "quanta_queued_valid": "SELECT * FROM {fx_quanta_queued} WHERE quanta_queued_time_us < 1000000",
     "process_by_pid": "WITH" + METADATA + "SELECT * FROM metadata WHERE pid IN (3, 5, 8, 13)",
+    "process_by_pid_table": "WITH" + METADATA
+    + """SELECT * FROM metadata
+         WHERE (collection_id, pid) IN (SELECT (collection_id, pid) FROM {fx_file_data} WHERE file_name = 'vmlinux')""",
     "file_events_by_name": "SELECT * FROM {fx_file_data} WHERE file_name = 'vmlinux'",
     "flatten_system_info": """
         SELECT collection_id, uptime_sec, cores, 'x86_64' AS architecture,
@@ -480,6 +483,16 @@ ORACLES = {
     "stream_perf_cdf": "WITH" + DELTAS
     + """SELECT cpu, pid, tgid, ts_uptime_us, collection_id, span_duration_us, round(dtlb_misses, 3) AS dtlb_misses
          FROM curve""",
+    "perf_pdf_extrapolated": """
+        WITH narrow AS (
+            SELECT *, cumulative_dtlb_misses & 4294967295 AS c FROM {fx_perf}),
+        lagged AS (
+            SELECT *, c - lag(c, 1, 0) OVER w AS raw, pmu_enabled_time_us - lag(pmu_enabled_time_us, 1, 0) OVER w AS e,
+                   pmu_running_time_us - lag(pmu_running_time_us, 1, 0) OVER w AS r
+            FROM narrow WINDOW w AS (PARTITION BY collection_id, cpu ORDER BY ts_uptime_us))
+        SELECT cpu, pid, tgid, ts_uptime_us, collection_id, r AS span_duration_us,
+               (raw + CASE WHEN raw < 0 THEN 4294967296 ELSE 0 END) * (e::double / nullif(r::double, 0)) AS dtlb_misses
+        FROM lagged""",
     "perf_rate": "WITH" + DELTAS
     + "SELECT *, dtlb_misses / nullif(span_duration_us / 1000.0::double, 0) AS dtlb_misses_per_msec FROM deltas",
     "rss_total": "WITH samples AS (SELECT *, 0 AS edge FROM {fx_mm_rss_stat}),"
@@ -510,6 +523,10 @@ ORACLES = {
         SELECT device, device // 1048576 AS major, device % 1048576 AS minor, count(*) AS n
         FROM (SELECT (device + 8) * 1048576 + cpu AS device FROM {fx_block_io_queue}) GROUP BY ALL""",
     "meminfo_parse": "WITH" + MEMINFO + "SELECT * FROM meminfo",
+    "meminfo_parse_raw_counts": "WITH"
+    + MEMINFO.replace("1024 * coalesce(try_cast(regexp_extract(procfs_dump, 'HugePages_Total",
+                      "coalesce(try_cast(regexp_extract(procfs_dump, 'HugePages_Total")
+    + "SELECT * FROM meminfo",
     # series
     "series_block_queue": "WITH" + BLOCK_IO
     + f"""SELECT t.collection_id, 'Device ' || CAST(t.device AS string) || s.label AS series, {X} AS x,
@@ -583,6 +600,9 @@ ORACLES = {
     "sched_run_time": "WITH" + SCHED + "SELECT * FROM runs",
     "sched_queue_time": "WITH" + SCHED + "SELECT * FROM queued",
     "span_pairs_overwrite": "WITH" + OVERWRITE + "SELECT * FROM spans",
+    "span_pairs_overwrite_errors": "WITH"
+    + OVERWRITE.replace("FROM {fx_span_raw}", "FROM {fx_span_raw} WHERE kind = 'entry' OR ret >= 0")
+    + "SELECT * FROM spans",
     "span_pairs_keep_first": "WITH" + KEEP_FIRST + "SELECT * FROM calls",
     "decision_eager": "WITH" + DECISIONS
     + """SELECT coalesce(cost, 0) AS freq_cycles, coalesce(benefit, 0) AS greatest_range_benefit,

@@ -230,6 +230,12 @@ def process_by_pid(snapshots):
     return procs.by_pid(procs.process_metadata(snapshots), [3, 5, 8, 13])
 
 
+@_on("fx_process_snapshots", "fx_file_data")
+def process_by_pid_table(snapshots, opens):
+    """Of the processes that opened a kernel image."""
+    return procs.by_pid(procs.process_metadata(snapshots), opens.where("file_name = 'vmlinux'"))
+
+
 @_on("fx_file_data")
 def file_events_by_name(table):
     return files.file_events_by_name(table, "vmlinux")
@@ -464,6 +470,14 @@ def perf_pdf(samples):
     return perf.perf_pdf(samples, COUNTER)
 
 
+@_on("fx_perf")
+def perf_pdf_extrapolated(samples):
+    """As counters of 32 bits, most of which wrap between two samples."""
+    narrow = F.col(f"cumulative_{COUNTER}").bitwiseAND(F.lit((1 << 32) - 1))
+    samples = samples.withColumn(f"cumulative_{COUNTER}", narrow)
+    return perf.perf_pdf(samples, COUNTER, scaling="extrapolate", wrap_bits=32)
+
+
 # A running sum of doubles may depend on the order of addition in its last digits, so it
 # is compared at three decimals.
 @_on("fx_perf")
@@ -526,6 +540,11 @@ def meminfo_parse(raw):
     return memory.meminfo_parse(raw)
 
 
+@_on("fx_meminfo_raw")
+def meminfo_parse_raw_counts(raw):
+    return memory.meminfo_parse(raw, hugepage_counts_raw=True)
+
+
 # --- series ------------------------------------------------------------------------
 
 
@@ -628,6 +647,12 @@ def series_top_queued(quanta, info, snapshots):
     )
 
 
+@_on("fx_span_raw")
+def span_pairs_overwrite_errors(raw):
+    """Returns with an error code neither end nor clear a call."""
+    return spans.span_pairs_overwrite(raw, is_error=F.col("ret") < 0)
+
+
 @_on("fx_span_raw")
 def span_pairs_overwrite(raw):
     return spans.span_pairs_overwrite(raw)

@@ -15,10 +15,8 @@ def _name_by_code(code: Column, names: dict[int, str], missing: str) -> Column:
 
 def request_flags_label(flags: Column) -> Column:
     """Text form of block request flags: set flag names, then the operation."""
-    by_name = {name: bit for bit, name in fixed.REQUEST_FLAG_BITS.items()}
     prefixes = [
-        F.when(flags.bitwiseAND(F.lit(1 << by_name[name])) != 0, F.lit(name))
-        for name in fixed.REQUEST_FLAG_ORDER
+        F.when(flags.bitwiseAND(F.lit(1 << bit)) != 0, F.lit(name)) for bit, name in fixed.REQUEST_FLAGS
     ]
     op = flags.bitwiseAND(F.lit((1 << fixed.REQUEST_OP_BITS) - 1))
     text = F.concat_ws("-", *prefixes, _name_by_code(op, fixed.REQUEST_OPS, "Unknown"))

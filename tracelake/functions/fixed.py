@@ -12,31 +12,21 @@ REQUEST_OPS = {
     9: "WriteZeros",
 }
 
-# Width of the operation code and the flag bits above it.
+# Width of the operation code.
 REQUEST_OP_BITS = 8
-REQUEST_FLAG_BITS = {
-    11: "Sync",
-    12: "Metadata",
-    13: "Priority",
-    14: "NoMerge",
-    15: "Idle",
-    17: "ForcedUnitAccess",
-    19: "ReadAhead",
-    20: "Background",
-    21: "NoWait",
-}
 
-# Order in which flag names are put before the operation, outermost first.
-REQUEST_FLAG_ORDER = [
-    "NoWait",
-    "Background",
-    "ReadAhead",
-    "Idle",
-    "NoMerge",
-    "Priority",
-    "ForcedUnitAccess",
-    "Metadata",
-    "Sync",
+# Flag bits above it and their names, in the order in which the names are put
+# before the operation, outermost first.
+REQUEST_FLAGS = [
+    (21, "NoWait"),
+    (20, "Background"),
+    (19, "ReadAhead"),
+    (15, "Idle"),
+    (14, "NoMerge"),
+    (13, "Priority"),
+    (17, "ForcedUnitAccess"),
+    (12, "Metadata"),
+    (11, "Sync"),
 ]
 
 # Memory advice names by code; -1 stands for an unmap call.
