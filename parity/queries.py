@@ -174,13 +174,13 @@ def _drain_chunks(
     """
     base = scratch_dir(spark, "stream")
     tables = {v: spark_view(spark, sf_dir, v) for v in views}
+    edges = {}
+    for view, at in views.items():
+        at_part = [F.min(at) + (F.max(at) - F.min(at)) * k / _CHUNKS for k in range(_CHUNKS + 1)]
+        edges[view] = [F.lit(x).cast("double") for x in tables[view].agg(*at_part).first()]
     for chunk in range(_CHUNKS):
         for view, at in views.items():
-            table = tables[view]
-            low, high = (
-                table.agg((F.min(at) + (F.max(at) - F.min(at)) * k / _CHUNKS).alias("t")).scalar()
-                for k in (chunk, chunk + 1)
-            )
+            table, low, high = tables[view], *edges[view][chunk : chunk + 2]
             part = F.col(at) >= low
             if chunk + 1 < _CHUNKS:
                 part = part & (F.col(at) < high)
