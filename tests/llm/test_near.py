@@ -67,3 +67,34 @@ def test_near_copies_of_an_empty_table_and_repeats(spark):
     assert kept.columns == docs.columns
     assert rows_of(kept, "doc_id", "text") == [(0, "a b c d e f"), (None, "z")]
     assert near.drop_near_copies(docs.where(F.lit(False))).count() == 0
+
+
+def test_close_fingerprints_are_linked_before_shingles_meet(spark, monkeypatch):
+    """Pairs are proposed by fingerprints and verified, besides those that shingles find."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**5)}" for _ in range(900)]
+    # One word at the end changes one shingle of 896, which turns few bits if any.
+    texts = [" ".join([*base[:-1], f"v{i}"]) for i in range(12)]
+    texts.append(" ".join(f"x{i}" for i in range(900)))
+    close = []
+    found = near._fingerprint_pairs
+
+    def pairs(nodes):
+        close.append(found(nodes))
+        return close[-1]
+
+    monkeypatch.setattr(near, "_fingerprint_pairs", pairs)
+    assert {r[0] for r in rows_of(near.drop_near_copies(docs_of(spark, texts)), "doc_id")} == {0, 12}
+    fp = [near.of_hashes(near.shingle_set(t).view("u8")) for t in texts]
+    want = [(i, j) for i in range(12) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2]
+    assert want and close[0].count() >= len({i for i, _ in want})
+    assert near.of_hashes(near.shingle_set("")) == 0
+
+
+def test_stored_tables_leave_no_shuffle_setting_behind(spark):
+    from tracelake.llm import common
+
+    before = spark.conf.get(common._FREE, None)
+    assert common.stored(spark.range(9).groupBy((F.col("id") % 3).alias("r")).count(), "t").count() == 3
+    assert common.cut(spark.range(4).distinct()).count() == 4
+    assert spark.conf.get(common._FREE, None) == before

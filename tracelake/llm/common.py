@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ from tracelake.sources.scratch import scratch_dir, shared_checkpoint
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Stands for a null doc_id where documents are ordered: later than any other.
 LAST_ID = 2**63 - 1
+#: Spark's setting that removes a query's shuffle files when it has ended.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +43,24 @@ def id_remainder(n: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries planned within give the disk of their shuffles back as soon as they end."""
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE)
+        else:
+            spark.conf.set(_FREE, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the cluster's shared checkpoint folder."""
-    return shared_checkpoint(df)
+    with _shuffles_freed(df.sparkSession):
+        return shared_checkpoint(df.select("*"))
 
 
 def let_go() -> None:
@@ -58,5 +76,6 @@ def let_go() -> None:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in a new folder under the shared one; smaller than cut() keeps."""
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with _shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

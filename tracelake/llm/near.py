@@ -1,6 +1,9 @@
-"""Near copies by exact similarity of shingles (the pipeline's near_dedup stage).
+"""Near copies by SimHash and exact similarity of shingles (the pipeline's near_dedup stage).
 
-Two sets of shingles whose Jaccard similarity reaches the limit share one of the first few
+Every set of shingles has a SimHash fingerprint. Fingerprints within 2 bits meet by multi-index
+lookup, as in operator 2, and what meets is verified on the whole sets and linked. At the limit
+of similarity fingerprints differ in some 10 bits, so what these leave apart is found by shingles:
+two sets of shingles whose Jaccard similarity reaches the limit share one of the first few
 of each in any fixed order (prefix filter), so looking up by these finds every pair. Texts
 that meet are first held against hubs, and only what these leave apart is paired in full;
 every link is verified on the whole sets.
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import doc_key, let_go, stored, whole_text
 from tracelake.llm.minhash import HUB_ROUNDS, FullSets, compared_rest, merged, still_apart
+from tracelake.llm.simhash import close_pairs, of_hashes
 
 WIDTH = 5
 #: Similarity of a link, as a fraction, so that a pair that just reaches it is no rounding matter.
@@ -68,14 +72,14 @@ def _sets(text: Column, width: int, kind: str = "array<long>") -> Column:
 
 
 def _prefixes(frequent: dict[int, int], width: int):
-    """key, print, node (names the set), n (its size), the first shingles in the order, and how
-    many of all lie in each of PARTS parts (255: or more)."""
+    """key, print, node (names the set), n (its size), its fingerprint, the first shingles in the
+    order, and how many of all lie in each of PARTS parts (255: or more)."""
     known = np.array(sorted(frequent), np.int64)
     often = np.array([frequent[x] for x in known.tolist()], np.int64)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, heads, counts = [], [], [], []
+            nodes, sizes, fps, heads, counts = [], [], [], [], []
             for text in batch["text"]:
                 own = shingle_set(text.as_py(), width)
                 rank = np.zeros(len(own), np.int64)
@@ -86,6 +90,7 @@ def _prefixes(frequent: dict[int, int], width: int):
                 heads.append(own[np.lexsort((own, rank))[:length]])
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()) - 2**63)
                 sizes.append(len(own))
+                fps.append(of_hashes(own))
                 parts = np.bincount(own & (PARTS - 1), minlength=PARTS)
                 counts.append(np.minimum(parts, 255).astype(np.uint8).tobytes())
             arrays = [
@@ -93,10 +98,11 @@ def _prefixes(frequent: dict[int, int], width: int):
                 batch["print"],
                 pa.array(nodes, pa.int64()),
                 pa.array(sizes, pa.int32()),
+                pa.array(np.array(fps, np.uint64).view(np.int64)),
                 pa.array(heads, pa.list_(pa.int64())),
                 pa.array(counts, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "print", "node", "n", "head", "counts"])
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "print", "node", "n", "fp", "head", "counts"])
         let_go()
 
     return prefixes
@@ -115,12 +121,29 @@ def _can_reach(a: Column, b: Column) -> Column:
     return F.arrow_udf(can, "boolean")(a, b)
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose fingerprints are within 2 bits.
+
+    Nodes with one fingerprint meet the least of them, and those of close fingerprints meet.
+    """
+    least = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), "near-prints")
+    equal = nodes.select("fp", "node").join(least, "fp").where("node > first")
+    equal = equal.select(F.col("first").alias("a"), F.col("node").alias("b"))
+    close = stored(close_pairs(least.select("fp")), "near-close")
+    for x in "ab":
+        own = least.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}"))
+        close = close.join(own, x)
+    close = close.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    return equal.union(close)
+
+
 def near_nodes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """Rows (key, print, node) of all documents, and (node, root) of all linked nodes.
 
     Rows with equal sets are one node. Of the others, all whose sets reach the similarity get
-    one root, however many share a shingle: a shingle's texts are held against one hub, then
-    against others in HUB_ROUNDS rounds, and what still has several roots is paired.
+    one root, however many share a shingle: those with close fingerprints are linked first, then a
+    shingle's texts are held against one hub, then against others in HUB_ROUNDS rounds, and what
+    still has several roots is paired.
     """
     texts = docs.select(
         doc_key().alias("key"), F.xxhash64(whole_text()).alias("print"), whole_text().alias("text")
@@ -129,12 +152,12 @@ def near_nodes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFram
     seen = part.select(F.explode(_sets(F.col("text"), width)).alias("t")).groupBy("t").count()
     seen = seen.where(F.col("count") >= SEEN).orderBy(F.desc("count"), "t").limit(FREQUENT)
     frequent = {r["t"]: r["count"] for r in seen.collect()}
-    kinds = "key long, print long, node long, n int, head array<long>, counts binary"
+    kinds = "key long, print long, node long, n int, fp long, head array<long>, counts binary"
     rows = stored(texts.mapInArrow(_prefixes(frequent, width), kinds), "near-heads")
     least = rows.groupBy("node").agg(
-        F.min(F.struct("key", "print")).alias("f"), *(F.first(c).alias(c) for c in ("n", "head", "counts"))
+        F.min(F.struct("key", "print")).alias("f"), *(F.first(c).alias(c) for c in ("n", "fp", "head", "counts"))
     )
-    nodes = stored(least.select("node", "f.key", "f.print", "n", "head", "counts"), "near-nodes")
+    nodes = stored(least.select("node", "f.key", "f.print", "n", "fp", "head", "counts"), "near-nodes")
     sets = FullSets(texts, nodes.select("node", "key", "print"), lambda t: _sets(t, width, "binary"))
     at = nodes.select("node", "n", F.posexplode("head").alias("i", "t"))
     met = at.groupBy("t").agg(F.min(F.struct("node", "n", "i")).alias("h"), F.max("node").alias("last"))
@@ -148,15 +171,21 @@ def near_nodes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFram
     enough = f"{OF + REACHED} * least(n - i, m - j) >= {REACHED} * (n + m)"
     star = shared.where("node > hub").where(fits).where(enough)
     star = star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tried = stored(star, "near-pairs")
-
 
     def possible(pairs: DataFrame) -> DataFrame:
         for x in "ab":
             pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("counts").alias(f"c{x}")), x)
         return stored(pairs.where(_can_reach(F.col("ca"), F.col("cb"))).select("a", "b"), "near-possible")
 
+    tried = stored(_fingerprint_pairs(nodes), "near-pairs")
     labels = merged(None, sets.confirmed(possible(tried)))
+    for x in "ab":
+        own = labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        star = star.join(own, x, "left")
+    star = star.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    star = stored(star.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    tried = tried.union(star)
+    labels = merged(labels, sets.confirmed(possible(star)))
     members = shared.select(F.col("t").alias("bucket"), "node", "n", "i")
     for round_ in range(HUB_ROUNDS + 1):
         apart = still_apart(members, labels)

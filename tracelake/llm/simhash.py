@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut, doc_key, let_go, own_id
 from tracelake.llm.components import components
-from tracelake.llm.near import drop_near_copies  # noqa: F401  (the stage, kept under its old name)
 
 SEED = 42
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -20,6 +19,16 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BLOCK = 65_536
 
 
+def of_hashes(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; 0 if there are none."""
+    set_bits = np.zeros(64, np.int64)
+    for at in range(0, len(h), _BLOCK):
+        bits = np.unpackbits(h[at : at + _BLOCK].view(np.uint8), bitorder="little").reshape(-1, 64)
+        set_bits += bits.sum(axis=0, dtype=np.int64)
+    bits = (2 * set_bits > len(h)).astype(np.uint8)
+    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+
+
 def _fingerprint(text: bytes, width: int) -> int:
     words = text.translate(_LOWER).split()
     if not words:
@@ -99,3 +108,10 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(ids, "fp").select(
         own_id(F.col("key")).alias("doc_id"), "fp", own_id(F.col("head")).alias("component_id")
     )
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The pipeline's stage under its old name; see ``near.drop_near_copies``."""
+    from tracelake.llm import near
+
+    return near.drop_near_copies(docs, width)
