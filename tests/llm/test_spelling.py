@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -143,6 +144,30 @@ def test_near_in_a_cell_is_one_edit():
     assert np.array_equal(spelling.one_edit(short, longer), [[True, False], [True, False]])
 
 
+def test_many_queries_of_a_cell_go_in_blocks(monkeypatch):
+    rng = random.Random(8)
+    members = sorted({"".join(rng.choices("abcde", k=6)).encode() for _ in range(300)})
+    asked = [*members, *("".join(rng.choices("abcdexyz", k=rng.choice((5, 6)))).encode() for _ in range(60_000))]
+
+    def found():
+        met = spelling.near_in_cell(members, asked)
+        return {(int(i), int(j)) for q, m in met for i, j in zip(q, m, strict=True)}
+
+    tracemalloc.start()
+    whole = found()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Letters of all queries at once took 2 KB for each, 120 MB.
+    assert peak < 60e6
+    place = {w: j for j, w in enumerate(members)}
+    assert whole == {
+        (i, place[x.encode()]) for i, w in enumerate(asked) for x in edits(w.decode(), "abcde") if x.encode() in place
+    }
+    monkeypatch.setattr(spelling, "_QUERIES", 1_000)
+    monkeypatch.setattr(spelling, "_ROWS", 7)
+    assert found() == whole
+
+
 def test_query_over_a_test_table(spark):
     rows = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
     got = queries.op11_spelling_variants(spark, SF).select(*COLUMNS)

@@ -33,6 +33,8 @@ SAMPLE = 50_000
 _LEAST_SAMPLE = 24
 #: Words of a box that is cut no further; letters, and words of a box, compared in one step.
 _BUCKET, _STEP, _MEMBERS = 24, 2_000_000, 1_000
+#: Words whose letters are counted in one step; queries that go through a cell's boxes at once.
+_ROWS, _QUERIES = 4_096, 32_768
 #: Different runs that a task counts before it hands them on.
 _COUNTED = 200_000
 #: Letters by their Latin-1 code: a-z, then all from U+00C0 on; A-Z become lower case.
@@ -79,10 +81,15 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 def letter_counts(words: list[bytes]) -> np.ndarray:
     """A row of counts for each word, a column for each letter."""
-    whose = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    at = whose * 256 + np.frombuffer(b"".join(words), np.uint8)
-    counts = np.bincount(at, minlength=len(words) * 256).reshape(len(words), 256)
-    return counts[:, _DIMENSIONS].astype(np.int32)
+    counts = np.empty((len(words), len(_DIMENSIONS)), np.int32)
+    step = max(1, min(_ROWS, _STEP // max(map(len, words), default=1)))
+    for begin in range(0, len(words), step):
+        some = words[begin : begin + step]
+        whose = np.repeat(np.arange(len(some)), [len(w) for w in some])
+        at = whose * 256 + np.frombuffer(b"".join(some), np.uint8)
+        own = np.bincount(at, minlength=len(some) * 256).reshape(len(some), 256)
+        counts[begin : begin + step] = own[:, _DIMENSIONS]
+    return counts
 
 
 def _best_cut(counts: np.ndarray) -> tuple[int, int] | None:
@@ -185,48 +192,76 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return front.sum(axis=2, dtype=np.int32) + back.sum(axis=2, dtype=np.int32) >= a.shape[1]
 
 
+def _boxes(points: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray, np.ndarray, list[int]]]:
+    """(points, low, high, halves) of the box around all points, then of all that it is cut into.
+
+    A box has either its points or its halves, as places in the list.
+    """
+    boxes: list[tuple[np.ndarray | None, np.ndarray, np.ndarray, list[int]]] = []
+    todo = [(np.arange(len(points)), -1)]
+    while todo:
+        some, whole = todo.pop()
+        box, at = points[some], len(boxes)
+        cut = _best_cut(box) if len(some) > _BUCKET else None
+        boxes.append((None if cut else some, box.min(axis=0), box.max(axis=0), []))
+        if whole >= 0:
+            boxes[whole][3].append(at)
+        if cut:
+            below = box[:, cut[0]] <= cut[1]
+            todo += [(some[below], at), (some[~below], at)]
+    return boxes
+
+
 def near_in_cell(members: list[bytes], queries: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(queries, members) that are near each other, as places in the lists.
 
     Members have one length, queries the same or one letter less. A box of members is left out
-    if no query can get into it by its one letter more and its one letter less.
+    if no query can get into it by its one letter more and its one letter less. Letters are counted
+    for _QUERIES queries at a time, as a cell is sent many times its members.
     """
     if not members or not queries:
         return
     length = len(members[0])
-    as_long = np.array([len(q) == length for q in queries])
-    sides = [np.flatnonzero(as_long), np.flatnonzero(~as_long)]
-    row_of = np.empty(len(queries), np.int64)
-    for side in sides:
-        row_of[side] = np.arange(len(side))
-    letters = [_matrix([queries[i] for i in side]) if len(side) else None for side in sides]
-    own_letters = _matrix(members)
-    points, asked = letter_counts(members), letter_counts(queries)
+    own_letters, points = _matrix(members), letter_counts(members)
     used = points.any(axis=0)
-    down = as_long.astype(np.int64) - asked[:, ~used].sum(axis=1)
     wide = np.int16 if length < 2**14 else np.int32
-    points, asked = points[:, used].astype(wide), asked[:, used].astype(wide)
-    todo = [(np.arange(len(members)), np.flatnonzero(down >= 0))]
+    boxes = _boxes(points[:, used].astype(wide))
+    for same in (True, False):
+        side = np.array([i for i, q in enumerate(queries) if (len(q) == length) == same], np.int64)
+        for begin in range(0, len(side), _QUERIES):
+            places = side[begin : begin + _QUERIES]
+            words = [queries[i] for i in places]
+            letters, asked = _matrix(words), letter_counts(words)
+            down = int(same) - asked[:, ~used].sum(axis=1)
+            asked = asked[:, used].astype(wide)
+            for rows, some in _boxes_met(boxes, asked, down):
+                step = max(1, _STEP // (len(some) * length))
+                for at in range(0, len(rows), step):
+                    now = rows[at : at + step]
+                    for first in range(0, len(some), _MEMBERS):
+                        there = some[first : first + _MEMBERS]
+                        i, j = np.nonzero(one_edit(letters[now], own_letters[there]))
+                        if len(i):
+                            yield places[now[i]], there[j]
+
+
+def _boxes_met(boxes, asked: np.ndarray, down: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(queries, points) of the boxes that are cut no further, with the queries that one letter
+    more and ``down`` letters less take into them."""
+    todo = [(0, np.flatnonzero(down >= 0))]
     while todo:
-        some, rows = todo.pop()
-        box, own = points[some], asked[rows]
-        ok = np.maximum(box.min(axis=0) - own, 0).sum(axis=1) <= 1
-        ok &= np.maximum(own - box.max(axis=0), 0).sum(axis=1) <= down[rows]
+        box, rows = todo.pop()
+        some, low, high, halves = boxes[box]
+        own = asked[rows]
+        ok = np.maximum(low - own, 0).sum(axis=1) <= 1
+        ok &= np.maximum(own - high, 0).sum(axis=1) <= down[rows]
         rows = rows[ok]
-        cut = _best_cut(box) if len(rows) and len(some) > _BUCKET else None
-        if cut:
-            below = box[:, cut[0]] <= cut[1]
-            todo += [(some[below], rows), (some[~below], rows)]
+        if not len(rows):
             continue
-        step = max(1, _STEP // (len(some) * length))
-        for matrix, part in zip(letters, (rows[as_long[rows]], rows[~as_long[rows]]), strict=True):
-            for at in range(0, len(part), step):
-                now = part[at : at + step]
-                for begin in range(0, len(some), _MEMBERS):
-                    there = some[begin : begin + _MEMBERS]
-                    i, j = np.nonzero(one_edit(matrix[row_of[now]], own_letters[there]))
-                    if len(i):
-                        yield now[i], there[j]
+        if some is None:
+            todo += [(half, rows) for half in halves]
+        else:
+            yield rows, some
 
 
 def _best(whose: np.ndarray, n: np.ndarray, rank: np.ndarray, of: np.ndarray):
