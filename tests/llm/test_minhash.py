@@ -107,6 +107,39 @@ def test_what_its_hubs_leave_apart_is_compared(spark, monkeypatch, rounds):
     check(spark, texts)
 
 
+def test_blocks_are_compared_in_portions(spark, monkeypatch):
+    rng = random.Random(11)
+    pool = [f"w{i}" for i in range(50)]
+    texts = [" ".join(rng.choices(pool, k=20)) for _ in range(30)]
+    texts += [f"{t} {rng.choice(pool)}" for t in texts]
+    docs = docs_of(spark, texts).select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("print"), "text")
+    sets = [bag(t) for t in texts]
+    rows = [(0, r["key"], len(sets[i]), 100 + r["key"]) for i, r in enumerate(docs.orderBy("key").collect())]
+    first = min(r[1] for r in rows)
+    rows = spark.createDataFrame(rows, "most long, node long, n long, root long")
+    names = docs.select(F.col("key").alias("node"), "key", "print")
+    stored, labels = minhash.stored, []
+
+    def noted(df, label):
+        labels.append(label)
+        return stored(df, label)
+
+    monkeypatch.setattr(minhash, "stored", noted)
+    monkeypatch.setattr(minhash, "HUB_BLOCK", 100)
+    monkeypatch.setattr(minhash, "MEMBER_BLOCK", 200)
+    whole = minhash.FullSets(docs, names, lambda t: minhash._sets(t, 2))
+    found = minhash.compared(rows.where(f"node < {first + 10}"), rows, whole)
+    want = {
+        (i, j)
+        for i in range(10)
+        for j in range(len(texts))
+        if i != j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    }
+    assert {(r["a"] - first, r["b"] - first) for r in found.collect()} == want and want
+    # Each set meets several blocks, which were all sent at once.
+    assert labels.count("minhash-links") > 1
+
+
 def test_bins_agree_as_often_as_sets_do():
     rng, signer = np.random.default_rng(2), minhash.Signer()
     for size in (5, 10, 100, 3000):

@@ -174,6 +174,17 @@ def test_one_document_of_a_group_stays(spark):
     assert rows_of(kept, "doc_id") == [(0,), (2,), (5,)]
 
 
+def test_few_links_are_one_partition(spark, monkeypatch):
+    from tracelake.llm import components as module
+
+    rng = random.Random(3)
+    links = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(200)], "a long, b long")
+    few = module.components(links.repartition(5))
+    assert few.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(module, "PART", -1)
+    assert rows_of(few, "node", "root") == rows_of(module.components(links), "node", "root")
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     from tracelake.llm.components import components
 

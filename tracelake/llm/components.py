@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut
 
+#: So many edges or fewer are one partition, whose rounds need no shuffle.
+PART = 100_000
+
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches, itself included.
@@ -16,32 +19,46 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     larger neighbours, then each node itself, on the smallest node around (large star, small
     star), so the rounds grow with the logarithm of the longest path. The smallest
     neighbour is an aggregate that combines before the shuffle, and no neighbours are
-    gathered, so a node with any number of links is no hot group.
+    gathered, so a node with any number of links is no hot group. Up to PART edges are one
+    partition, more are dealt by Spark.
     """
     edges = cut(
         links.where("a <> b")
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
     )
+    before = _print(edges)
     for _ in range(rounds):
-        both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        own = _together if before[0] <= PART else _dealt
+        edges = own(edges)
+        both = own(edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))))
         least = both.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("m"))
         least = least.select("at", F.least("at", "m").alias("m"))
         # Large star: what is larger than a node goes to the least around it; the node stays.
         large = edges.join(least, edges.lo == least.at).select("hi", F.col("m").alias("lo"))
         large = large.union(least.where("m < at").select(F.col("at").alias("hi"), F.col("m")))
-        large = large.distinct()
+        large = own(large).distinct()
         # Small star: a node and its smaller neighbours go to the least of them.
         low = large.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("m"))
         small = large.join(low, large.hi == low.at).where("lo <> m")
         small = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        new = cut(small.union(low.select(F.col("at").alias("hi"), F.col("m"))).distinct())
-        if _print(new) == _print(edges):
+        new = small.union(low.select(F.col("at").alias("hi"), F.col("m")))
+        new = cut(own(new).distinct())
+        now = _print(new)
+        if now == before:
             return new.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        edges = new
+        edges, before = new, now
     raise RuntimeError(f"links did not settle in {rounds} rounds")
 
 
+def _together(edges: DataFrame) -> DataFrame:
+    return edges.coalesce(1)
+
+
+def _dealt(edges: DataFrame) -> DataFrame:
+    return edges
+
+
 def _print(edges: DataFrame) -> tuple:
     """Count and an order-free digest, which tell whether two edge tables are the same."""
     digest = F.expr("sum(cast(xxhash64(hi, lo) as decimal(38, 0)))")

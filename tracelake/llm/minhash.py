@@ -243,7 +243,8 @@ def compared(hubs: DataFrame, members: DataFrame, sets: FullSets) -> DataFrame:
     """Links between hubs and members (most, node, n, root) with one ``most`` and two roots.
 
     They are compared in blocks of a fixed size, so that a set is sent once for each block
-    that it meets instead of once for each pair.
+    that it meets instead of once for each pair. Blocks go in portions, one after the other: a
+    portion sends about as much as all the sets once, and frees that before the next.
     """
     sides = []
     for side, size, hub in ((hubs, HUB_BLOCK, True), (members, MEMBER_BLOCK, False)):
@@ -262,19 +263,31 @@ def compared(hubs: DataFrame, members: DataFrame, sets: FullSets) -> DataFrame:
             "node",
             "root",
             F.lit(hub).alias("hub"),
+            "n",
         )
         tasks = part if tasks is None else tasks.union(part)
     tasks = stored(tasks, "minhash-tasks")
-    tasks = tasks.join(sets.of(tasks.select("node").distinct()), "node")
+    each = tasks.groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("times"))
+    sent = each.agg(F.ceil(F.sum(F.col("n") * F.col("times")) / F.sum("n")), F.sum("times")).first()
+    portions = max(int(sent[0] or 0), 1)
+    few = (sent[1] or 0) <= BROADCAST_ROWS * portions
+    every = sets.of(tasks.select("node").distinct())
     kind = hubs.schema["node"].dataType.simpleString()
-    found = tasks.groupBy("most", "i", "j").applyInArrow(_links_of_block, f"a {kind}, b {kind}")
-    return stored(found, "minhash-links")
+    links = []
+    for portion in range(portions):
+        now = tasks.where(F.pmod(F.xxhash64("most", "i", "j"), F.lit(portions)) == portion).drop("n")
+        now = every.join(F.broadcast(now) if few else now, "node")
+        found = now.groupBy("most", "i", "j").applyInArrow(_links_of_block, f"a {kind}, b {kind}")
+        links.append(stored(found, "minhash-links"))
+    return reduce(DataFrame.union, links)
 
 
 def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, root) after more links: those link what the nodes at their ends stand for."""
     if labels is None:
         return stored(components(links), "minhash-roots")
+    if links.isEmpty():
+        return labels
     for side in "ab":
         own = labels.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
         links = links.join(own, side, "left").withColumn(side, F.coalesce(f"root_{side}", side))
