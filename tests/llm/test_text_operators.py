@@ -185,6 +185,31 @@ def test_few_links_are_one_partition(spark, monkeypatch):
     assert rows_of(few, "node", "root") == rows_of(module.components(links), "node", "root")
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "binary"])
+def test_few_links_take_few_jobs(spark, kind):
+    from tracelake.llm.components import components
+
+    rng = random.Random(11)
+    pairs = [(i, i + 1) for i in range(100, 300)] + [(rng.randrange(300, 700), rng.randrange(300, 700)) for _ in range(150)]
+    pairs += [(999, 5), (999, 7), (999, 6), (None, 5), (5, None), (8, 8)]
+    of = {"long": lambda i: i - 400, "string": lambda i: f"é{i:03d}", "binary": lambda i: bytes([200 - i // 256, i % 256])}[kind]
+    named = [tuple(None if x is None else of(x) for x in p) for p in pairs]
+    links = spark.createDataFrame(rng.sample(named, len(named)), f"a {kind}, b {kind}")
+    context = spark.sparkContext
+    context.setJobGroup(group := f"few-{kind}", "")
+    try:
+        found = {(r["node"], r["root"]) for r in components(links).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    root = {x: x for p in named for x in p if None not in p and p[0] != p[1]}
+    for _ in root:
+        for a, b in named:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    assert found == {(x, least) for x, least in root.items() if x != least}
+    assert 0 < len(context.statusTracker().getJobIdsForGroup(group)) <= 10
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     from tracelake.llm.components import components
 

@@ -195,7 +195,8 @@ class FullSets:
 
     def of(self, need: DataFrame) -> DataFrame:
         """(node, s) of the nodes in ``need``, and of others."""
-        for made in self.made:
+        if self.made:
+            made = reduce(DataFrame.union, [x.select("node") for x in self.made])
             need = need.join(made, "node", "left_anti")
         need = stored(need.join(self.names, "node"), "minhash-names")
         few = need.count() <= BROADCAST_ROWS
@@ -317,13 +318,16 @@ def linked_nodes(members: DataFrame, hubs: DataFrame, sets: FullSets) -> DataFra
     labels = merged(None, sets.confirmed(tried))
     for round_ in range(HUB_ROUNDS):
         apart = still_apart(members, labels)
+        if apart.isEmpty():
+            return labels
         first = F.min(F.struct(F.xxhash64("node", F.lit(round_)), "node", "n")).alias("hub")
         hubs = stored(apart.where("root = most").groupBy("bucket").agg(first), "minhash-hubs")
         pairs = apart.where("root <> most").join(hubs, "bucket").withColumn("m", F.col("hub.n")).where(_FITS)
         pairs = pairs.select(F.greatest("node", "hub.node").alias("b"), F.least("node", "hub.node").alias("a"))
         pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti").select("a", "b"), "minhash-pairs")
         tried = tried.union(pairs)
-        labels = merged(labels, sets.confirmed(pairs))
+        if not pairs.isEmpty():
+            labels = merged(labels, sets.confirmed(pairs))
         members = apart.select("bucket", "node", "n")
     apart = still_apart(members, labels)
     return labels if apart.isEmpty() else merged(labels, compared_rest(apart, sets))

@@ -185,10 +185,13 @@ def near_nodes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFram
     star = star.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
     star = stored(star.join(tried, ["a", "b"], "left_anti"), "near-pairs")
     tried = tried.union(star)
-    labels = merged(labels, sets.confirmed(possible(star)))
+    if not star.isEmpty():
+        labels = merged(labels, sets.confirmed(possible(star)))
     members = shared.select(F.col("t").alias("bucket"), "node", "n", "i")
     for round_ in range(HUB_ROUNDS + 1):
         apart = still_apart(members, labels)
+        if apart.isEmpty():
+            break
         members = apart.select("bucket", "node", "n", "i")
         if round_ < HUB_ROUNDS:
             first = F.min(F.struct(F.xxhash64("node", F.lit(round_)), "node", "n", "i")).alias("hub")
@@ -207,7 +210,8 @@ def near_nodes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFram
         pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
         pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = tried.union(pairs)
-        labels = merged(labels, sets.confirmed(possible(pairs)))
+        if not pairs.isEmpty():
+            labels = merged(labels, sets.confirmed(possible(pairs)))
     return rows.select("key", "print", "node"), labels
 
 
