@@ -31,7 +31,7 @@ from tracelake.sources.scratch import scratch_dir, shared_table
 from tracelake.sources.text import read_log_lines
 from tracelake.specs import COLLECTION, spec
 from tracelake.streaming import counters, drain, ingest, stateful
-from tracelake.streaming.block_io import stream_block_io_pairs
+from tracelake.streaming.block_io import read_block_io_pairs, start_block_io_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,7 +167,22 @@ def _drain_chunks(
     job: Callable[..., DataFrame],
     partitions: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Feed a streaming job chunk by chunk, as a collector would, and return its table.
+    """Feed a streaming job chunk by chunk, as a collector would, and return its table."""
+
+    def drain(base: str, *streams: DataFrame) -> DataFrame:
+        result = job(*streams)
+        ingest.start_table_sink(
+            result, f"{base}/out", f"{base}/state", partitions=partitions
+        ).awaitTermination()
+        return spark.read.schema(result.schema).parquet(f"{base}/out")
+
+    return _fed_chunks(spark, sf_dir, views, drain)
+
+
+def _fed_chunks(
+    spark: SparkSession, sf_dir: str, views: dict[str, str], drain: Callable[..., DataFrame]
+) -> DataFrame:
+    """What ``drain``, given a folder and the streams of the views, returns after the last chunk.
 
     ``views`` maps view names to their time columns. Every chunk is a stretch of time,
     written by many tasks; after each the job runs from its checkpoint over what is new.
@@ -186,11 +201,8 @@ def _drain_chunks(
                 part = part & (F.col(at) < high)
             table.where(part).write.mode("append").parquet(f"{base}/{view}")
         streams = [ingest.stream_chunks(spark, f"{base}/{v}", tables[v].schema) for v in views]
-        result = job(*streams)
-        ingest.start_table_sink(
-            result, f"{base}/out", f"{base}/state", partitions=partitions
-        ).awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{base}/out")
+        result = drain(base, *streams)
+    return result
 
 
 @_with_spark
@@ -714,12 +726,15 @@ def unmap_union(raw):
 
 @_with_spark
 def stream_block_io(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def job(queue: DataFrame, latency: DataFrame) -> DataFrame:
+    def drain(base: str, queue: DataFrame, latency: DataFrame) -> DataFrame:
         # The fixture's latencies are at most 1 ms.
-        return stream_block_io_pairs(queue, latency, max_latency="1 second", delay="1 second")
+        start_block_io_sink(
+            queue, latency, base, f"{base}/state", max_latency="1 second", delay="1 second"
+        ).awaitTermination()
+        return read_block_io_pairs(spark, base)
 
     views = dict.fromkeys(("fx_block_io_queue", "fx_block_io_latency"), "ts_uptime_us")
-    return blockio.dedup_pairs(_drain_chunks(spark, sf_dir, views, job))
+    return blockio.dedup_pairs(_fed_chunks(spark, sf_dir, views, drain))
 
 
 def _drain_shuffled_samples(spark: SparkSession, sf_dir: str, job: Callable[..., DataFrame]) -> DataFrame:

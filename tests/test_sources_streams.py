@@ -196,6 +196,48 @@ def test_io_across_chunks(spark, tmp_path):
     assert got.count() == 2
 
 
+def test_io_across_chunks_keeps_only_what_can_still_meet(spark, tmp_path):
+    from tracelake.streaming import block_io
+
+    queue, latency = spec("block_io_queue_length").schema, spec("block_io_latency").schema
+    second = 1_000_000
+
+    def issue(sector, at):
+        return (0, 8, sector, 1, 4096, at, 1, 1, 1, "c")
+
+    def end(sector, at, lasted):
+        return (0, 8, sector, 1, 4096, at, lasted, 5, 1, "c")
+
+    far = 100 * second
+    chunks = [
+        # Sector 1 is paired here, 2 in the next chunk, 3 is completed before its issue comes.
+        ([issue(1, 10), *(issue(100 + i, i) for i in range(50)), issue(2, far), (None,) * 10],
+         [end(1, 20, 60), end(3, far + 30, 60), (None,) * 10]),
+        ([issue(3, far + 1), issue(2, far), issue(4, 3 * far)], [end(2, far + 400, 500), end(4, 3 * far, 900)]),
+        # Equal to a pair of before; too late for what is kept; an issue kept twice meets again.
+        ([issue(4, 3 * far - 5)], [end(1, 20, 60), end(4, 3 * far + 7, 900)]),
+    ]
+    for number, (starts, ends) in enumerate(chunks):
+        spark.createDataFrame(starts, queue).write.mode("append").parquet(f"{tmp_path}/q")
+        spark.createDataFrame(ends, latency).write.mode("append").parquet(f"{tmp_path}/l")
+        streams = (ingest.stream_chunks(spark, f"{tmp_path}/{x}", s) for x, s in (("q", queue), ("l", latency)))
+        block_io.start_block_io_sink(
+            *streams, f"{tmp_path}/t", f"{tmp_path}/state", max_latency="1 second", delay="1 second"
+        ).awaitTermination()
+        if number == 0:
+            kept = block_io._open(spark, f"{tmp_path}/t", block_io.OPEN_ISSUES, 1, queue)
+            assert [r.sector for r in kept.collect()] == [2]
+            kept = block_io._open(spark, f"{tmp_path}/t", block_io.OPEN_ENDS, 1, latency)
+            assert [r.sector for r in kept.collect()] == [3]
+    pairs = block_io.read_block_io_pairs(spark, f"{tmp_path}/t")
+    got = sorted((r.sector, r.ts_uptime_us, r.finish_ts_uptime_us) for r in pairs.collect())
+    assert got == sorted(
+        [(1, 10, 20), (2, far, far + 400), (2, far, far + 400), (3, far + 1, far + 30)]
+        + [(4, 3 * far, 3 * far + 7), (4, 3 * far - 5, 3 * far), (4, 3 * far - 5, 3 * far + 7)]
+    )
+    assert not list((tmp_path / "state").glob("state"))  # rows of a micro-batch are no state
+
+
 def test_slow_completions_are_not_lost(spark):
     from tracelake.streaming.block_io import slow_completions
 
