@@ -98,3 +98,21 @@ def test_stored_tables_leave_no_shuffle_setting_behind(spark):
     assert common.stored(spark.range(9).groupBy((F.col("id") % 3).alias("r")).count(), "t").count() == 3
     assert common.cut(spark.range(4).distinct()).count() == 4
     assert spark.conf.get(common._FREE, None) == before
+
+
+def test_shingles_that_many_texts_share_meet_last_however_many_there_are(spark, monkeypatch):
+    rng = random.Random(17)
+    passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(22_000))
+    texts = [f"{passage} " + " ".join(f"v{i}x{j}" for j in range(7_500)) for i in range(64)]
+    found = {}
+
+    def stored(df, label):
+        out = kept(df, label)
+        found.setdefault(label, out.count())
+        return out
+
+    kept = near.stored
+    monkeypatch.setattr(near, "stored", stored)
+    assert near.drop_near_copies(docs_of(spark, texts)).count() == 64
+    # A fifth of a text's shingles is looked up, and it has more that are its own.
+    assert found["near-nodes"] == 64 and found["near-shared"] == 0

@@ -30,9 +30,11 @@ SEED = 42
 #: Parts of the shingles' hashes, a power of two: pairs with too different counts in them are told
 #: apart without their sets.
 PARTS = 256
-#: The order of shingles puts those last that a sample of one document in SAMPLED has SEEN times
-#: or more, by how often. Any order gives the same pairs; this one makes few others meet.
-SAMPLED, SEEN, FREQUENT = 16, 8, 20_000
+#: The order of shingles puts those last that several texts share, by how many: those that SEEN
+#: or more in a sample of one text in SAMPLED have. Any order gives the same pairs; this one makes
+#: few others meet. Counts are kept by cells of shingles, so that their table has a fixed size.
+SAMPLED, SEEN = 16, 2
+CELLS = 1 << 24
 #: Names of texts, or shingles that are shared, that are sent to every task at most; more are
 #: joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -71,23 +73,34 @@ def _sets(text: Column, width: int, kind: str = "array<long>") -> Column:
     return F.arrow_udf(sets, kind)(text)
 
 
-def _prefixes(frequent: dict[int, int], width: int):
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) // np.uint64(2**64 // CELLS)).astype(np.int64)
+
+
+def _shared_cells(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells with shingles that several texts of the sample have, and their ranks: 16 for each
+    doubling of the most frequent one's texts."""
+    part = texts.where(F.pmod(F.xxhash64("print"), F.lit(SAMPLED)) == 0).dropDuplicates(["print"])
+    seen = part.select(F.explode(_sets(F.col("text"), width)).alias("t")).groupBy("t").count()
+    cell = F.shiftrightunsigned("t", 65 - CELLS.bit_length()).cast("int").alias("cell")
+    often = seen.where(F.col("count") >= SEEN).groupBy(cell).agg(F.max("count").alias("count"))
+    found = often.select("cell", F.least(F.lit(255), F.round(16 * F.log2("count"))).cast("short").alias("rank")).toArrow()
+    return found["cell"].to_numpy(), found["rank"].to_numpy().astype(np.uint8)
+
+
+def _prefixes(cells: np.ndarray, ranks: np.ndarray, width: int):
     """key, print, node (names the set), n (its size), its fingerprint, the first shingles in the
     order, and how many of all lie in each of PARTS parts (255: or more)."""
-    known = np.array(sorted(frequent), np.int64)
-    often = np.array([frequent[x] for x in known.tolist()], np.int64)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(CELLS, np.uint8)
+        known[cells] = ranks
         for batch in batches:
             nodes, sizes, fps, heads, counts = [], [], [], [], []
             for text in batch["text"]:
                 own = shingle_set(text.as_py(), width)
-                rank = np.zeros(len(own), np.int64)
-                if len(known) and len(own):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    rank = np.where(known[at] == own, often[at], 0)
                 length = len(own) - -(-REACHED * len(own) // OF) + 1 if len(own) else 0
-                heads.append(own[np.lexsort((own, rank))[:length]])
+                heads.append(own[np.lexsort((own, known[_cell(own)]))[:length]])
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()) - 2**63)
                 sizes.append(len(own))
                 fps.append(of_hashes(own))
@@ -148,12 +161,9 @@ def near_nodes(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFram
     texts = docs.select(
         doc_key().alias("key"), F.xxhash64(whole_text()).alias("print"), whole_text().alias("text")
     )
-    part = texts.where(F.pmod(F.xxhash64("print"), F.lit(SAMPLED)) == 0)
-    seen = part.select(F.explode(_sets(F.col("text"), width)).alias("t")).groupBy("t").count()
-    seen = seen.where(F.col("count") >= SEEN).orderBy(F.desc("count"), "t").limit(FREQUENT)
-    frequent = {r["t"]: r["count"] for r in seen.collect()}
+    cells, ranks = _shared_cells(texts, width)
     kinds = "key long, print long, node long, n int, fp long, head array<long>, counts binary"
-    rows = stored(texts.mapInArrow(_prefixes(frequent, width), kinds), "near-heads")
+    rows = stored(texts.mapInArrow(_prefixes(cells, ranks, width), kinds), "near-heads")
     least = rows.groupBy("node").agg(
         F.min(F.struct("key", "print")).alias("f"), *(F.first(c).alias(c) for c in ("n", "fp", "head", "counts"))
     )
