@@ -737,10 +737,10 @@ def stream_block_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockio.dedup_pairs(_fed_chunks(spark, sf_dir, views, drain))
 
 
-def _drain_shuffled_samples(spark: SparkSession, sf_dir: str, job: Callable[..., DataFrame]) -> DataFrame:
-    """Counter samples in chunks by a time of arrival, up to an hour after their own.
+def _drain_shuffled_samples(spark: SparkSession, sf_dir: str, drain: Callable[..., DataFrame]) -> DataFrame:
+    """What ``drain``, given a folder and a stream, returns after the last chunk of counter samples.
 
-    A last chunk holds a sample of another collection, late enough to release all before it.
+    Chunks are cut by a time of arrival, up to an hour after the samples' own. A last one holds a sample of another collection, late enough to release all before it.
     """
     base, hour = scratch_dir(spark, "samples"), 3_600_000_000
     samples = spark_view(spark, sf_dir, "fx_perf")
@@ -754,21 +754,31 @@ def _drain_shuffled_samples(spark: SparkSession, sf_dir: str, job: Callable[...,
     for part in chunks:
         part.write.mode("append").parquet(f"{base}/in")
         stream = ingest.stream_chunks(spark, f"{base}/in", samples.schema)
-        out = job(stream, COUNTER, delay="1 hour")
-        ingest.start_table_sink(
-            out, f"{base}/out", f"{base}/state", partitions=(), release_held=True
-        ).awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+        result = drain(base, stream)
+    return result
 
 
 @_with_spark
 def stream_perf_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drain_shuffled_samples(spark, sf_dir, counters.stream_perf_pdf)
+    def drain(base: str, stream: DataFrame) -> DataFrame:
+        counters.start_pdf_sink(
+            stream, COUNTER, base, f"{base}/state", delay="1 hour"
+        ).awaitTermination()
+        return counters.read_pdf(spark, base)
+
+    return _drain_shuffled_samples(spark, sf_dir, drain)
 
 
 @_with_spark
 def stream_perf_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summed = _drain_shuffled_samples(spark, sf_dir, counters.stream_perf_cdf)
+    def drain(base: str, stream: DataFrame) -> DataFrame:
+        out = counters.stream_perf_cdf(stream, COUNTER, delay="1 hour")
+        ingest.start_table_sink(
+            out, f"{base}/out", f"{base}/state", partitions=(), release_held=True
+        ).awaitTermination()
+        return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+    summed = _drain_shuffled_samples(spark, sf_dir, drain)
     return summed.withColumn(COUNTER, F.round(COUNTER, 3))
 
 

@@ -66,3 +66,36 @@ def test_samples_wait_for_the_watermark(spark, tmp_path):
     ]
     with pytest.raises(ValueError):
         counters.stream_perf_pdf(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), "x", scaling="no")
+
+
+@pytest.mark.parametrize("scaling", ["as_sampled", "extrapolate"])
+def test_samples_that_a_table_holds_give_the_rows_of_the_stream(spark, tmp_path, scaling, monkeypatch):
+    from tracelake.streaming import block_io
+
+    rng = random.Random(11)
+    rows, far, number = [], ("closing", 0, 0, 0, 900 * SECOND, 0, 0, 0), lambda: rng.choice([None, rng.randrange(900)])
+    for i in range(200):
+        t = rng.randrange(1, 60) * SECOND // 2 + rng.randrange(2) * 700
+        who = (rng.choice(["a", "b", None]), rng.choice([0, 0, 0, 1, None]), i % 5, rng.choice([None, 3]))
+        rows.append((*who, t, number(), rng.choice([None, 4 * t]), (1 + i % 3) * t))
+    rows += [rows[0], (*rows[1][:4], None, 1, 1, 1)]  # a repeated sample, one without a time
+    came = sorted(rows, key=lambda r: (r[4] or 0) + rng.randrange(14 * SECOND))  # some come too late
+    chunks = [came[k : k + 61] for k in range(0, len(came), 61)] + [[far], [("closing", 0, 0, 0, 5, 1, 1, 1)]]
+    options = {"scaling": scaling, "wrap_bits": 32 if scaling == "extrapolate" else None}
+    want = drained(spark, tmp_path / "w", chunks, lambda s: counters.stream_perf_pdf(s, "llc_misses", **options))
+    scans = []
+    scan = counters.perf.perf_pdf
+    monkeypatch.setattr(counters.perf, "perf_pdf", lambda t, c, **o: scans.append(t) or scan(t, c, target_rows=8, **o))
+    base = f"{tmp_path}/t"
+    for part in chunks:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = ingest.stream_chunks(spark, f"{tmp_path}/in", SCHEMA)
+        counters.start_pdf_sink(stream, "llc_misses", base, f"{base}/state", **options).awaitTermination()
+    got = counters.read_pdf(spark, base)
+    assert got.columns == want.columns and bag(got) == bag(want)
+    assert 150 < got.count() < len(rows) and len(scans) == len(chunks)
+    held = block_io._open(spark, base, counters.HELD, len(chunks), got.schema)
+    assert [r.ts_uptime_us for r in held.collect()] == [900 * SECOND]
+    assert not list((tmp_path / "t" / "state").glob("state"))  # samples of a chunk are no state
+    with pytest.raises(ValueError):
+        counters.start_pdf_sink(stream, "llc_misses", base, f"{base}/state", scaling="no")
